@@ -5,16 +5,13 @@ Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased; both act on UTF-8
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime import partitions, saved, scratch, shared_dir, ship  # noqa: F401
+
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -23,62 +20,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes hashed at once; longer texts make a chunk of their own.
 CHUNK = 1 << 18
 
-_shipped: set[int] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once for each Spark context, so that workers can import it wherever they run."""
-    sc = spark.sparkContext
-    if id(sc) in _shipped:
-        return
-    _shipped.add(id(sc))
-    root = Path(__file__).resolve().parent.parent
-    out = Path(tempfile.mkdtemp(prefix="loomgraph-")) / "loomgraph_src.zip"
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(out))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a local session without the setting gets a temporary folder; on a cluster a missing setting is an error.
-    """
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir", "") or sc.getCheckpointDir() or ""
-    if not at:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="loomgraph-shared-")
-        sc.setCheckpointDir(at)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-    return at.rstrip("/") if "://" in at or at.startswith("file:") else "file://" + os.path.abspath(at)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[str]) -> DataFrame:
     """Those columns of a table, whatever else it holds."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def filesystem(uri: str):
     """(pyarrow file system, path) of a shared URI, usable on executors."""
     from pyarrow import fs

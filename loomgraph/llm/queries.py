@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_trie, common, sketches, token_cache
+from . import bpe_trie, common, near_dedup, sketches, token_cache
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -22,6 +22,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_cache.count_tokens(docs, BYTE_BPE, common.scratch(spark, "token-cache"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return near_dedup.near_duplicates(docs)
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents", ["doc_id", "text"])
     return sketches.fingerprints(docs)
@@ -30,6 +35,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe_trie": op7_bpe_trie,
     "op8_token_counts": op8_token_counts,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_fingerprints": op10_fingerprints,
 }
 
