@@ -7,11 +7,28 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_trie, common, near_dedup, sketches, token_cache
+from . import bpe_trie, common, mixing, near_dedup, quality, sketches, token_cache, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents", ["doc_id", "text"])
+    labels = common.table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
+    model = quality.fit(docs, quality.graded(labels))
+    return quality.scored(docs, model).select("doc_id", "expected_grade", "tail_probability", "keep")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.table(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    return warc.round_trip(pages, common.scratch(spark, "warc"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
+    return mixing.mixed(docs)
+
+
 def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents", ["doc_id", "text"])
     return bpe_trie.encoding_digests(docs, BYTE_BPE)
@@ -33,10 +50,46 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op3_warc": op3_warc,
+    "op4_source_mixing": op4_source_mixing,
     "op7_bpe_trie": op7_bpe_trie,
     "op8_token_counts": op8_token_counts,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_fingerprints": op10_fingerprints,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    # Digests and record types of the pages; every page comes back from its archive.
+    "op3_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), f AS (SELECT payload_digest, min(page_id) AS head FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+            CASE WHEN head < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN head < page_id THEN head END AS refers_to
+        FROM p LEFT JOIN f USING (payload_digest)
+    """,
+    # The same draws from MD5 digests, sorted and summed over whole sources.
+    "op4_source_mixing": """
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+                -ln((('0x' || substr(md5('mix-1:' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496)
+                / greatest(0.01, coalesce(pow(1 - (length(text) - length(translate(text, '0123456789!#$%&*+/<=>@[\\]^_`{|}~', '')))::DOUBLE / greatest(length(text), 1), 2), 0.01)) AS key
+            FROM documents
+        ), s AS (SELECT source, sum(size)::DOUBLE AS source_size FROM d GROUP BY 1),
+        w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT]::DOUBLE AS weight FROM s),
+        r AS (SELECT *, 2 * source_size AS fill, 2 * source_size / weight AS ratio, 1.5 * sum(source_size) OVER () AS total, sum(weight) OVER () AS weights FROM w),
+        l AS (
+            SELECT *, (total - coalesce(sum(fill) OVER b, 0)) / (weights - coalesce(sum(weight) OVER b, 0)) AS level FROM r
+            WINDOW b AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), t AS (SELECT source, source_size::BIGINT AS source_size, least(fill, coalesce(max(level) FILTER (ratio >= level) OVER () * weight, fill)) AS target FROM l),
+        e AS (SELECT *, round(target)::BIGINT AS budget, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS epochs FROM t),
+        k AS (
+            SELECT d.*, e.source_size, target, budget - epochs * e.source_size AS rest, epochs,
+                coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+            FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+        )
+        SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - start)))::BIGINT AS taken FROM k
+    """,
+}
