@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_trie, common, mixing, near_dedup, quality, sketches, token_cache, warc
+from . import bpe_trie, common, mixing, near_dedup, quality, sketches, token_cache, topk, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -19,6 +20,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model).select("doc_id", "expected_grade", "tail_probability", "keep")
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    return topk.search(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.table(spark, sf_dir, "pages", ["page_id", "url", "html"])
     return warc.round_trip(pages, common.scratch(spark, "warc"))
@@ -51,6 +57,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_topk_search": op2_topk_search,
     "op3_warc": op3_warc,
     "op4_source_mixing": op4_source_mixing,
     "op7_bpe_trie": op7_bpe_trie,
@@ -60,6 +67,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    # All scores of the queries, ranked.
+    "op2_topk_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+        )
+        SELECT query_id, (row_number() OVER r)::INT AS rank, vec_id, score FROM s
+        WINDOW r AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER r <= 20
+    """,
     # Digests and record types of the pages; every page comes back from its archive.
     "op3_warc": """
         WITH p AS (
