@@ -100,7 +100,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
     shards, blocks = max(1, -(-n // CANDIDATES)), max(1, -(-asked // QUERIES))
     left = rows.select("vec_id", "v", F.expr(f"pmod(xxhash64(vec_id, 'candidate'), {shards})").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     queries = rows.filter("q").groupBy("vec_id").agg(F.min("v").alias("v"))
-    right = queries.select("vec_id", "v", F.expr(f"pmod(xxhash64(vec_id, 'query'), {blocks})").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("shard"))
+    right = queries.select("vec_id", "v", F.expr(f"pmod(xxhash64(vec_id, 'query'), {blocks})").cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
 
     def dense(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         ids = t.column("vec_id").to_numpy().astype(np.int64)
