@@ -18,6 +18,7 @@ import json
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -69,6 +70,32 @@ def _word_patterns(path: str):
     return usual, regex.compile("(?V1)" + _WORDS.replace("LETTER", letter).replace("DIGIT", digit).replace("OTHER", other)), regex.compile(f"[{letters}{digits}]")
 
 
+class Splitter:
+    """Splits texts into the words that a byte-level BPE tokenizer merges within, and its special strings."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = spec["pre_tokenizer"]
+        if split["type"] != "ByteLevel" or split["add_prefix_space"] or not split.get("use_regex", True) or spec["normalizer"]:
+            raise ValueError("only byte-level files without prefix space and normaliser can be used")
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self._cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self._word, self._odd_word, self._odd = _word_patterns(path)
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text without special strings."""
+        if self._odd is None or text.isascii() or not self._odd.search(text):
+            return self._word.findall(text)
+        return self._odd_word.findall(text)
+
+    def pieces(self, text: str) -> list[str]:
+        """Words and special strings of a text, in order."""
+        if not any(m in text for m in self.special):
+            return self.words(text)
+        return [w for i, p in enumerate(self._cut.split(text)) for w in ([p] if i % 2 else self.words(p))]
+
+
 class TrieBpe:
     """Encoder and decoder for a byte-level BPE tokenizer file."""
 
@@ -77,16 +104,13 @@ class TrieBpe:
             spec = json.load(f)
         letters = _byte_letters()
         model = spec["model"]
-        if model["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"] or spec["normalizer"]:
-            raise ValueError("only byte-level BPE files without prefix space and normaliser can be used")
+        if model["type"] != "BPE":
+            raise ValueError("only BPE files can be used")
+        self.split = Splitter(path)
         self.bytes_of = {i: bytes(letters[c] for c in t) for t, i in model["vocab"].items() if all(c in letters for c in t)}
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        for content, i in special.items():
+        self.special = self.split.special
+        for content, i in self.special.items():
             self.bytes_of[i] = content.encode()
-        self.special = special
-        self._cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self._marks = tuple(special)
-        self._word, self._odd_word, self._odd = _word_patterns(path)
         # Tokens are numbered by the order in which merging makes them; a byte comes before any merge.
         vocab = model["vocab"]
         made: dict[str, int] = {c: b for c, b in letters.items() if c in vocab}
@@ -139,8 +163,9 @@ class TrieBpe:
 
     def learn(self, words: set[str]) -> None:
         """Encode words that are not kept yet."""
-        if len(self.kept) + len(words) > KEPT_WORDS:
-            self.kept.clear()
+        for special in words & self.special.keys():
+            self.kept[special] = (self.special[special],)
+        words = words - self.special.keys()
         token, longest, ids, fits, compatible = self._token, self._lengths, self._id, self._fits, self._compatible
         path: list[int] = [-1]  # last token of each prefix of the current word
         length: list[int] = [0]
@@ -175,12 +200,6 @@ class TrieBpe:
                 at -= length[at]
             self.kept[word] = tuple(reversed(out))
 
-    def words(self, text: str) -> list[str]:
-        """The words that a text without special strings is split into."""
-        if self._odd is None or text.isascii() or not self._odd.search(text):
-            return self._word.findall(text)
-        return self._odd_word.findall(text)
-
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text; special strings in a text become their special ids."""
         at = 0
@@ -189,22 +208,16 @@ class TrieBpe:
             while end < len(texts) and (size < 2_000_000 or end == at):
                 size += len(texts[end])
                 end += 1
-            cut = []
-            for text in texts[at:end]:
-                pieces = self._cut.split(text) if self._cut and any(m in text for m in self._marks) else [text]
-                cut.append([(self.special[p],) if i % 2 else self.words(p) for i, p in enumerate(pieces)])
+            cut = [self.split.pieces(text) for text in texts[at:end]]
             kept = self.kept
-            new = {w for pieces in cut for p in pieces[::2] for w in p if w not in kept}
+            new = {w for words in cut for w in words if w not in kept}
             if len(kept) + len(new) > KEPT_WORDS:
                 kept.clear()
-                new = {w for pieces in cut for p in pieces[::2] for w in p}
+                new = {w for words in cut for w in words}
             if new:
                 self.learn(new)
-            for pieces in cut:
-                if len(pieces) == 1:
-                    yield list(chain.from_iterable(map(kept.__getitem__, pieces[0])))
-                else:
-                    yield list(chain.from_iterable(chain.from_iterable(map(kept.__getitem__, p)) if i % 2 == 0 else p for i, p in enumerate(pieces)))
+            for words in cut:
+                yield list(chain.from_iterable(map(kept.__getitem__, words)))
             at = end
 
     def decode(self, ids: list[int]) -> str:
@@ -222,38 +235,31 @@ def encoder(path: str) -> TrieBpe:
     return _encoders[path]
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, decoded string) of every row."""
-    common.ship(docs.sparkSession)
-
-    def run(batches):
-        bpe = encoder(tokenizer)
-        for b in batches:
-            ids = list(bpe.encode_batch([t or "" for t in b.column(1).to_pylist()]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())], [id_col, "ids", "decoded"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
-
-
-def encoding_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of every row: what a check of a round trip needs, without the ids themselves.
+def encoding_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of every row, and with_ids its ids as array<int>.
 
-    One narrow pass: texts go to a worker and digests come back, nothing is shuffled.
+    One narrow pass: texts go to a worker and encodings come back, nothing is shuffled.
     """
     common.ship(docs.sparkSession)
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def run(batches):
         bpe = encoder(tokenizer)
         decimal = {i: str(i) for i in bpe.bytes_of}.__getitem__
         sha = hashlib.sha256
         for b in batches:
-            n, left, right = [], [], []
+            n, left, right, whole = [], [], [], []
             for ids in bpe.encode_batch([t or "" for t in b.column(1).to_pylist()]):
                 n.append(len(ids))
                 left.append(sha(",".join(map(decimal, ids)).encode()).hexdigest())
                 right.append(sha(bpe.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                if with_ids:
+                    whole.append(np.array(ids, dtype=np.int32))
+            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string())]
+            if with_ids:
+                flat = pa.array(np.concatenate(whole) if whole else np.zeros(0, dtype=np.int32))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), flat))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

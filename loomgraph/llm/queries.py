@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, common, mixing, near_dedup, quality, sketches, token_cache, topk, warc
+from . import bpe_trie, common, compaction, mixing, near_dedup, quality, sketches, token_cache, token_codec, topk, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -35,6 +35,24 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+def op5_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four arrivals, each appended and compacted, then a last compaction; every row as the last version has it."""
+    docs = common.table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source", "n_chars"])
+    table = compaction.ShardedTable(spark, common.scratch(spark, "shards"), docs.schema)
+    for part in compaction.arrivals(docs, "doc_id", 4):
+        table.append(part)
+        table.compact()
+    version = table.compact(final=True)
+    body = F.coalesce("text", F.lit(""))
+    return table.read(version).select("doc_id", "lang", "source", F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body.cast("binary"), 256).alias("text_sha256"))
+
+
+def op6_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents", ["doc_id", "text"])
+    folder = common.scratch(spark, "token-ids")
+    return token_codec.read_tokens(token_codec.write_tokens(docs, folder, BYTE_BPE), folder)
+
+
 def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents", ["doc_id", "text"])
     return bpe_trie.encoding_digests(docs, BYTE_BPE)
@@ -60,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk_search": op2_topk_search,
     "op3_warc": op3_warc,
     "op4_source_mixing": op4_source_mixing,
+    "op5_compaction": op5_compaction,
+    "op6_token_codec": op6_token_codec,
     "op7_bpe_trie": op7_bpe_trie,
     "op8_token_counts": op8_token_counts,
     "op9_near_duplicates": op9_near_duplicates,
@@ -79,6 +99,10 @@ SQL: dict[str, str] = {
         SELECT query_id, (row_number() OVER r)::INT AS rank, vec_id, score FROM s
         WINDOW r AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER r <= 20
     """,
+    # Every row comes back from the compacted shards, once.
+    "op5_compaction": """
+        SELECT doc_id, lang, source, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes, sha256(coalesce(text, '')) AS text_sha256 FROM documents
+    """,
     # Digests and record types of the pages; every page comes back from its archive.
     "op3_warc": """
         WITH p AS (
