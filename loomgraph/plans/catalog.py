@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries  # noqa: F401  registers its queries
+from . import graph_queries, stats_queries, text_queries  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
