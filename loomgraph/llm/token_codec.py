@@ -3,7 +3,7 @@
 Method: P(id) = w2 [id = e2] + w1 [id = e1] + w0 P0(id). Order 2 and order 1 predict one id each from the last two ids and from the last
 one (e2, e1, with a confidence that grows on hits and falls on misses); order 0 is a distribution over all ids, a tree of four
 16-way adaptive cumulative tables. The mixing weights are learnt for each state of the two confidences. The component that
-gives an id is coded first, then, for order 0, the four digits of the id, all by a 64-bit range coder with 16-bit
+gives an id is coded first, then, for order 0, the four digits of the id, all by a 64-bit range coder with 15-bit
 probabilities. Everything is integer arithmetic, so that any machine decodes what another has written.
 
 Blocks of BLOCK ids are independent: models are reset and each has a CRC-32 of its ids. Independence also makes the coder fast: numpy codes the same position of many
@@ -23,8 +23,10 @@ from __future__ import annotations
 import json
 import os
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +43,7 @@ LANES = 768
 #: Ids in a file, about.
 FILE_IDS = 6_000_000
 END_ID = 2
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 
 _NODES = 1 + 16 + 256 + 4096
 _SLOTS = 1 << 12
@@ -54,7 +56,7 @@ class FormatError(ValueError):
 
 
 def _targets() -> np.ndarray:
-    """Where a cumulative table moves to after each digit; every digit keeps some room."""
+    """Where a cumulative table moves to after each digit. Digits keep a share of 4 there, and so never less in a table that moves towards it by rounded-down steps."""
     t = np.empty((16, 17), dtype=np.int16)
     for digit in range(16):
         for s in range(17):
@@ -63,7 +65,12 @@ def _targets() -> np.ndarray:
 
 
 _TARGET = _targets()
-_RATE = np.array([1, 2, 3, 3, 4, 4, 4, 4, *[5] * 248], dtype=np.int16)
+#: How slowly the tables of each digit move: those of later digits are seen less often.
+_RATES = (6, 6, 5, 3)
+#: Where the mixing weights move to after an id of order 2, of order 1, of order 0.
+_GOALS = np.array([[32600, 32700], [50, 32700], [50, 150]], dtype=np.int32)
+#: Probabilities are of 2^15.
+_BITS, _ONE = np.uint64(15), 1 << 15
 
 
 class _Model:
@@ -75,81 +82,68 @@ class _Model:
         rows = lanes * (_NODES + 1)  # one more node for lanes without a digit to code
         self.table = np.empty((rows, 17), dtype=np.int16)
         self.table[:] = np.minimum(np.arange(17) * 2048, 32767)
-        self.times = np.zeros(rows, dtype=np.uint8)
         self.first = self.lane * (_NODES + 1)
         self.one = np.zeros(lanes * _SLOTS, dtype=np.int32)  # id << 3 | confidence, after the last id
         self.two = np.zeros(lanes * _SLOTS, dtype=np.int32)  # after the last two
         self.slots = self.lane * _SLOTS
-        self.mix = np.empty((lanes * _STATES, 2), dtype=np.int32)  # P(order 2), P(order 2 or 1) of 2^16, by state
-        self.mix[:] = (1 << 14, 3 << 13)
+        self.mix = np.empty((lanes * _STATES, 2), dtype=np.int32)  # P(order 2), P(order 2 or 1), by state
+        self.mix[:] = (_ONE // 4, 3 * _ONE // 8)
         self.states = self.lane * _STATES
         self.last = np.zeros(lanes, dtype=np.int64)
         self.before = np.zeros(lanes, dtype=np.int64)
 
     def predict(self) -> None:
         """The predictions for the next id and the mixing weights."""
-        self.at1 = self.slots + ((self.last * 0x9E5B) & 0xFFFFF) // 256 % _SLOTS
-        self.at2 = self.slots + (((self.last * 0x3D4D51 + self.before * 0x5F356495) & 0x7FFFFFFF) >> 11) % _SLOTS
-        self.v1, self.v2 = self.one[self.at1], self.two[self.at2]
+        self.at1 = (self.last * 0x9E5B >> 8 & _SLOTS - 1) + self.slots
+        self.at2 = (self.last * 0x3D4D51 + self.before * 0x5F356495 >> 11 & _SLOTS - 1) + self.slots
+        self.v1, self.v2 = self.one.take(self.at1), self.two.take(self.at2)
         self.e1, self.e2 = self.v1 >> 3, self.v2 >> 3
-        self.state = self.states + ((self.v2 & 7) << 4) + ((self.v1 & 7) << 1) + (self.e1 == self.e2)
-        self.w = self.mix[self.state]
+        self.state = ((self.v2 & 7) << 4) + ((self.v1 & 7) << 1) + (self.e1 == self.e2) + self.states
+        self.w = self.mix.take(self.state, axis=0)
 
     def learn(self, ids: np.ndarray, kind: np.ndarray) -> None:
-        w = self.w
-        goal = np.where(kind[:, None] <= np.array([0, 1]), np.array([65200, 65400], dtype=np.int32), np.array([100, 300], dtype=np.int32)).astype(np.int32)
-        w += (goal - w) >> 5
-        self.mix[self.state] = w
+        move = _GOALS.take(kind, axis=0)
+        move -= self.w
+        move >>= 5
+        move += self.w
+        self.mix[self.state] = move
+        fresh = (ids << 3 | 1).astype(np.int32)
         for at, v, e, store in ((self.at1, self.v1, self.e1, self.one), (self.at2, self.v2, self.e2, self.two)):
             sure = v & 7
-            hit = e == ids
-            store[at] = np.where(hit, np.where(sure < 7, v + 1, v), np.where(sure > 1, v - 2, (ids << 3).astype(np.int32) | 1))
+            store[at] = np.where(e == ids, v + (sure < 7), np.where(sure > 1, v - 2, fresh))
         self.before, self.last = self.last, ids
 
     def share(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Beginning and end of a component's share of 2^16."""
+        """Beginning and end of a component's share."""
         edges = np.empty((self.lanes, 4), dtype=np.int64)
-        edges[:, 0], edges[:, 3] = 0, 65536
+        edges[:, 0], edges[:, 3] = 0, _ONE
         edges[:, 1:3] = self.w
         flat, at = edges.ravel(), self.lane * 4 + kind
-        return flat[at], flat[at + 1]
+        return flat.take(at), flat.take(at + 1)
 
     def rows(self, node: np.ndarray, idle: np.ndarray) -> np.ndarray:
         at = self.first + node
         at[idle] = self.first[idle] + _NODES
         return at
 
-    def adapt(self, rows: np.ndarray, table: np.ndarray, digit: np.ndarray) -> None:
-        n = self.times[rows]
-        move = _TARGET[digit]
+    def adapt(self, rows: np.ndarray, table: np.ndarray, digit: np.ndarray, level: int) -> None:
+        move = _TARGET.take(digit, axis=0)
         move -= table
-        move >>= _RATE[n][:, None]
+        move >>= _RATES[level]
         move += table
         self.table[rows] = move
-        self.times[rows] = n + (n < 255)
 
 
 _BASES = (0, 1, 17, 273)
 
 
-_STEP = np.arange(17, dtype=np.int32) * 2
-
-
-def _scaled(table: np.ndarray) -> np.ndarray:
-    """Bounds of the digits' shares of 2^16 in cumulative tables of 2^15; no share is empty."""
-    wide = table.astype(np.int32)
-    wide *= 65504
-    wide >>= 15
-    wide += _STEP
-    return wide
-
-
-def _bounds(table: np.ndarray, first: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Beginning and size of a digit's share; first is where each row begins."""
+def _bounds(table: np.ndarray, first: np.ndarray, digit: np.ndarray, idle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Beginning and size of a digit's share, all of it for idle lanes; first is where each row begins."""
     flat, at = table.ravel(), first + digit
-    lo, hi = flat[at].astype(np.int64), flat[at + 1].astype(np.int64)
-    lo = (lo * 65504 >> 15) + 2 * digit
-    return lo, (hi * 65504 >> 15) + 2 * digit + 2 - lo
+    lo = flat.take(at)
+    size = flat.take(at + 1).astype(np.uint64) - lo.astype(np.uint64)
+    lo[idle], size[idle] = 0, _ONE
+    return lo, size
 
 
 class _Encoder:
@@ -160,7 +154,7 @@ class _Encoder:
         self.at = np.zeros(lanes, dtype=np.int64)
 
     def put(self, start: np.ndarray, size: np.ndarray) -> None:
-        unit = self.range >> np.uint64(16)
+        unit = self.range >> _BITS
         self.low += unit * start.astype(np.uint64)
         self.range = unit * size.astype(np.uint64)
         few = np.flatnonzero(self.range < _LEAST)
@@ -169,12 +163,15 @@ class _Encoder:
             across = (low >> np.uint64(32)) != ((low + width - np.uint64(1)) >> np.uint64(32))
             width = np.where(across, (~low + np.uint64(1)) & np.uint64(0xFFFFFFFF), width)
             at = self.at[few]
-            if at.max() + 3 > self.out.shape[1]:
-                self.out = np.concatenate((self.out, np.zeros((len(self.out), self.out.shape[1] // 2 + 8), dtype=np.uint32)), axis=1)
             self.out[few, at] = (low >> np.uint64(32)).astype(np.uint32)
             self.at[few] = at + 1
             self.low[few], self.range[few] = low << np.uint64(32), width << np.uint64(32)
 
+    def room(self, words: int) -> None:
+        """Make room for so many more words in each lane."""
+        if self.at.max() + words > self.out.shape[1]:
+            self.out = np.concatenate((self.out, np.zeros((len(self.out), self.out.shape[1] // 2 + words), dtype=np.uint32)), axis=1)
+
     def finish(self) -> list[bytes]:
         lanes = np.arange(len(self.low))
         self.out = np.concatenate((self.out, np.zeros((len(self.out), 2), dtype=np.uint32)), axis=1)
@@ -195,8 +192,8 @@ class _Decoder:
         self.at = np.full(len(words), 2, dtype=np.int64)
 
     def value(self) -> np.ndarray:
-        self.unit = self.range >> np.uint64(16)
-        return np.minimum((self.code - self.low) // self.unit, np.uint64(65535)).astype(np.int64)
+        self.unit = self.range >> _BITS
+        return np.minimum((self.code - self.low) // self.unit, np.uint64(_ONE - 1)).astype(np.int64)
 
     def take(self, start: np.ndarray, size: np.ndarray) -> None:
         self.low += self.unit * start.astype(np.uint64)
@@ -222,11 +219,13 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     ids = np.zeros((steps, len(blocks)), dtype=np.int64)
     for lane, i in enumerate(order):
         ids[: sizes[lane], lane] = blocks[i]
-    model, out = _Model(len(blocks)), _Encoder(len(blocks), steps // 2 + 16)
+    model, out = _Model(len(blocks)), _Encoder(len(blocks), steps // 3 + 16)
     first = model.lane * 17
     shortest = int(sizes[-1])
     with np.errstate(over="ignore"):
         for t in range(steps):
+            if t % 64 == 0:
+                out.room(5 * 64)
             x = ids[t]
             model.predict()
             kind = np.where(x == model.e2, 0, np.where(x == model.e1, 1, 2))
@@ -234,18 +233,16 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
             active = kind == 2
             if t >= shortest:  # lanes that have ended go on with zeros, which nobody reads
                 live = sizes > t
-                start, end = np.where(live, start, 0), np.where(live, end, 65536)
+                start, end = np.where(live, start, 0), np.where(live, end, _ONE)
                 active &= live
             out.put(start, end - start)
             idle = np.flatnonzero(~active)
             for level in range(4):
                 digit = x >> (12 - 4 * level) & 15
                 rows = model.rows(_BASES[level] + (x >> (16 - 4 * level)), idle)
-                table = model.table[rows]
-                lo, size = _bounds(table, first, digit)
-                lo[idle], size[idle] = 0, 65536
-                out.put(lo, size)
-                model.adapt(rows, table, digit)
+                table = model.table.take(rows, axis=0)
+                out.put(*_bounds(table, first, digit, idle))
+                model.adapt(rows, table, digit, level)
             model.learn(x, kind)
     packed = out.finish()
     back: list[bytes] = [b""] * len(blocks)
@@ -274,7 +271,7 @@ def decode_blocks(data: list[bytes], sizes: list[int]) -> list[np.ndarray]:
             active = kind == 2
             if t >= shortest:
                 live = length > t
-                start, end = np.where(live, start, 0), np.where(live, end, 65536)
+                start, end = np.where(live, start, 0), np.where(live, end, _ONE)
                 active &= live
             source.take(start, end - start)
             idle = np.flatnonzero(~active)
@@ -285,13 +282,12 @@ def decode_blocks(data: list[bytes], sizes: list[int]) -> list[np.ndarray]:
             node = np.zeros(len(x), dtype=np.int64)
             for level in range(4):
                 rows = model.rows(_BASES[level] + node, idle)
-                table = model.table[rows]
-                digit = (_scaled(table) <= source.value()[:, None]).sum(axis=1) - 1
+                table = model.table.take(rows, axis=0)
+                value = np.minimum(source.value(), _ONE - 2).astype(np.int16)
+                digit = (table > value[:, None]).argmax(axis=1) - 1
                 digit[idle] = x[idle] >> (12 - 4 * level) & 15
-                lo, size = _bounds(table, first, digit)
-                lo[idle], size[idle] = 0, 65536
-                source.take(lo, size)
-                model.adapt(rows, table, digit)
+                source.take(*_bounds(table, first, digit, idle))
+                model.adapt(rows, table, digit, level)
                 node = node * 16 + digit
             x = node
             if t >= shortest:
@@ -383,7 +379,10 @@ class LibraryWords:
         for at in range(0, len(new), 50_000):
             some = new[at : at + 50_000]
             for w, e in zip(some, self._library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                kept[w] = np.array(e.ids, dtype="<u2").tobytes()
+                ids = array("H", e.ids)
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                kept[w] = ids.tobytes()
         return [b"".join(map(kept.__getitem__, words)) for words in cut]
 
 
