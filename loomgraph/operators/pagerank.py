@@ -90,7 +90,7 @@ def necessity(sub_edges: DataFrame, pairs: DataFrame) -> DataFrame:
     such rank count as 0. A subgraph is tens to hundreds of nodes, so each pair is solved in one go by dense arithmetic.
     """
 
-    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf["a"].iloc[0], pdf["b"].iloc[0]
         src, dst = pdf["src"].to_numpy(), pdf["dst"].to_numpy()
         nodes = sorted({*src, *dst})

@@ -13,9 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[int] = set()
 
 
+#: Rows of an Arrow batch: texts can be long, and a batch is held by the JVM and by the Python worker at once.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once for each Spark context, so that workers can import it wherever they run."""
+    """Send this package to the executors once for each Spark context, so that workers can import it wherever they run, and bound Arrow batches."""
     sc = spark.sparkContext
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     if id(sc) in _shipped:
         return
     _shipped.add(id(sc))
