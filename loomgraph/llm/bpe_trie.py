@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Words whose encodings a worker keeps; beyond that it starts anew, which costs time and changes no result.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
+#: Pairs of tokens whose compatibility a worker keeps.
+KEPT_PAIRS = 300_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -150,6 +152,8 @@ class TrieBpe:
         key = left << 32 | right
         known = self._fits.get(key)
         if known is None:
+            if len(self._fits) >= KEPT_PAIRS:
+                self._fits.clear()
             known = self._fits[key] = self._apart(left, right, 1 << 60)
         return known
 
@@ -203,9 +207,9 @@ class TrieBpe:
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text; special strings in a text become their special ids."""
         at = 0
-        while at < len(texts):  # a few million characters at a time: their words are learnt together
+        while at < len(texts):  # about a million characters at a time: their words are learnt together
             end, size = at, 0
-            while end < len(texts) and (size < 2_000_000 or end == at):
+            while end < len(texts) and (size < 1_000_000 or end == at):
                 size += len(texts[end])
                 end += 1
             cut = [self.split.pieces(text) for text in texts[at:end]]
