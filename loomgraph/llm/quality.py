@@ -176,16 +176,21 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         for b in batches:
-            made = features([common.as_bytes(t) for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in made], pa.binary())], ["grade", "features"])
+            made = features([common.as_bytes(t) for t in b.column(2).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in made], pa.binary())], ["id", "grade", "features"])
 
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")  # a row for each sampled rating at most
-    got = texts.select("_grade", "_text").mapInArrow(run, "grade int, features binary").toArrow()
-    rows = [np.frombuffer(x, dtype=np.int32) for x in got.column(1).to_pylist()]
-    grades = np.array(got.column(0).to_pylist(), dtype=np.int64)
-    full = [i for i, r in enumerate(rows) if len(r)]
-    order = sorted(full, key=lambda i: (rows[i].tobytes(), grades[i]))  # the same whatever partitions came first
-    return fit_arrays([rows[i] for i in order], grades[order])
+    got = texts.select(F.xxhash64("_id").alias("id"), "_grade", "_text").mapInArrow(run, "id long, grade int, features binary").toArrow().combine_chunks()
+    if not got.num_rows:
+        return None
+    packed = got.column(2).combine_chunks() if got.column(2).num_chunks != 1 else got.column(2).chunk(0)
+    # Views of the collected buffer: nothing is copied.
+    flat = np.frombuffer(packed.buffers()[2], dtype=np.int32)
+    at = np.frombuffer(packed.buffers()[1], dtype=np.int64 if pa.types.is_large_binary(packed.type) else np.int32)[packed.offset : packed.offset + len(packed) + 1] // 4
+    grades = got.column(1).to_numpy().astype(np.int64)
+    order = np.lexsort((np.diff(at), grades, got.column(0).to_numpy()))  # the same whatever partitions came first
+    order = [i for i in order.tolist() if at[i + 1] > at[i]]
+    return fit_arrays([flat[at[i] : at[i + 1]] for i in order], grades[order])
 
 
 def scored(docs: DataFrame, model: Model | None, text_col: str = "text", least: float = 0.5) -> DataFrame:

@@ -81,8 +81,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
     misses = keyed.groupBy("content_digest").agg(F.min("_row").alias("_row")).join(stored, "content_digest", "left_anti")
 
     def encode(batches):
-        count = counter(tokenizer)
+        count, before = counter(tokenizer), None
         for b in batches:
+            keys = b.column(0).to_pylist()
+            once = pa.array([k != p for k, p in zip(keys, [before, *keys], strict=False)], pa.bool_())  # rows that repeat an id and its text follow each other
+            before = keys[-1] if keys else before
+            b = b.filter(once)
             texts = b.column(1).to_pylist()
             n, at = [], 0
             while at < len(texts):  # a bounded share of the encodings at a time
@@ -100,7 +104,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
         .select("content_digest", "_text")
         .filter(F.unhex(F.sha2(F.col("_text").cast("binary"), 256)) == F.col("content_digest"))
     )
-    new = wanted.mapInArrow(encode, "content_digest binary, n_tokens long").withColumn("tokenizer_digest", F.lit(version)).select("content_digest", "tokenizer_digest", "n_tokens")
+    new = wanted.mapInArrow(encode, "content_digest binary, n_tokens long").groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")).withColumn("tokenizer_digest", F.lit(version)).select("content_digest", "tokenizer_digest", "n_tokens")
     new.write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).filter(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
     return keyed.join(counts, "content_digest").select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
