@@ -13,6 +13,7 @@ table gives an empty result; columns besides the id and the text are ignored, wh
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words whose encodings a worker keeps; beyond that it starts anew, which costs time and changes no result.
+#: Words whose encodings a worker keeps in each of two generations; when the younger is full it becomes the older, whose unused words go. Forgetting costs time and changes no result.
 KEPT_WORDS = 200_000
 #: Pairs of tokens whose compatibility a worker keeps.
 KEPT_PAIRS = 300_000
@@ -128,10 +129,17 @@ class TrieBpe:
             self._pair.setdefault(a << 32 | b, made[whole])
         self._parts = parts
         self._token = {bytes(letters[c] for c in t): n for t, n in made.items()}
-        self._lengths = max(map(len, self._token))
         self._fits: dict[int, bool] = {}
         self._alone: dict[int, bool] = {}
         self.kept: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
+        # Tokens read backwards, as nested maps from bytes; -1 holds the token that ends there.
+        self._backwards: dict = {}
+        for t, n in self._token.items():
+            node = self._backwards
+            for x in reversed(t):
+                node = node.setdefault(x, {})
+            node[-1] = n
 
     def _apart(self, a: int, b: int, bound: int) -> bool:
         """Whether no merge numbered below bound crosses the seam of two tokens: undo their merges in turn, latest first, and see that no earlier one would have joined the parts at the seam."""
@@ -170,31 +178,32 @@ class TrieBpe:
         for special in words & self.special.keys():
             self.kept[special] = (self.special[special],)
         words = words - self.special.keys()
-        token, longest, ids, fits, compatible = self._token, self._lengths, self._id, self._fits, self._compatible
+        backwards, ids, fits, compatible, whole = self._backwards, self._id, self._fits.get, self._compatible, self._whole
         path: list[int] = [-1]  # last token of each prefix of the current word
         length: list[int] = [0]
         before = b""
         for data, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
             n, shared = len(data), 0
-            top = min(n, len(before))
-            while shared < top and data[shared] == before[shared]:
+            for x, y in zip(data, before, strict=False):
+                if x != y:
+                    break
                 shared += 1
             del path[shared + 1 :], length[shared + 1 :]
             for end in range(shared + 1, n + 1):
-                for start in range(max(0, end - longest), end):
-                    t = token.get(data[start:end])
-                    if t is None:
-                        continue
-                    if not start:
-                        if self._whole(t):
+                # Of the tokens that end here one alone is compatible with what comes before it.
+                node, start = backwards, end
+                while True:
+                    start -= 1
+                    node = node[data[start]]
+                    t = node.get(-1)
+                    if t is not None:
+                        if start:
+                            key = path[start] << 32 | t
+                            ok = fits(key)
+                            if compatible(path[start], t) if ok is None else ok:
+                                break
+                        elif whole(t):
                             break
-                        continue
-                    last = path[start]
-                    ok = fits.get(last << 32 | t)
-                    if compatible(last, t) if ok is None else ok:
-                        break
-                else:
-                    raise ValueError("the vocabulary lacks a byte")
                 path.append(t)
                 length.append(end - start)
             before = data
@@ -207,17 +216,24 @@ class TrieBpe:
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text; special strings in a text become their special ids."""
         at = 0
-        while at < len(texts):  # about a million characters at a time: their words are learnt together
+        while at < len(texts):  # about two million characters at a time: their words are learnt together
             end, size = at, 0
-            while end < len(texts) and (size < 1_000_000 or end == at):
+            while end < len(texts) and (size < 2_000_000 or end == at):
                 size += len(texts[end])
                 end += 1
             cut = [self.split.pieces(text) for text in texts[at:end]]
-            kept = self.kept
-            new = {w for words in cut for w in words if w not in kept}
-            if len(kept) + len(new) > KEPT_WORDS:
-                kept.clear()
-                new = {w for words in cut for w in words}
+            kept, older = self.kept, self._older
+            wanted = {w for words in cut for w in words if w not in kept}
+            if len(kept) + len(wanted) > KEPT_WORDS and kept:
+                self._older = older = kept
+                self.kept = kept = {}
+                wanted = {w for words in cut for w in words}
+            new = set()
+            for w in wanted:
+                if (known := older.get(w)) is None:
+                    new.add(w)
+                else:
+                    kept[w] = known
             if new:
                 self.learn(new)
             for words in cut:
@@ -236,6 +252,9 @@ def encoder(path: str) -> TrieBpe:
     """One encoder for each worker and tokenizer file."""
     if path not in _encoders:
         _encoders[path] = TrieBpe(path)
+        # What is kept are plain maps and tuples without cycles: the collector need not walk them again and again.
+        gc.freeze()
+        gc.set_threshold(200_000, 20, 20)
     return _encoders[path]
 
 
