@@ -126,12 +126,16 @@ def contains_feature(c: Column, feature: Column, span: int = 80) -> Column:
 
     Tokens are lower-cased and the text is not, so capitalised words don't match.
     """
-    text, found = normalize(c), tokens(normalize(feature))
+    return contains_tokens(normalize(c), tokens(normalize(feature)), span)
+
+
+def contains_tokens(text: Column, found: Column, span: int = 80) -> Column:
+    """contains_feature for a normalised text and a feature's tokens. Plain containment goes first: patterns are only built for texts that hold every token."""
     word = lambda t: F.concat(F.lit(r"(?U)\b"), t, F.lit(r"\b"))  # noqa: E731  tokens hold no special characters
     near = lambda a, b: F.concat(F.lit(r"(?U)\b"), a, F.lit(rf"\b.{{0,{span}}}\b"), b, F.lit(r"\b"))
     n = F.size(found)
     return (
-        F.when((text == "") | (n == 0), F.lit(False))
+        F.when((n == 0) | ~F.forall(found, lambda t: F.contains(text, t)), F.lit(False))
         .when(n == 2, F.rlike(text, near(F.get(found, F.lit(0)), F.get(found, F.lit(1)))) | F.rlike(text, near(F.get(found, F.lit(1)), F.get(found, F.lit(0)))))
         .otherwise(F.forall(found, lambda t: F.rlike(text, word(t))))
     )

@@ -40,6 +40,6 @@ def mmr(items: DataFrame, queries: DataFrame, k: int, weight: float = RELEVANCE)
 
 def lexicon_matches(docs: DataFrame, lexicon: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, feature): the features of a lexicon that each text has. The lexicon is a list of phrases, given with the query, and goes to every task."""
-    lists = lexicon.agg(F.array_sort(F.collect_set("feature")).alias("features"))
+    lists = lexicon.agg(F.collect_set(F.struct("feature", T.tokens(T.normalize(F.col("feature"))).alias("tokens"))).alias("features"))
     one = docs.select(id_col, T.normalize(F.col(text_col)).alias("_t")).crossJoin(F.broadcast(lists))  # one row: the lexicon
-    return one.select(id_col, "_t", F.explode("features").alias("feature")).filter(T.contains_feature(F.col("_t"), F.col("feature"))).select(id_col, "feature")
+    return one.select(id_col, F.explode(F.filter("features", lambda f: T.contains_tokens(F.col("_t"), f["tokens"]))).alias("f")).select(id_col, "f.feature")

@@ -317,3 +317,28 @@ def pair_key_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = h.read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
     named = li.join(h.read(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(h.read(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
     return named.select(F.upper(F.trim("s_name")).alias("a"), F.upper(F.trim("p_name")).alias("b"), scalars.pair_key(F.col("s_name"), F.col("p_name")).alias("pair")).distinct()
+
+
+@query(f"""
+    WITH {h.EDGES_SQL}, {_SEEDS}, l1 AS (SELECT s.start, n.b AS node, 1::DOUBLE / d.degree AS prob FROM seeds s JOIN neighbors n ON n.a = s.start JOIN degrees d ON d.node = s.start),
+    l2 AS (SELECT f.start, n.b AS node, arg_min(f.prob / d.degree, f.node) AS prob FROM l1 f JOIN neighbors n ON n.a = f.node JOIN degrees d ON d.node = f.node
+        WHERE n.b <> f.start AND NOT EXISTS (SELECT 1 FROM l1 x WHERE x.start = f.start AND x.node = n.b) GROUP BY 1, 2)
+    SELECT start, node, round(prob, 12) AS prob FROM (SELECT start, start AS node, 1::DOUBLE AS prob FROM seeds UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2)
+""")
+def path_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighborhood.path_probabilities(_seeds(spark, sf_dir), h.edges(spark, sf_dir), 2).withColumn("prob", F.round("prob", 12))
+
+
+@query(f"WITH {h.EDGES_SQL}, {h.NODES_SQL}, {_SEEDS}, {_HOP2}, {_DOMINANT.replace('rank <= 30', 'rank <= 12')}")
+def khop_cross_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighborhood.cross_source(_seeds(spark, sf_dir), h.edges(spark, sf_dir), h.nodes(spark, sf_dir), 2)
+
+
+@query(f"""
+    WITH {h.EDGES_SQL}, {h.NODES_SQL}, {_SEEDS}, step AS (SELECT DISTINCT a, b, source FROM both_ways), hop AS (SELECT DISTINCT start, source, b AS node FROM seeds JOIN step ON a = start WHERE b <> start),
+    typed AS (SELECT start, source, node, n.type FROM hop JOIN nodes n ON n.node_id = node), counted AS (SELECT start, source, type, count(*) AS n FROM typed GROUP BY 1, 2, 3),
+    chosen AS (SELECT start, source, type FROM (SELECT *, row_number() OVER (PARTITION BY start, source ORDER BY n DESC, type) AS r FROM counted) WHERE r = 1)
+    SELECT start, source, type, node, (row_number() OVER (PARTITION BY start, source ORDER BY node))::INT AS rank FROM typed JOIN chosen USING (start, source, type)
+""")
+def dominant_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighborhood.by_source(_seeds(spark, sf_dir), h.edges(spark, sf_dir), h.nodes(spark, sf_dir), 1)
