@@ -8,8 +8,8 @@ keys are sorted within the source and sizes are prefix-summed up to the budget.
 taken in part, so a source's taken words are its rounded target.
 
 Scale and skew: keys fall into buckets of the exponential scale, about BUCKET documents each, so a hot source has many. Bucket
-sums (map-side aggregation) decide all buckets but the one at the edge of each source's budget; only its documents are sorted. The
-tables of sources and of buckets are the only ones that windows run over whole.
+sums (map-side aggregation) tell in which bucket a source's budget ends; only the keys of that one are sorted, and what comes out is a row for each source, the last
+document taken. The mix is then one pass that compares keys. The tables of sources and of buckets are the only ones that windows run over whole.
 
 Defined results: a null text has size 0; a null source is a source of its own, after all others; a source without words has target
 0; with no words at all every target is 0. A document without words takes 0. A quality weight that is null, not finite or not positive counts as the least
@@ -88,14 +88,17 @@ def plan(docs: DataFrame, quality_col: Column | None = None, weights: tuple[int,
     sums = place(slim).groupBy("_s", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     before = Window.partitionBy("_s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     edge = sums.withColumn("done", F.coalesce(F.sum("words").over(before), F.lit(0))).filter("done < rest AND done + words >= rest").select(F.col("_s").alias("_e"), F.col("bucket").alias("edge"), "done")
-    edge = common.saved(edge, "mix-edges")  # one row for each source with a fraction to take
-    known = place(rows).join(edge, F.col("_s").eqNullSafe(F.col("_e")), "left")
-    out = ["doc_id", "size", "source_size", "target", "epochs", *keep]
-    within = Window.partitionBy("_s").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    cut = known.filter("bucket = edge").withColumn("start", F.col("done") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    cut = cut.select(*out, F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start"))).alias("part"))
-    clear = known.filter("edge IS NULL OR bucket <> edge").select(*out, F.when(F.col("bucket") < F.col("edge"), F.col("size")).otherwise(F.lit(0)).alias("part"))
-    return cut.unionByName(clear).withColumn("taken", F.col("epochs") * F.col("size") + F.col("part"))
+    # The row at each budget's edge, found among the ids, keys and sizes of its bucket: one row for each source with a fraction to take.
+    at = F.struct("_key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "size")
+    close = place(slim).join(edge, F.col("_s").eqNullSafe(F.col("_e")) & (F.col("bucket") == F.col("edge"))).withColumn("_at", at)
+    within = Window.partitionBy("_s").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    close = close.withColumn("start", F.col("done") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    last = close.filter("start < rest AND start + size >= rest").select(F.col("_e").alias("_f"), F.col("_at").alias("last"))
+    same = close.join(last, F.col("_s").eqNullSafe(F.col("_f")) & (F.col("_at") == F.col("last")))  # rows that nothing tells apart share alike
+    edges = common.saved(same.groupBy(F.col("_f").alias("_e"), "last", "rest").agg(F.min("start").alias("start"), F.count("*").alias("alike")).select("_e", "last", F.expr("(rest - start) div alike").alias("cut")), "mix-edges")
+    known = place(rows).join(edges, F.col("_s").eqNullSafe(F.col("_e")), "left").withColumn("_at", at)
+    part = F.when(F.col("last").isNull() | (F.col("_at") > F.col("last")), F.lit(0)).when(F.col("_at") == F.col("last"), F.least("size", "cut")).otherwise(F.col("size"))
+    return known.select("doc_id", "size", "source_size", "target", "epochs", *keep, part.alias("part")).withColumn("taken", F.col("epochs") * F.col("size") + F.col("part"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
