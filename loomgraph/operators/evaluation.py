@@ -87,3 +87,10 @@ def score_texts(rows: DataFrame) -> DataFrame:
         "structural_score": text.structural_score(F.col("text")), "grounding_ok": expected & (text.citation_count(F.col("text")) >= 2), "precision": p, "recall": r, "f1": f1,
         "hallucination_score": F.when(F.coalesce("explanation", F.lit("")) == "", 1.0),
     })
+
+
+def payloads(rows: DataFrame) -> DataFrame:
+    """(id, payload): the JSON document of each answered prompt (id, a, b, prompt, model, features, explanation, texts map) before it is scored."""
+    truth = F.struct((F.trim(F.coalesce("explanation", F.lit(""))) != "").alias("available"), F.coalesce("features", F.expr("cast(array() as array<string>)")).alias("features"), F.coalesce("explanation", F.lit("")).alias("explanation"))
+    whole = F.struct(F.col("a").alias("gene_a"), F.col("b").alias("gene_b"), F.substring(F.sha2(F.coalesce("prompt", F.lit("")), 256), 1, 16).alias("prompt_hash"), F.struct(F.col("model").alias("name")).alias("model"), truth.alias("ground_truth"), "texts")
+    return rows.select("id", F.to_json(whole).alias("payload"))

@@ -172,3 +172,15 @@ def auc(rows: DataFrame, score: str = "score", label: str = "label") -> DataFram
     c = g.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down))
     s = c.agg(F.sum("p").alias("P"), F.sum("n").alias("N"), F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)).alias("area"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"))
     return s.select((F.col("area") / F.nullif(F.col("P") * F.col("N"), F.lit(0))).alias("auc"), (F.col("ap") / F.nullif(F.col("P"), F.lit(0))).alias("average_precision"))
+
+
+def counterfactual_drops(base: DataFrame, masked: DataFrame, item: str = "item") -> DataFrame:
+    """(name, value): the mean drop of the items' scores when a type or source is masked. base: item, score. masked: name, item, score."""
+    b = base.select(item, F.col("score").alias("_b"))
+    return masked.join(b, item).groupBy("name").agg(F.avg(F.col("_b") - F.col("score")).alias("value"))
+
+
+def type_ranks(norms: DataFrame) -> DataFrame:
+    """(type, rank): node types from 1 by their mean norm (type, norm), the largest first."""
+    m = norms.groupBy("type").agg(F.avg("norm").alias("m"))
+    return m.select("type", F.row_number().over(Window.orderBy(F.desc("m"), "type")).alias("rank"))  # a row for each type

@@ -133,3 +133,23 @@ def auc_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def relation_type_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = h.edges(spark, sf_dir).select(F.concat_ws(learning.SEPARATOR, "type", "source").alias("relation"), F.col("evidence").alias("value"))
     return learning.averages_by_half(scores)[0].withColumn("value", F.round("value", 6))
+
+
+@query("""
+    WITH b AS (SELECT l_orderkey AS item, sum(l_quantity) AS score FROM lineitem GROUP BY 1), n AS (SELECT DISTINCT l_returnflag AS name FROM lineitem),
+    m AS (SELECT name, item, score - coalesce((SELECT sum(l_quantity) FROM lineitem WHERE l_orderkey = item AND l_returnflag = name), 0) AS masked, score FROM b, n)
+    SELECT name, round(avg(score - masked), 6) AS value FROM m GROUP BY 1
+""")
+def counterfactual_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' quantities with the lines of each return flag masked."""
+    li = h.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), "l_returnflag", "l_quantity")
+    base = li.groupBy("item").agg(F.sum("l_quantity").alias("score"))
+    own = li.groupBy("item", F.col("l_returnflag").alias("name")).agg(F.sum("l_quantity").alias("own"))
+    names = li.select(F.col("l_returnflag").alias("name")).distinct()
+    masked = base.join(F.broadcast(names)).join(own, ["item", "name"], "left").select("name", "item", (F.col("score") - F.coalesce("own", F.lit(0.0))).alias("score"))
+    return learning.counterfactual_drops(base, masked).withColumn("value", F.round("value", 6))
+
+
+@query("SELECT type, (row_number() OVER (ORDER BY m DESC, type))::INT AS rank FROM (SELECT p_type AS type, round(avg(p_retailprice), 9) AS m FROM part GROUP BY 1)")
+def node_type_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.type_ranks(h.read(spark, sf_dir, "part").select(F.col("p_type").alias("type"), F.col("p_retailprice").alias("norm")))

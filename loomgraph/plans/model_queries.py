@@ -106,3 +106,13 @@ def explained_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def explained_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explain.explain_pairs(h.nodes(spark, sf_dir), h.edges(spark, sf_dir), h.pairs(spark, sf_dir), priority=h.PRIORITY, rounds=4)
+
+
+@query("""
+    SELECT conv_id || '-' || turn AS id, substr(sha256(text), 1, 16) AS hash, length(text) > 0 AS available FROM conversations
+""")
+def payload_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = h.read(spark, sf_dir, "conversations")
+    rows = c.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.lit("A").alias("a"), F.lit("B").alias("b"), F.col("text").alias("prompt"), F.lit("m").alias("model"), F.array("role").alias("features"), F.col("text").alias("explanation"), F.create_map(F.lit("baseline"), F.col("text")).alias("texts"))
+    p = evaluation.payloads(rows)
+    return p.select("id", F.get_json_object("payload", "$.prompt_hash").alias("hash"), F.get_json_object("payload", "$.ground_truth.available").cast("boolean").alias("available"))
