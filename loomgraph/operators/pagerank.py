@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..runtime import saved
+from ..runtime import partitions, saved, ship
 
 ALPHA, ROUNDS, TOLERANCE = 0.85, 200, 1e-9
 #: Rounds between two cuts of the lineage.
 CUT = 8
+#: Distinct steps up to which each task holds the whole graph, at some 20 bytes a step, instead of joining ranks to steps in every round.
+HELD = 2_000_000
+#: Shares of necessity below this are rounding.
+NOTHING = 1e-12
 
 
 def transitions(edges: DataFrame) -> DataFrame:
@@ -25,10 +32,12 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, *, alpha: float =
 
     Rank leaves a node along its outgoing edges; from nodes without any it returns to the seed, as does 1 - alpha of all. Only reached nodes are
     held: the iteration starts at the seeds. It stops when no source moves by more than tolerance for each node, or, if
-    fixed, after the given rounds.
+    fixed, after the given rounds. Unless fixed, a graph of at most HELD steps goes to the tasks whole and each solves its seeds alone.
     """
     step = saved(transitions(edges), "ppr-steps")
     start = seeds.select("source_id", F.col("node").alias("seed")).distinct()
+    if not fixed and step.count() <= HELD:
+        return _held_pagerank(step, start, alpha, rounds, tolerance)
     home = start.select("source_id", "seed", F.col("seed").alias("node"), F.lit(1 - alpha).alias("rank"))
 
     def advance(rank: DataFrame) -> DataFrame:
@@ -58,6 +67,46 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, *, alpha: float =
     return rank.select("source_id", "node", "rank")
 
 
+def sparse_pagerank(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int, seed: int, alpha: float, rounds: int, tolerance: float) -> np.ndarray:
+    """Personalised PageRank of n nodes from one seed, over steps of numbered ends."""
+    sink = np.ones(n, dtype=bool)
+    sink[src] = False
+    x = np.zeros(n)
+    x[seed] = 1
+    for _ in range(rounds):
+        new = alpha * np.bincount(dst, w * x[src], minlength=n)
+        new[seed] += alpha * x[sink].sum() + 1 - alpha
+        moved = np.abs(new - x).sum()
+        x = new
+        if moved < tolerance * n:
+            break
+    return x
+
+
+def _held_pagerank(step: DataFrame, start: DataFrame, alpha: float, rounds: int, tolerance: float) -> DataFrame:
+    """The converged ranks of seeds (source_id, seed) over a graph that a task can hold."""
+    spark = step.sparkSession
+    ship(spark)
+    t = step.toArrow()
+    ends = pa.chunked_array([*t["src"].chunks, *t["dst"].chunks], t["src"].type).combine_chunks().dictionary_encode()
+    codes = ends.indices.to_numpy()
+    held = spark.sparkContext.broadcast((codes[: len(t)], codes[len(t) :], t["w"].to_numpy(), ends.dictionary))
+
+    def run(batches):
+        src, dst, w, names = held.value
+        for b in batches:
+            for i, at in enumerate(pc.index_in(b.column(1), value_set=names).to_pylist()):
+                if at is None:  # no edge touches the seed: all rank stays there
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([1.0])], ["source_id", "node", "rank"])
+                    continue
+                x = sparse_pagerank(src, dst, w, len(names), at, alpha, rounds, tolerance)
+                some = np.flatnonzero(x)
+                yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[i], len(some)), names.take(pa.array(some)), pa.array(x[some])], ["source_id", "node", "rank"])
+
+    out = T.StructType([T.StructField("source_id", start.schema["source_id"].dataType), T.StructField("node", step.schema["src"].dataType), T.StructField("rank", T.DoubleType())])
+    return start.select("source_id", F.col("seed").cast(step.schema["src"].dataType)).repartition(partitions(spark)).mapInArrow(run, out)
+
+
 def _matrix(nodes: list[str], src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     at = {n: i for i, n in enumerate(nodes)}
     m = np.zeros((len(nodes), len(nodes)))
@@ -83,34 +132,80 @@ def dense_pagerank(m: np.ndarray, seed: int, alpha: float = ALPHA, rounds: int =
     return x
 
 
+def green(m: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
+    """(I - alpha P)^-1 of a small graph, given as counts of edges.
+
+    Nodes outside a cover of all links are joined to covering nodes only, so their block is diagonal and what is inverted is as large as the cover.
+    """
+    n, out = len(m), m.sum(axis=1)
+    a = np.eye(n) - alpha * m / np.where(out, out, 1)[:, None]
+    link = (m > 0) | (m.T > 0)
+    np.fill_diagonal(link, False)
+    degree, cover = link.sum(axis=1), np.zeros(n, dtype=bool)
+    while (at := int(degree.argmax())) >= 0 and degree[at] > 0:
+        cover[at] = True
+        degree -= link[at]
+        link[at], link[:, at], degree[at] = False, False, 0
+    h, rest = np.flatnonzero(cover), np.flatnonzero(~cover)
+    own = 1 / a[rest, rest]
+    there, back = a[np.ix_(h, rest)] * own, a[np.ix_(rest, h)] * own[:, None]
+    inner = np.linalg.inv(a[np.ix_(h, h)] - there @ a[np.ix_(rest, h)])
+    g = np.empty((n, n))
+    g[np.ix_(h, h)], g[np.ix_(h, rest)], g[np.ix_(rest, h)] = inner, -inner @ there, -back @ inner
+    g[np.ix_(rest, rest)] = np.diag(own) + back @ inner @ there
+    return g
+
+
+def removal_losses(m: np.ndarray, g: np.ndarray, s: int, t: int, alpha: float = ALPHA) -> np.ndarray:
+    """For each node of a small graph, given as counts of edges and its green(), the share of t's PageRank from s that is lost without it.
+
+    Exact: PageRank from s is row s of G = (I - alpha P)^-1, scaled to sum 1, since rank without a way on returns to the seed. Without node i only
+    the rows of P with a step to i change, so the new row s is the old one with a correction as large as their number (Woodbury).
+    """
+    n, out = len(m), m.sum(axis=1)
+    lost = np.zeros(n)
+    total = g.sum(axis=1)
+    before = g[s, t] / total[s]
+    if before <= 1e-9:
+        return lost
+    for i in range(n):
+        into = np.flatnonzero(m[:, i])
+        into = into[into != i]
+        if i in (s, t) or not len(into):
+            continue
+        only = m[into, i] == out[into]
+        ratio = np.where(only, -1.0, m[into, i] / np.where(only, 1.0, out[into] - m[into, i]))
+        back = np.where(only, 0.0, alpha)  # a row that only led to i becomes empty; others are spread over their other steps
+
+        def changed(of_into: np.ndarray, same: np.ndarray | float, of_i: np.ndarray | float, ratio=ratio, back=back) -> np.ndarray:
+            r, b = (ratio[:, None], back[:, None]) if of_into.ndim == 2 else (ratio, back)
+            return -r * (of_into - same - b * of_i)
+
+        k = np.eye(len(into)) + changed(g[np.ix_(into, into)], np.eye(len(into)), g[i, into])
+        c = np.linalg.solve(k.T, g[s, into])
+        rank, whole = g[s, t] - c @ changed(g[into, t], into == t, g[i, t]), total[s] - c @ changed(total[into], 1.0, total[i])
+        lost[i] = max(0.0, before - rank / whole) / before
+    lost[lost < NOTHING] = 0
+    return lost
+
+
 def necessity(sub_edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(pair_id, node, necessity_ab, necessity_ba, necessity) of the nodes of each pair's subgraph (pair_id, src, dst).
 
     Necessity from a to b is the share of b's PageRank from a that is lost without the node; negative losses, the ends themselves, and pairs without
-    such rank count as 0. A subgraph is tens to hundreds of nodes, so each pair is solved in one go by dense arithmetic.
+    such rank count as 0. A subgraph is at most a few thousand nodes, so each pair is solved in one go by dense arithmetic.
     """
 
+    ship(sub_edges.sparkSession)
+
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf["a"].iloc[0], pdf["b"].iloc[0]
         src, dst = pdf["src"].to_numpy(), pdf["dst"].to_numpy()
         nodes = sorted({*src, *dst})
-        whole = _matrix(nodes, src, dst)
-
-        def flow(m, names, s, t):
-            return dense_pagerank(m, names.index(s))[names.index(t)] if s in names and t in names else 0.0
-
-        base = {(s, t): flow(whole, nodes, s, t) for s, t in ((a, b), (b, a))}
-        rows = []
-        for i, n in enumerate(nodes):
-            lost = []
-            for (s, t), before in base.items():
-                if n in (s, t) or before <= 1e-9:
-                    lost.append(0.0)
-                    continue
-                rest = np.delete(np.delete(whole, i, 0), i, 1)
-                lost.append(max(0.0, before - flow(rest, [x for x in nodes if x != n], s, t)) / before)
-            rows.append((key[0], n, lost[0], lost[1], max(lost)))
-        return pd.DataFrame(rows, columns=["pair_id", "node", "necessity_ab", "necessity_ba", "necessity"])
+        whole, at = _matrix(nodes, src, dst), {x: i for i, x in enumerate(nodes)}
+        g = green(whole)
+        ab, ba = (removal_losses(whole, g, at[s], at[t]) if s in at and t in at else np.zeros(len(nodes)) for s, t in ((a, b), (b, a)))
+        return pd.DataFrame({"pair_id": key[0], "node": nodes, "necessity_ab": ab, "necessity_ba": ba, "necessity": np.maximum(ab, ba)})
 
     kind = pairs.schema["pair_id"].dataType.simpleString()
     return sub_edges.select("pair_id", "src", "dst").join(pairs.select("pair_id", "a", "b"), "pair_id").groupBy("pair_id").applyInPandas(solve, f"pair_id {kind}, node string, necessity_ab double, necessity_ba double, necessity double")

@@ -89,8 +89,7 @@ def keyphrase_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _explained(spark: SparkSession, sf_dir: str) -> explain.Explanation:
-    settings = explain.Settings(priority=h.PRIORITY, ppr_rounds=4, neighbors=20, max_nodes=60, max_edges=60)
-    return explain.explain(h.nodes(spark, sf_dir), h.edges(spark, sf_dir), h.pairs(spark, sf_dir), settings)
+    return explain.explain(h.nodes(spark, sf_dir), h.edges(spark, sf_dir), h.pairs(spark, sf_dir), explain.Settings(priority=h.PRIORITY))
 
 
 @query()
