@@ -240,7 +240,7 @@ def ranked_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def adaptive_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighborhood.adaptive_neighborhood(_seeds(spark, sf_dir), h.edges(spark, sf_dir), max_hops=3)
+    return neighborhood.adaptive_neighborhood(_seeds(spark, sf_dir), h.edges(spark, sf_dir), max_hops=3, priority=h.PRIORITY)
 
 
 @query(f"""

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from loomgraph.operators import pagerank
+from loomgraph.operators import neighborhood, pagerank
 from loomgraph.plans import catalog, explain
 from loomgraph.plans import harness as h
 
@@ -50,3 +50,42 @@ def test_held_and_joined_pagerank(spark, monkeypatch):
     joined = pagerank.personalized_pagerank(e, seeds).toPandas()
     both = pd.merge(held, joined, on=["source_id", "node"], how="outer")
     assert len(both) == 5 + 5 and np.abs(both["rank_x"] - both["rank_y"]).max() < 1e-7
+
+
+def _adaptive(edges, start, hops, stop_nodes=24, stop_types=6, max_nodes=250, priority=None):
+    rank = lambda e: ((priority or {}).get(e[0], 99), e[1], e[0])
+    kinds: dict[str, dict[str, list]] = {}
+    for s, d, t in edges:
+        if s != d:
+            kinds.setdefault(s, {}).setdefault(d, []).append((t, "forward"))
+            kinds.setdefault(d, {}).setdefault(s, []).append((t, "reverse"))
+    seen, frontier, types = {start: 0}, {start}, set()
+    for level in range(1, hops + 1):
+        new = set()
+        for x in frontier:
+            for y, es in kinds.get(x, {}).items():
+                types.add(min(es, key=rank)[0])
+                if y not in seen:
+                    new.add(y)
+        seen |= dict.fromkeys(new, level)
+        frontier = new
+        if len(seen) - 1 >= max_nodes or len(seen) - 1 >= stop_nodes and len(types) >= stop_types:
+            break
+    return seen
+
+
+def test_adaptive_neighborhood(spark, small, edges):
+    """Whole levels: the registered query, and random graphs whose stops come early, late and never."""
+    rows = list(edges[["src", "dst", "type"]].itertuples(index=False, name=None))
+    got = catalog.QUERIES["adaptive_neighborhood"](spark, small).toPandas()
+    for start, own in got.groupby("start"):
+        assert dict(zip(own["node"], own["hops"], strict=True)) == _adaptive(rows, start, 3, priority=h.PRIORITY)
+    assert got.groupby("start").size().min() > 100
+    r = np.random.default_rng(5)
+    graphs = [(f"{g}:{r.integers(40)}", f"{g}:{r.integers(40)}", f"t{r.integers(4)}") for g in range(12) for _ in range(20 + 5 * g)] + [(f"{g}:0", f"{g}:1", "t0") for g in range(12)]
+    e = spark.createDataFrame([(*x, i, "s") for i, x in enumerate(graphs)], "src string, dst string, type string, key long, source string")
+    seeds = spark.createDataFrame([(f"{g}:0", f"{g}:0") for g in range(12)], "start string, node string")
+    out = neighborhood.adaptive_neighborhood(seeds, e, max_hops=3, stop_nodes=6, stop_types=3, max_nodes=12, priority={"t2": 0}).toPandas()
+    for g in range(12):
+        own = out[out["start"] == f"{g}:0"]
+        assert dict(zip(own["node"], own["hops"], strict=True)) == _adaptive(graphs, f"{g}:0", 3, 6, 3, 12, {"t2": 0})
