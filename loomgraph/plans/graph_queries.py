@@ -162,9 +162,10 @@ def _ppr_sql(rounds: int) -> str:
     return ",".join(parts)
 
 
-def _ppr(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
+def _ppr(spark: SparkSession, sf_dir: str, edges: DataFrame, rounds: int | None = _ROUNDS) -> DataFrame:
+    """Converged without a number of rounds."""
     seeds = h.pairs(spark, sf_dir).select(F.col("pair_id").alias("source_id"), F.col("a").alias("node"))
-    return pagerank.personalized_pagerank(edges, seeds, rounds=_ROUNDS, fixed=True)
+    return pagerank.personalized_pagerank(edges, seeds, rounds=rounds or pagerank.ROUNDS, fixed=rounds is not None)
 
 
 @query(f"WITH {h.EDGES_SQL}, {h.PAIRS_SQL}, {_ppr_sql(_ROUNDS)} SELECT pair_id AS source_id, node, round(rank, 8) AS rank FROM rank{_ROUNDS}")
@@ -183,6 +184,21 @@ def ppr_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagerank.personalized_pagerank(edges.unionByName(r), r.select(F.col("src").alias("source_id"), F.col("src").alias("node")))
 
 
+@query()
+def ppr_converged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the first end of every pair, over the harness graph."""
+    return _ppr(spark, sf_dir, h.edges(spark, sf_dir), None)
+
+
+def _ranked_paths(spark: SparkSession, sf_dir: str, rounds: int | None) -> DataFrame:
+    edges, pairs = h.edges(spark, sf_dir), h.pairs(spark, sf_dir)
+    found = paths.bounded_paths(pairs, edges, 3, 40)
+    ends = pairs.select("pair_id", F.col("b").alias("node"))
+    ppr = _ppr(spark, sf_dir, edges, rounds).withColumnRenamed("source_id", "pair_id").join(ends, ["pair_id", "node"]).select("pair_id", F.col("rank").alias("ppr"))
+    best = paths.rank_paths(found, edges, ppr, h.PRIORITY, 3, 4)
+    return best.select("pair_id", "nodes", "sources", "switches", F.round("probability", 9).alias("probability"), F.round("ppr", 8).alias("ppr"), F.round("rank_score", 6).alias("rank_score"), "rank")
+
+
 @query(f"""
     WITH {h.EDGES_SQL}, {h.PAIRS_SQL}, {_PATHS}, {_STEPS}, {_ppr_sql(_ROUNDS)},
     hop AS (SELECT pair_id, path_no, i AS pos, nodes[i] AS a, nodes[i + 1] AS b FROM paths, unnest(range(1, len(nodes))) AS t(i)),
@@ -203,12 +219,14 @@ def ppr_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT *, (row_number() OVER (PARTITION BY pair_id ORDER BY round(rank_score, 12) DESC, length, switches, path_no))::INT AS rank FROM s) WHERE rank <= 4
 """)
 def path_rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, pairs = h.edges(spark, sf_dir), h.pairs(spark, sf_dir)
-    found = paths.bounded_paths(pairs, edges, 3, 40)
-    ends = pairs.select("pair_id", F.col("b").alias("node"))
-    ppr = _ppr(spark, sf_dir, edges).withColumnRenamed("source_id", "pair_id").join(ends, ["pair_id", "node"]).select("pair_id", F.col("rank").alias("ppr"))
-    best = paths.rank_paths(found, edges, ppr, h.PRIORITY, 3, 4)
-    return best.select("pair_id", "nodes", "sources", "switches", F.round("probability", 9).alias("probability"), F.round("ppr", 8).alias("ppr"), F.round("rank_score", 6).alias("rank_score"), "rank")
+    """With the fixed rounds that its SQL repeats; path_rank_converged is the whole form."""
+    return _ranked_paths(spark, sf_dir, _ROUNDS)
+
+
+@query()
+def path_rank_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best paths of every pair with converged PageRank."""
+    return _ranked_paths(spark, sf_dir, None)
 
 
 @query(f"""

@@ -104,7 +104,7 @@ def explained_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def explained_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explain.explain_pairs(h.nodes(spark, sf_dir), h.edges(spark, sf_dir), h.pairs(spark, sf_dir), priority=h.PRIORITY, rounds=4)
+    return explain.explain_pairs(h.nodes(spark, sf_dir), h.edges(spark, sf_dir), h.pairs(spark, sf_dir), priority=h.PRIORITY)
 
 
 @query("""

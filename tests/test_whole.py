@@ -89,3 +89,21 @@ def test_adaptive_neighborhood(spark, small, edges):
     for g in range(12):
         own = out[out["start"] == f"{g}:0"]
         assert dict(zip(own["node"], own["hops"], strict=True)) == _adaptive(graphs, f"{g}:0", 3, 6, 3, 12, {"t2": 0})
+
+
+def test_converged_pagerank_of_pairs(spark, small, edges):
+    """Against the exact solution; four rounds are far from it."""
+    names = sorted({*edges["src"], *edges["dst"]})
+    at = {n: i for i, n in enumerate(names)}
+    m = np.zeros((len(names), len(names)))
+    np.add.at(m, (edges["src"].map(at), edges["dst"].map(at)), 1)
+    g = pagerank.green(m)
+    g /= g.sum(axis=1, keepdims=True)
+    pairs = {p["pair_id"]: (p["a"], p["b"]) for p in h.pairs(spark, small).collect()}
+    whole = catalog.QUERIES["ppr_converged_pairs"](spark, small).toPandas()
+    assert all(r.rank == pytest.approx(g[at[pairs[r.source_id][0]], at[r.node]], abs=1e-6) for r in whole[["source_id", "node"]].assign(rank=whole["rank"]).itertuples())
+    assert set(whole["source_id"]) == set(pairs)
+    told = catalog.QUERIES["explained_pairs"](spark, small).toPandas()
+    assert len(told) == len(pairs) and all(p == pytest.approx(g[at[a], at[b]], abs=1e-6) for a, b, p in zip(told["a"], told["b"], told["ppr"], strict=True))
+    best = catalog.QUERIES["path_rank_converged"](spark, small).toPandas()
+    assert set(best["pair_id"]) == set(pairs) and all(p == pytest.approx(g[at[pairs[i][0]], at[pairs[i][1]]], abs=1e-6) for i, p in zip(best["pair_id"], best["ppr"], strict=True))
