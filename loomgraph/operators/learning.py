@@ -72,6 +72,36 @@ def uniform_pagerank(edges: DataFrame, nodes: DataFrame, rounds: int, alpha: flo
     return rank
 
 
+def converged_pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = 0.85, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
+    """(node_id, rank): PageRank with uniform teleport, until it moves by no more than tolerance for each node, in at most the given rounds.
+
+    What dangles is shared by all as the teleport is, so rank is the sum of all walks from everywhere that end there, scaled to 1: no round needs a total.
+    """
+    from ..runtime import saved
+    from .pagerank import CUT, transitions
+
+    step, all_ = saved(transitions(edges), "pagerank-steps"), saved(nodes.select("node_id").distinct(), "pagerank-nodes")
+    n = max(1, all_.count())
+    home = all_.withColumn("rank", F.lit(1.0 / n))
+
+    def advance(rank: DataFrame) -> DataFrame:
+        sent = rank.join(step, rank["node_id"] == step["src"]).select(F.col("dst").alias("node_id"), (alpha * F.col("rank") * F.col("w")).alias("rank"))
+        return sent.unionByName(home).groupBy("node_id").agg(F.sum("rank").alias("rank"))
+
+    rank, done = saved(home, "pagerank"), 0
+    while done < rounds:
+        for _ in range(min(CUT, rounds - done) - 1):
+            rank = advance(rank)
+        before = saved(rank, "pagerank")
+        rank, done = saved(advance(before), "pagerank"), min(done + CUT, rounds)
+        moves = rank.join(before.withColumnRenamed("rank", "old"), "node_id", "full")
+        moved, total = moves.agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))), F.sum("rank")).first()
+        if not total or moved / total < tolerance * n:
+            break
+    total = rank.agg(F.sum("rank").alias("total"))
+    return rank.crossJoin(F.broadcast(total)).select("node_id", (F.col("rank") / F.col("total")).alias("rank"))  # one row of totals
+
+
 def node_features(nodes: DataFrame, edges: DataFrame, kinds: list[str], types: list[str], pagerank: DataFrame) -> DataFrame:
     """(node_id, features): one-hot type, scaled log degree, scaled counts of each edge type, scaled PageRank."""
     counts = relation_counts(edges).groupBy("node").pivot("type", types).agg(F.first("scaled")).withColumnRenamed("node", "node_id")

@@ -50,7 +50,7 @@ def pagerank_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def node_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = h.nodes(spark, sf_dir), h.edges(spark, sf_dir)
-    return learning.node_features(nodes, edges, ["drug", "gene", "pathway"], h.TYPES, learning.uniform_pagerank(edges, nodes, 3))
+    return learning.node_features(nodes, edges, ["drug", "gene", "pathway"], h.TYPES, learning.converged_pagerank(edges, nodes))
 
 
 _POSITIVE = "positives AS (SELECT least('supplier:' || x.s_suppkey, 'supplier:' || y.s_suppkey) AS a, greatest('supplier:' || x.s_suppkey, 'supplier:' || y.s_suppkey) AS b FROM supplier x JOIN supplier y ON y.s_suppkey = x.s_suppkey + 1)"

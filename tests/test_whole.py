@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from loomgraph.operators import neighborhood, pagerank
+from loomgraph.operators import learning, neighborhood, pagerank
 from loomgraph.plans import catalog, explain
 from loomgraph.plans import harness as h
 
@@ -107,3 +107,20 @@ def test_converged_pagerank_of_pairs(spark, small, edges):
     assert len(told) == len(pairs) and all(p == pytest.approx(g[at[a], at[b]], abs=1e-6) for a, b, p in zip(told["a"], told["b"], told["ppr"], strict=True))
     best = catalog.QUERIES["path_rank_converged"](spark, small).toPandas()
     assert set(best["pair_id"]) == set(pairs) and all(p == pytest.approx(g[at[pairs[i][0]], at[pairs[i][1]]], abs=1e-6) for i, p in zip(best["pair_id"], best["ppr"], strict=True))
+
+
+def test_node_features_converged(spark, small, edges):
+    """The last feature is the exact PageRank with uniform teleport, scaled."""
+    names = h.nodes(spark, small).toPandas()["node_id"].tolist()
+    at = {n: i for i, n in enumerate(names)}
+    m = np.zeros((len(names), len(names)))
+    np.add.at(m, (edges["src"].map(at), edges["dst"].map(at)), 1)
+    x = pagerank.green(m).sum(axis=0)
+    x /= x.sum()
+    got = catalog.QUERIES["node_features"](spark, small).toPandas()
+    assert len(got) == len(names)
+    want = (x - x.min()) / (x.max() - x.min())
+    assert all(f[-1] == pytest.approx(want[at[n]], abs=1e-4) for n, f in zip(got["node_id"], got["features"], strict=True))
+    lone = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long"), spark.createDataFrame([(i,) for i in range(1, 5)], "node_id long")
+    rank = {r["node_id"]: r["rank"] for r in learning.converged_pagerank(*lone).collect()}
+    assert sum(rank.values()) == pytest.approx(1) and rank[3] / rank[1] == pytest.approx(1 + 0.85 + 0.85**2, abs=1e-6)
