@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from loomgraph.operators import learning, neighborhood, pagerank
+from loomgraph.operators import learning, models, neighborhood, pagerank
 from loomgraph.plans import catalog, explain
 from loomgraph.plans import harness as h
 
@@ -124,3 +124,15 @@ def test_node_features_converged(spark, small, edges):
     lone = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long"), spark.createDataFrame([(i,) for i in range(1, 5)], "node_id long")
     rank = {r["node_id"]: r["rank"] for r in learning.converged_pagerank(*lone).collect()}
     assert sum(rank.values()) == pytest.approx(1) and rank[3] / rank[1] == pytest.approx(1 + 0.85 + 0.85**2, abs=1e-6)
+
+
+def test_whole_texts_are_embedded():
+    """Words beyond the 64th count; a prefix is taken only if asked for."""
+    same = " ".join(f"w{i}" for i in range(64))
+    texts = [same, f"{same} a different end", f"{same} quite another one"]
+    x = models.HashedNgrams().embed(texts)
+    assert x[0] @ x[1] < 0.9999 and x[1] @ x[2] < 0.9999
+    y = models.HashedNgrams(most_tokens=64).embed(texts)
+    assert y[0] @ y[1] == pytest.approx(1) and y[1] @ y[2] == pytest.approx(1)
+    words = np.abs(models.HashedNgrams().embed([" ".join(["again"] * n) for n in (1, 500)]))
+    assert words[0] == pytest.approx(words[1])
