@@ -1,7 +1,10 @@
-"""Token ids in binary files, packed by an adaptive context-mixing range coder.
+"""Token ids in binary files, packed by a range coder over adaptively chosen context predictions.
 
-Method: P(id) = w2 [id = e2] + w1 [id = e1] + w0 P0(id). Order 2 and order 1 predict one id each from the last two ids and from the last
-one (e2, e1, with a confidence that grows on hits and falls on misses); order 0 is a distribution over all ids, a tree of four
+Method: an escape coder with adaptive choice. Components are chosen and not mixed: an id that equals e2 gets the share w2 alone, else one that equals e1 gets w1, else w0 P0(id);
+what the other components give the same id is not added, so ids come back exactly and only size suffers. Adding it would need
+P0 of both predictions, eight more table look-ups an id, in a coder that already misses its CPU budget. Order 2 and order 1 predict one id each from the last two ids and from the last
+one (e2, e1, with a confidence that grows on hits and falls on misses, in hashed slots
+without a check of the context); order 0 is a distribution over all ids, a tree of four
 16-way adaptive cumulative tables. The mixing weights are learnt for each state of the two confidences. The component that
 gives an id is coded first, then, for order 0, the four digits of the id, all by a 64-bit range coder with 15-bit
 probabilities. Everything is integer arithmetic, so that any machine decodes what another has written.
