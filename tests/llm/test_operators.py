@@ -281,6 +281,33 @@ def test_codec_blocks_are_independent_and_checked():
             token_codec.read_file(io.BytesIO(data))
 
 
+def test_codec_size_and_windows():
+    """Many windows, several blocks, pairs that repeat: smaller than deflated ids, and every id comes back."""
+    r = np.random.default_rng(4)
+    follow = r.integers(0, 3000, (3000, 4))
+    ids = [0]
+    for _ in range(150_000):
+        ids.append(int(follow[ids[-1], min(3, r.geometric(0.5) - 1)]) if r.random() < 0.8 else int(r.integers(0, 3000)))
+    a = np.array(ids, dtype="<u2")
+    blocks = [a[at : at + token_codec.BLOCK] for at in range(0, len(a), token_codec.BLOCK)]
+    packed = token_codec.encode_blocks(blocks)
+    for x, y in zip(blocks, token_codec.decode_blocks(packed, [len(b) for b in blocks]), strict=True):
+        assert np.array_equal(x, y)
+    assert sum(map(len, packed)) < 0.9 * len(zlib.compress(a.tobytes(), 6))
+
+
+def test_library_words_fuzzed(library, monkeypatch):
+    """Pieces cut at spaces give the library's ids, whatever white space, contractions and special strings stand around them, and when words are forgotten."""
+    monkeypatch.setattr(token_codec, "KEPT_WORDS", 40)
+    monkeypatch.setattr(token_codec, "KEPT_LENGTH", 6)
+    r = random.Random(7)
+    letters = [*"ab1 '  \n\t\r,.!", "\xa0", "é", "\u3000", "\x1c", "\x85", "漢", "🎉", "'s", " 'll", "<|endoftext|>", "longerword", "  "]
+    words = token_codec.LibraryWords(PATH)
+    for _ in range(40):
+        some = ["".join(r.choice(letters) for _ in range(r.randrange(30))) for _ in range(50)]
+        assert [np.frombuffer(b, "<u2").tolist() for b in words.encode_batch(some)] == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+
+
 def test_codec_documents(spark, library, odd, empty):
     folder = common.scratch(spark, "t")
     got = token_codec.read_tokens(token_codec.write_tokens(odd, folder, PATH), folder).orderBy("start").collect()
