@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import saved
+from ..runtime import discard, saved
 
 ROUNDS = 60
 
@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternates two contractions until nothing changes: every node hands its larger neighbours to its smallest neighbour,
     then its smaller ones. Stars form in a logarithmic number of rounds whatever the shape. Hubs are reduced with map-side
     aggregation, and the joins leave their exchanges to the planner, so that skewed ones are split. Each round is
-    written to the shared folder, which cuts lineage. Null ends and loops are ignored.
+    written to the shared folder, which cuts lineage; the one before goes. Null ends and loops are ignored.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     e = saved(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
@@ -28,7 +28,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         near = large.join(low, "a")
         small = near.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-        e = saved(small, "cc")
+        e, last = saved(small, "cc"), e
+        discard(last)
         now = tuple(e.agg(F.count("*"), F.sum(F.col("b").cast("decimal(38,0)")) if e.schema["b"].dataType.typeName() in ("long", "integer") else F.sum(F.xxhash64("b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
