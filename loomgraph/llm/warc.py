@@ -7,14 +7,14 @@ Content-Length that matches the bytes there, CRLF CRLF after them, and digests t
 record's, however large the archive.
 
 Records of equal payloads: the one with the smallest page id is a response, the others revisit it, unless the payload is
-shorter than 100 bytes. Digests are grouped with map-side aggregation, and the join back to the pages leaves its exchanges to
-the planner, so that a digest with a third of all pages is split.
+shorter than 100 bytes. Digests are grouped with map-side aggregation. Those of at least one in HOT of all repeated rows, HOT digests at most, go back to the
+pages by a broadcast, the others by a join in which the pages of the first ones lie scattered: no digest brings many pages into one task.
 
 Archives are real files in the shared folder. A task writes each under a name of its own attempt and only names it in its
 result; those results are saved before anything is read, so retries and lost executors leave stray files but no wrong ones.
 
-Defined results: a null payload is empty; a null URL is written as ``urn:page:<id>``; a null page id is written as -1 and comes
-back as null; of repeated rows with one id each has its own record, and copies of the smallest id are responses all. An
+Defined results: a null payload is empty; a null URL is written as ``urn:page:<id>``, and one of any length comes back; a null page id has no header and comes
+back as null; of repeated rows with one id each has its own record, and copies of the smallest id are responses all; payloads that have no id at all are responses. An
 empty table makes no archive and no rows. Columns besides those named are ignored.
 """
 
@@ -44,10 +44,10 @@ TYPES = (b"warcinfo", b"response", b"revisit", b"resource", b"request", b"metada
 #: Payloads shorter than this are always responses.
 REVISIT_BYTES = 100
 #: An archive is closed beyond this many uncompressed bytes.
-ARCHIVE_BYTES = 64 << 20
+ARCHIVE_BYTES = 16 << 20
+#: Payloads that take at least one in so many of the repeated rows are joined by a broadcast.
+HOT = 1000
 DICTIONARY_BYTES, DICTIONARY_SAMPLE = 32 << 10, 4 << 20
-#: A header block that is longer is an error.
-HEADER_BYTES = 64 << 10
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 
@@ -56,17 +56,18 @@ class WarcError(ValueError):
     """An archive that breaks the format."""
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None, sha256: str) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, sha256: str) -> bytes:
     """One WARC record: a response with its payload, or a revisit without."""
-    target = (url or f"urn:page:{page_id}").replace("\r", "%0D").replace("\n", "%0A").replace(" ", "%20")
+    name = f"page:{page_id}" if page_id is not None else f"page:{sha256}"
+    target = (url or f"urn:{name}").replace("\r", "%0D").replace("\n", "%0A").replace(" ", "%20")
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     lines = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"),
+        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", target),
         ("WARC-Payload-Digest", f"sha256:{base64.b32encode(bytes.fromhex(sha256)).decode().rstrip('=')}"),
-        ("WARC-Page-ID", str(page_id)),
+        *([("WARC-Page-ID", str(page_id))] if page_id is not None else []),
         ("WARC-Payload-Length", str(len(payload))),
         ("Content-Type", "application/http; msgtype=response"),
     ]
@@ -158,9 +159,9 @@ def frames(f) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def parse(data: bytes) -> tuple[dict[bytes, bytes], bytes]:
-    """Headers (names in lower case) and block of the one record that a frame holds."""
-    end = data.find(b"\r\n\r\n", 0, HEADER_BYTES)
+def parse(data: bytes, most: int | None = None) -> tuple[dict[bytes, bytes], bytes]:
+    """Headers (names in lower case) and block of the one record that a frame holds. For archives from elsewhere, most bounds the header block; the frame does at any rate."""
+    end = data.find(b"\r\n\r\n", 0, most)
     if end < 0:
         raise WarcError("a record's headers don't end")
     first, *lines = data[:end].split(b"\r\n")
@@ -197,15 +198,16 @@ def _hex(digest: bytes) -> str:
     return base64.b32decode(value + b"=" * (-len(value) % 8)).hex()
 
 
-def read_pages(f) -> Iterator[tuple[int, int, str, str, int | None]]:
+def read_pages(f, most: int | None = None) -> Iterator[tuple[int | None, int, str, str, int | None]]:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record, payloads checked."""
     for data in frames(f):
-        headers, block = parse(data)
+        headers, block = parse(data, most)
         head, blank, payload = block.partition(b"\r\n\r\n")
         if not blank or not head.startswith(b"HTTP/"):
             raise WarcError("a block is no HTTP message")
         try:
-            page, kind, told = int(headers[b"warc-page-id"]), headers[b"warc-type"].decode(), _hex(headers[b"warc-payload-digest"])
+            page = int(headers[b"warc-page-id"]) if b"warc-page-id" in headers else None
+            kind, told = headers[b"warc-type"].decode(), _hex(headers[b"warc-payload-digest"])
             length = int(headers[b"warc-payload-length"])
             to = int(headers[b"warc-refers-to-page-id"]) if kind == "revisit" else None
         except (KeyError, ValueError) as e:
@@ -222,8 +224,16 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) with payload_digest and refers_to, null for responses."""
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     keyed = pages.select("page_id", "url", body.alias("html"), F.sha2(body.cast("binary"), 256).alias("payload_digest"), F.octet_length(body).alias("bytes"))
-    first = keyed.filter(F.col("bytes") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL").select("payload_digest", "first")
-    return keyed.join(first, "payload_digest", "left").select("page_id", "url", "html", "payload_digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).when(F.col("page_id").isNull(), F.col("first")).alias("refers_to"))
+    first = keyed.filter(F.col("bytes") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL")
+    first = common.saved(first.select(F.col("payload_digest").alias("_d"), "first", "n"), "warc-repeated")
+    repeated = first.agg(F.sum("n")).first()[0] or 0
+    hot = first.filter(F.col("n") * HOT >= repeated).select(F.col("_d").alias("_h"), F.col("first").alias("_hot"))  # HOT rows at most, since all n add up to repeated
+    cold = first.filter(F.col("n") * HOT < repeated).select("_d", "first")
+    marked = keyed.join(F.broadcast(hot), F.col("payload_digest") == F.col("_h"), "left")
+    # Pages of hot digests match nothing in the second join and lie scattered there.
+    key = F.when(F.col("_hot").isNull(), F.col("payload_digest")).otherwise(F.concat(F.lit("hot-"), F.xxhash64("page_id", "url").cast("string")))
+    both = marked.withColumn("_key", key).join(cold, F.col("_key") == F.col("_d"), "left").withColumn("first", F.coalesce("_hot", "first"))
+    return both.select("page_id", "url", "html", "payload_digest", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -250,9 +260,9 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
         for b in batches:
             for page, url, html, sha, to in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                held.append(record(-1 if page is None else page, url, html.encode(), to, sha))
+                held.append(record(page, url, html.encode(), to, sha))
                 size += len(held[-1])
-                if size >= ARCHIVE_BYTES // 4:
+                if size >= ARCHIVE_BYTES:
                     yield close()
                     size = 0
         if held:
@@ -276,7 +286,6 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                     raise WarcError(f"{name} has {len(rows)} records instead of {records}")
                 columns = list(zip(*rows, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                columns[0] = [None if x == -1 else x for x in columns[0]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     dealt = manifest.select("archive", "records").repartition(4 * common.partitions(manifest.sparkSession))
