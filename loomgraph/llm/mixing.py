@@ -7,8 +7,9 @@ that is left is a weighted sample without replacement: a document's key is an ex
 keys are sorted within the source and sizes are prefix-summed up to the budget. The document at the budget's edge is
 taken in part, so a source's taken words are its rounded target.
 
-Scale and skew: keys fall into buckets of the exponential scale, about BUCKET documents each, so a hot source has many. Bucket
-sums (map-side aggregation) tell in which bucket a source's budget ends; only the keys of that one are sorted, and what comes out is a row for each source, the last
+Scale and skew: the keys of a source are cut into SPLIT buckets, and bucket sums (map-side aggregation) tell in which one the budget ends. While that bucket holds more than
+BUCKET rows, its own rows are cut in the same way, between its least and its greatest key, whatever the quality weights make of their distribution. What is left is grouped by key, id and size,
+so that rows which nothing tells apart are one, and sorted; what comes out is a row for each source, the last
 document taken. The mix is then one pass that compares keys. The tables of sources and of buckets are the only ones that windows run over whole.
 
 Defined results: a null text has size 0; a null source is a source of its own, after all others; a source without words has target
@@ -26,8 +27,10 @@ from . import common
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
 SEED = "mix-1"
-#: Documents that a bucket of keys holds, about.
-BUCKET = 4_000
+#: Buckets of a cut, and rows of the bucket at a budget's edge that are sorted, at most, unless their keys agree.
+SPLIT, BUCKET = 1_024, 4_000
+#: Cuts of a bucket: each makes the range of its keys SPLIT times smaller, so doubles run out of digits before.
+CUTS = 12
 LEAST_QUALITY = 0.01
 
 
@@ -75,28 +78,35 @@ def plan(docs: DataFrame, quality_col: Column | None = None, weights: tuple[int,
     rows = docs.select("doc_id", F.col("source").alias("_source"), words(F.col("text")).alias("size"), (-F.log(uniform(F.col("doc_id"), seed)) / good).alias("_key"), *keep)
     slim = common.saved(rows.select("doc_id", "_source", "size", "_key"), "mix-rows")
     rows = rows if keep else slim
-    sizes = slim.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    sources = targets(sizes, weights, share, most).withColumnRenamed("source", "_s").withColumn("buckets", F.ceil(F.col("n") / BUCKET))
+    sizes = slim.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"))
+    sources = targets(sizes, weights, share, most).withColumnRenamed("source", "_s")
     whole = F.round(F.col("target")).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(F.lit(0))
     sources = common.saved(sources.withColumn("epochs", epochs).withColumn("rest", whole - F.col("epochs") * F.col("source_size")), "mix-sources")
 
-    def place(some: DataFrame) -> DataFrame:
-        at = some.join(sources, F.col("_source").eqNullSafe(F.col("_s")))
-        return at.withColumn("bucket", F.floor((1 - F.exp(-F.col("_key"))) * F.col("buckets")).cast("long"))
-
-    sums = place(slim).groupBy("_s", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+    # The rows around each budget's edge. In the first cut buckets are even in 1 - e^-key, which keys without quality weights fill evenly.
+    close = slim.join(sources.select("_s", "rest"), F.col("_source").eqNullSafe(F.col("_s"))).select("_s", "_key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "size", "rest", F.lit(0).cast("long").alias("done"))
+    bucket = F.floor((1 - F.exp(-F.col("_key"))) * SPLIT)
     before = Window.partitionBy("_s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edge = sums.withColumn("done", F.coalesce(F.sum("words").over(before), F.lit(0))).filter("done < rest AND done + words >= rest").select(F.col("_s").alias("_e"), F.col("bucket").alias("edge"), "done")
-    # The row at each budget's edge, found among the ids, keys and sizes of its bucket: one row for each source with a fraction to take.
-    at = F.struct("_key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "size")
-    close = place(slim).join(edge, F.col("_s").eqNullSafe(F.col("_e")) & (F.col("bucket") == F.col("edge"))).withColumn("_at", at)
+    for _ in range(CUTS):
+        rows_cut = close.withColumn("bucket", F.least(bucket, F.lit(SPLIT - 1)).cast("int")).drop("lo", "hi")
+        sums = rows_cut.groupBy("_s", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.min("_key").alias("lo"), F.max("_key").alias("hi"), F.first("rest").alias("rest"), F.first("done").alias("done"))
+        ends = sums.withColumn("done", F.col("done") + F.coalesce(F.sum("words").over(before), F.lit(0))).filter("done < rest AND done + words >= rest")
+        ends = common.saved(ends.select(F.col("_s").alias("_e"), F.col("bucket").alias("edge"), F.col("done").alias("_done"), "n", "lo", "hi"), "mix-ends")  # a row for each source
+        inside = rows_cut.join(ends, F.col("_s").eqNullSafe(F.col("_e")) & (F.col("bucket") == F.col("edge")))
+        close = common.saved(inside.select("_s", "_key", "id", "size", "rest", F.col("_done").alias("done"), "lo", "hi"), "mix-close")
+        if not ends.filter((F.col("n") > BUCKET) & (F.col("lo") < F.col("hi"))).head(1):
+            break
+        bucket = F.when(F.col("lo") < F.col("hi"), F.floor((F.col("_key") - F.col("lo")) / (F.col("hi") - F.col("lo")) * SPLIT)).otherwise(F.lit(0))
+    # The row at each edge, found among the distinct keys, ids and sizes of its bucket; rows that nothing tells apart share alike.
+    at = F.struct("_key", "id", "size")
+    alike = close.groupBy("_s", at.alias("_at")).agg(F.sum("size").alias("words"), F.count("*").alias("alike"), F.first("rest").alias("rest"), F.first("done").alias("done"))
     within = Window.partitionBy("_s").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    close = close.withColumn("start", F.col("done") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    last = close.filter("start < rest AND start + size >= rest").select(F.col("_e").alias("_f"), F.col("_at").alias("last"))
-    same = close.join(last, F.col("_s").eqNullSafe(F.col("_f")) & (F.col("_at") == F.col("last")))  # rows that nothing tells apart share alike
-    edges = common.saved(same.groupBy(F.col("_f").alias("_e"), "last", "rest").agg(F.min("start").alias("start"), F.count("*").alias("alike")).select("_e", "last", F.expr("(rest - start) div alike").alias("cut")), "mix-edges")
-    known = place(rows).join(edges, F.col("_s").eqNullSafe(F.col("_e")), "left").withColumn("_at", at)
+    start = F.col("done") + F.coalesce(F.sum("words").over(within), F.lit(0))
+    last = alike.withColumn("start", start).filter("start < rest AND start + words >= rest")
+    edges = common.saved(last.select(F.col("_s").alias("_e"), F.col("_at").alias("last"), F.expr("(rest - start) div alike").alias("cut")), "mix-edges")
+    known = rows.join(sources, F.col("_source").eqNullSafe(F.col("_s"))).join(edges, F.col("_s").eqNullSafe(F.col("_e")), "left")
+    known = known.withColumn("_at", F.struct("_key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "size"))
     part = F.when(F.col("last").isNull() | (F.col("_at") > F.col("last")), F.lit(0)).when(F.col("_at") == F.col("last"), F.least("size", "cut")).otherwise(F.col("size"))
     return known.select("doc_id", "size", "source_size", "target", "epochs", *keep, part.alias("part")).withColumn("taken", F.col("epochs") * F.col("size") + F.col("part"))
 
