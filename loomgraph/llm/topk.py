@@ -1,14 +1,14 @@
 """Exact top-k inner products by Fagin's threshold algorithm.
 
-Method: within a block of candidates every dimension has a list of the candidates sorted by their component. For a query
+Method: within a shard of candidates every dimension has a list of the candidates sorted by their component. For a query
 the lists are read in parallel, each from the end that its query component favours. A candidate that turns up in any list
-is scored in full. The bound is what a candidate could reach at most that no list has shown yet: the inner product of the query with the
-components at the lists' current depth. Reading stops when the bound is below the k-th score found so far; equality goes on, since a tie may go
-to a smaller id. Depth grows by factors, and the work of a step is done for whole slices of the lists.
+is scored in full. Reading stops when no candidate that has not turned up can reach the k-th score found so far (equality goes on, since a tie may go
+to a smaller id), by either of two bounds. The first is the threshold: the inner product of the query with the components at the lists' current depth. It is loose where
+vectors have many components of weak contrast, so each candidate has a bound of its own besides: its product over the query's heavier half of dimensions, and for the lighter half the product of the two
+norms (Cauchy-Schwarz). A candidate whose bound is below the k-th score is not scored when it turns up. Depth grows by factors, and the work of a step is done for whole slices of the lists.
 
-Scale and skew: candidates are dealt by a hash of their ids into blocks and queries into blocks; every pair of blocks is a task of
-bounded size that returns k rows for each query, and these are ranked once more. Vectors with many components and weak
-contrast make the bound loose, and then a block is read to its end: the answer is exact at any rate.
+Scale and skew: candidates are dealt by a hash of their ids into shards of about CANDIDATES, queries into blocks of about QUERIES. A task has a shard and a block: it holds the
+shard, sorts its lists once and streams the queries past them, returning k rows for each query, and these are ranked once more.
 
 Defined results: a vector that is null, or holds a null or non-finite component, takes no part. Shorter vectors
 count as filled up with zeros. Rows without an id take no part. Of repeated rows with one id the query is the least vector, and each row is a candidate of its own,
@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from . import common
 
 K = 20
-#: Candidates and queries of one pair of blocks, about.
-CANDIDATES, QUERIES = 16_384, 1_024
-FIRST_DEPTH, FACTOR = 64, 2
+#: Candidates and queries of a task, about, and queries bounded at once.
+CANDIDATES, QUERIES, AT_ONCE = 16_384, 8_192, 64
+FIRST_DEPTH, FACTOR = 16, 2
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
@@ -42,7 +42,7 @@ def usable(vector: Column) -> Column:
 
 
 class Lists:
-    """Sorted per-dimension lists over a block of integer vectors."""
+    """Sorted per-dimension lists over a shard of integer vectors."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
@@ -50,27 +50,39 @@ class Lists:
         self.up = np.argsort(self.vectors, axis=0, kind="stable").T.astype(np.int32)  # [dimension, position]
         self.sorted = np.take_along_axis(self.vectors.T, self.up.astype(np.int64), axis=1)
         self.down, self.falling = np.ascontiguousarray(self.up[:, ::-1]), np.ascontiguousarray(self.sorted[:, ::-1])
-
-    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """(ids, scores, candidates scored) of the best k, the query's own id left out."""
+        self.squares = self.vectors.astype(np.float64) ** 2
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """What each candidate could score with each query at most: [queries, candidates]."""
+        half = queries.shape[1] // 2
+        light = np.zeros(queries.shape, dtype=bool)
+        np.put_along_axis(light, np.argsort(np.abs(queries), axis=1, kind="stable")[:, :half], True, axis=1)
+        exact = np.where(light, 0, queries) @ self.vectors.T
+        norms = np.sqrt((np.where(light, queries, 0).astype(np.float64) ** 2).sum(axis=1))
+        # Rounding of the norms is far below the slack.
+        return exact + norms[:, None] * np.sqrt(light.astype(np.float64) @ self.squares.T) * (1 + 1e-9) + 1e-6
+
+    def top(self, query_id: int, query: np.ndarray, k: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """(ids, scores, candidates scored) of the best k, the query's own id left out; bound is the query's row of bounds."""
         n = len(self.ids)
+        if bound is None:
+            bound = self.bounds(query[None])[0]
         dims = np.flatnonzero(query)
         weight = query[dims]
         rising, falling = dims[weight < 0], dims[weight > 0]
-        seen = np.zeros(n, dtype=bool)
+        waiting = np.ones(n, dtype=bool)  # neither scored nor out of reach
         best_score, best = np.zeros(0, dtype=self.vectors.dtype), np.zeros(0, dtype=np.int64)
         depth, scored = 0, 0
         while depth < n:
             end = min(n, FIRST_DEPTH if not depth else depth * FACTOR)
-            fresh = np.zeros(n, dtype=bool)
-            fresh[self.up[rising, depth:end]] = True
-            fresh[self.down[falling, depth:end]] = True
             if not len(dims):  # every score is zero
-                fresh[:] = True
-                end = n
-            fresh &= ~seen
-            seen |= fresh
-            new = np.flatnonzero(fresh)
+                new, end = np.arange(n), n
+            else:
+                fresh = np.zeros(n, dtype=bool)
+                fresh[self.up[rising, depth:end]] = True
+                fresh[self.down[falling, depth:end]] = True
+                new = np.flatnonzero(fresh & waiting)
+            waiting[new] = False
             scored += len(new)
             score = self.vectors[new] @ query
             new, score = new[own := self.ids[new] != query_id], score[own]
@@ -82,10 +94,11 @@ class Lists:
                 best, best_score = best[keep], best_score[keep]
             depth = end
             if len(best) >= k and depth < n:
-                bound = self.sorted[rising, depth - 1] @ query[rising] + self.falling[falling, depth - 1] @ query[falling]
-                if best_score[-1] > bound:
+                threshold = self.sorted[rising, depth - 1] @ query[rising] + self.falling[falling, depth - 1] @ query[falling]
+                if best_score[-1] > threshold:
                     break
-            if scored == n:
+                waiting &= bound >= best_score[-1]
+            if not waiting.any():
                 break
         return self.ids[best], best_score, scored
 
@@ -96,39 +109,54 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
     common.ship(spark)
     rows = vectors.filter(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("v"), is_query.alias("q"))
     rows = common.saved(rows, "topk-rows")
-    n, asked, width = rows.agg(F.count("*"), F.count_if("q"), F.max(F.size("v"))).first()
+    n, asked, width, peak = rows.agg(F.count("*"), F.count_if("q"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
     shards, blocks = max(1, -(-n // CANDIDATES)), max(1, -(-asked // QUERIES))
-    left = rows.select("vec_id", "v", F.expr(f"pmod(xxhash64(vec_id, 'candidate'), {shards})").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    left = rows.select(F.expr(f"cast(pmod(xxhash64(vec_id, 'candidate'), {shards}) as int)").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("asks"), "vec_id", "v")
     queries = rows.filter("q").groupBy("vec_id").agg(F.min("v").alias("v"))
-    right = queries.select("vec_id", "v", F.expr(f"pmod(xxhash64(vec_id, 'query'), {blocks})").cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.expr(f"cast(pmod(xxhash64(vec_id, 'query'), {blocks}) as int)").alias("block"), F.lit(True).alias("asks"), "vec_id", "v")
 
-    def dense(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids = t.column("vec_id").to_numpy().astype(np.int64)
-        v = t.column("v").combine_chunks()
+    def dense(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        ids = b.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+        v = b.column(4)
         flat, at = np.asarray(v.flatten(), dtype=np.float64), np.asarray(v.offsets)
         at, length = at - at[0], np.diff(at)
         out = np.zeros((len(ids), width or 0))
-        if len(ids):
-            row = np.repeat(np.arange(len(ids)), length)
-            out[row, np.arange(len(flat)) - np.repeat(at[:-1], length)] = flat
-        # Whole numbers below 2^24 are exact in single precision, sums included.
-        peak = np.abs(out).max(initial=0)
-        return ids, out.astype(np.float32) if peak * peak * max(1, width or 0) < 1 << 24 else out
-
-    def find(candidates: pa.Table, asked: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if candidates.num_rows and asked.num_rows:
-            (ids, c), (qids, q) = dense(candidates), dense(asked)
-            if c.dtype != q.dtype:
-                c, q = c.astype(np.float64), q.astype(np.float64)
-            lists = Lists(ids, c)
-            for qid, vector in zip(qids.tolist(), q, strict=True):
-                found, score, _ = lists.top(qid, vector, k)
-                out[0].append(np.full(len(found), qid))
-                out[1].append(found)
-                out[2].append(score.astype(np.int64))
-        return pa.table({n: pa.array(np.concatenate(x) if x else np.zeros(0), pa.int64()) for n, x in zip(("query_id", "vec_id", "score"), out, strict=True)})
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(find, "query_id long, vec_id long, score long")
+        row = np.repeat(np.arange(len(ids)), length)
+        out[row, np.arange(len(flat)) - np.repeat(at[:-1], length)] = flat
+        return ids, out
+
+    single = (peak or 0) ** 2 * max(1, width or 0) < 1 << 24  # whole numbers below 2^24 are exact in single precision, sums included
+
+    def find(batches):
+        now, held, lists = None, [], None
+        for whole in batches:
+            keys = np.stack([np.asarray(whole.column(0)), np.asarray(whole.column(1)), whole.column(2).to_numpy(zero_copy_only=False)], axis=1).astype(np.int64)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                shard, block, asks = keys[lo].tolist()
+                if now != (shard, block):
+                    now, held, lists = (shard, block), [], None
+                ids, v = dense(whole.slice(lo, hi - lo))
+                v = v.astype(np.float32) if single else v
+                if not asks:
+                    held.append((ids, v))
+                    continue
+                if lists is None and held:
+                    lists = Lists(np.concatenate([i for i, _ in held]), np.concatenate([x for _, x in held]))
+                    held = []
+                if lists is None:
+                    continue
+                for at in range(0, len(ids), AT_ONCE):
+                    some = v[at : at + AT_ONCE]
+                    found = [(q, *lists.top(q, x, k, bound)[:2]) for q, x, bound in zip(ids[at : at + AT_ONCE].tolist(), some, lists.bounds(some), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate([np.full(len(i), q) for q, i, _ in found]), pa.int64()), pa.array(np.concatenate([i for _, i, _ in found]), pa.int64()), pa.array(np.concatenate([x for _, _, x in found]).astype(np.int64), pa.int64())],
+                        ["query_id", "vec_id", "score"],
+                    )
+
+    both = left.unionByName(right).repartition(min(shards * blocks, 4 * common.partitions(spark)), "shard", "block").sortWithinPartitions("shard", "block", "asks")
+    found = both.mapInArrow(find, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
