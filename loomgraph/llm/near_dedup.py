@@ -2,14 +2,14 @@
 
 Method: a document's set holds the hashes of its distinct five-word shingles. One permutation scatters the set over a
 circle of 2^32 places, a second one, shifted by k places, gives coordinate k of the signature: the least value that the
-set takes (C-MinHash with two permutations). Bands of the signature put documents into buckets. Documents that share a
-bucket, directly or through others, are candidates for one another; their full sets are then compared exactly.
+set takes (C-MinHash with two permutations). Bands of the signature put documents into buckets; those that share a
+bucket are candidates for one another, and their full sets (of 64-bit shingle hashes) are compared exactly.
 
 Scale and skew: documents with one and the same set are one class from the start, met through map-side aggregation, so
-exact copies in any number cost a row for each task. A bucket links its members to its smallest member only. A group of
-candidates whose sets are many or large is cut into blocks, and each task compares two blocks and returns a spanning
-forest of the links it finds, never all pairs: no link between two classes goes unseen, and components come out exact.
-At the threshold a pair misses all bands with probability (1 - 0.85^6)^40 < 1e-8.
+exact copies in any number cost a row for each task. Buckets with the same members count once. Every member is first compared with its bucket's smallest one, in
+parts of at most BLOCK_SETS members; the links found settle most buckets. Only a bucket whose members are not all connected by then has its other pairs compared, in
+pairs of blocks with a task for each, which return a spanning forest of the links they find. Texts that merely chain through buckets are never compared
+across them, and no link between two candidates goes unseen. At the threshold a pair misses all bands with probability (1 - 0.85^6)^40 < 1e-8.
 
 Defined results: a document with fewer than five words has one shingle, of all its words; without words or text the set is
 empty and linked with nothing. A row without an id is linked with nothing, has no component and is kept. Rows that repeat
@@ -33,7 +33,7 @@ from . import common
 ROWS, BANDS = 6, 40
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Sets, and shingles in them, that one block of a candidate group holds.
+#: Sets, and shingles in them, that one block of a bucket holds.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
 #: Columns of the incidence matrix that are multiplied at once.
 COLUMNS = 8192
@@ -159,7 +159,7 @@ def links(ids: list[int], sets: list[np.ndarray], block: list[int], percent: int
 
 
 def _groups(batches) -> Iterator[tuple[list[int], list[int], list[np.ndarray]]]:
-    """Runs of rows with equal (root, i, j): ids, blocks and sets."""
+    """Runs of rows with equal (key, i, j): ids, blocks and sets."""
     now, ids, block, sets = None, [], [], []
     for b in batches:
         root, i, j, own, node, data = (c.to_pylist() for c in b.columns)
@@ -176,6 +176,47 @@ def _groups(batches) -> Iterator[tuple[list[int], list[int], list[np.ndarray]]]:
         yield ids, block, sets
 
 
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are linked."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    both = int(np.count_nonzero(large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _starred(batches, percent: int) -> Iterator[tuple[list[int], list[int]]]:
+    """Links of members to the head of their part; rows (head, part, order, node, shingles) come sorted, the head first."""
+    now, head, a, b = None, None, [], []
+    for batch in batches:
+        heads, parts, order, node, data = (c.to_pylist() for c in batch.columns)
+        for at in range(len(node)):
+            held = np.frombuffer(data[at], dtype=np.uint64)
+            if not order[at]:
+                now, head = (heads[at], parts[at]), held
+            elif now == (heads[at], parts[at]) and _similar(head, held, percent):
+                a.append(node[at])
+                b.append(heads[at])
+        yield a, b
+        a, b = [], []
+
+
+def candidate_buckets(classes: DataFrame) -> DataFrame:
+    """(key, node, head, n) of the members of every bucket with n > 1 members of classes (node, keys); of buckets with the same members one is left."""
+    banded = classes.select("node", F.explode("keys").alias("key"))
+    members = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"members{i}") for i in (1, 2)]
+    buckets = banded.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n"), *members).filter("n > 1")
+    one = buckets.groupBy("head", "n", "members1", "members2").agg(F.min("key").alias("key")).select("key", "head", "n")
+    return banded.join(one, "key").select("key", "node", "head", "n")
+
+
+def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node) of buckets whose members the labels (node, component) do not hold together yet. Buckets of two have had their pair compared."""
+    named = buckets.filter("n > 2").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    parted = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    return named.join(parted, "key").select("key", "node")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row: component_id is the smallest id that links reach."""
     spark = docs.sparkSession
@@ -183,40 +224,59 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     described = common.saved(_described(docs, id_col, text_col, rows, bands), "near-described")
     usable = described.filter("_id IS NOT NULL AND n_shingles > 0")
     classes = common.saved(usable.groupBy("digest").agg(F.min("_id").alias("node"), F.max("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")), "near-classes")
+    buckets = common.saved(candidate_buckets(classes), "near-buckets")
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
 
-    # Buckets: every member is linked to the smallest one.
-    banded = classes.select("node", F.explode("keys").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    near = banded.join(buckets, "key").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    groups = common.saved(connected_components(near), "near-groups")
+    def with_sets(sent: DataFrame) -> DataFrame:
+        """sent (node, to) with the class's shingles: each text is read and cut once, however many places it goes to."""
 
-    # Blocks of a group: each pair of blocks is a task of its own.
-    members = groups.join(classes.select("node", "digest", "n_shingles"), "node")
-    sized = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = members.join(sized, "component").select("node", "digest", "component", "blocks", F.expr("cast(pmod(xxhash64(node, 'block'), blocks) as int)").alias("block"))
+        def as_sets(batches):
+            for b in batches:
+                sets = list(common.shingle_sets(map(common.as_bytes, b.column(3).to_pylist())))
+                same = [digest(s) == d for s, d in zip(sets, b.column(1).to_pylist(), strict=True)]  # an id may come with several texts
+                kept = pa.array([s.tobytes() if ok else None for s, ok in zip(sets, same, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), kept], ["node", "to", "shingles"])
 
-    def as_sets(batches):
-        for b in batches:
-            sets = list(common.shingle_sets(map(common.as_bytes, b.column(5).to_pylist())))
-            same = [digest(s) == d for s, d in zip(sets, b.column(1).to_pylist(), strict=True)]  # an id may come with several texts
-            kept = pa.array([s.tobytes() if ok else None for s, ok in zip(sets, same, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), kept], ["node", "component", "blocks", "block", "shingles"])
+        kind = sent.schema["to"].dataType.simpleString()
+        named = sent.join(classes.select("node", "digest"), "node").join(texts, "node").select("node", "digest", "to", "text")
+        return named.mapInArrow(as_sets, f"node long, to {kind}, shingles binary").filter("shingles IS NOT NULL")
 
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    sets = placed.join(texts, "node").select("node", "digest", "component", "blocks", "block", "text").mapInArrow(as_sets, "node long, component long, blocks int, block int, shingles binary").filter("shingles IS NOT NULL")
-    spread = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "shingles")
+    # Members of a bucket against its smallest one.
+    near = buckets.filter("node <> head").select("node", "head").distinct()
+    parts = near.groupBy("head").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("parts"))
+    near = near.join(parts, "head").select("node", "head", F.expr("cast(pmod(xxhash64(node, 'part'), parts) as int)").alias("part"))
+    sent = near.select("node", F.struct("head", "part", F.lit(1).alias("order")).alias("to")).unionByName(near.select("head", "part").distinct().select(F.col("head").alias("node"), F.struct("head", "part", F.lit(0).alias("order")).alias("to")))
+    sets = with_sets(sent.groupBy("node").agg(F.collect_list("to").alias("to"))).select("node", F.explode("to").alias("to"), "shingles").select("to.head", "to.part", "to.order", "node", "shingles")
 
-    def compare(batches):
-        for ids, block, held in _groups(batches):
-            found = list(links(ids, held, block, percent))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+    def star(batches):
+        for a, b in _starred(batches, percent):
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    found = spread.repartition(common.partitions(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(compare, "a long, b long")
+    stars = sets.repartition(common.partitions(spark), "head", "part").sortWithinPartitions("head", "part", "order").mapInArrow(star, "a long, b long")
     # An id that comes with several texts holds their classes together.
     repeated = usable.groupBy("_id").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")).filter("n > 1 AND low <> high").select("_id")
     through = usable.join(repeated, "_id").join(classes.select("digest", "node"), "digest").filter("_id <> node").select(F.col("_id").alias("a"), F.col("node").alias("b"))
-    joined = connected_components(found.unionByName(through))
+    joined = common.saved(connected_components(stars.unionByName(through)), "near-stars")
+
+    # Buckets that are not settled: each pair of blocks is a task of its own.
+    unsettled = common.saved(open_buckets(buckets, joined), "near-open")
+    if unsettled.head(1):
+        members = unsettled.join(classes.select("node", "n_shingles"), "node")
+        sized = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        placed = members.join(sized, "key").select("node", F.struct("key", "blocks", F.expr("cast(pmod(xxhash64(node, 'block'), blocks) as int)").alias("block")).alias("to"))
+        sets = with_sets(placed.groupBy("node").agg(F.collect_list("to").alias("to"))).select("node", F.explode("to").alias("to"), "shingles").select("to.*", "node", "shingles")
+        spread = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "shingles")
+
+        def compare(batches):
+            for ids, block, held in _groups(batches):
+                found = list(links(ids, held, block, percent))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+        rest = spread.repartition(common.partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long")
+        rest = common.saved(rest, "near-rest")
+        if rest.head(1):
+            joined = connected_components(rest.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     labelled = classes.select("digest", "node").join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     whole = described.filter("_id IS NOT NULL").join(labelled, "digest", "left")
