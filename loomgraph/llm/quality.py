@@ -28,8 +28,10 @@ from . import common
 
 #: Hashed features.
 SIZE = 1 << 18
-#: Rated documents that a fit uses, at most.
-SAMPLE = 16_000
+#: Rated documents that a fit uses, at most, and the features that they may have together (4 bytes each on the driver).
+SAMPLE, SAMPLE_FEATURES = 16_000, 32_000_000
+#: Columns that scoring adds.
+SCORES = ("expected_grade", "tail_probability", "keep")
 EPOCHS, BATCH, RATE, L1 = 12, 128, 0.4, 2e-4
 
 
@@ -117,6 +119,18 @@ def features(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def slopes(score: np.ndarray, thresholds: np.ndarray, grades: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the weighted negative log-likelihood by each text's score and by each threshold, where P(grade = k) = s(score - b_k) - s(score - b_k+1), s the logistic function."""
+    edges = np.concatenate(([-np.inf], thresholds, [np.inf]))
+    above = 1 / (1 + np.exp(-np.clip(score - edges[grades], -40, 40)))
+    over = 1 / (1 + np.exp(-np.clip(score - edges[grades + 1], -40, 40)))
+    width = np.maximum(above - over, 1e-9)
+    by_threshold = np.zeros(len(edges))
+    np.add.at(by_threshold, grades, weight * above * (1 - above) / width)
+    np.add.at(by_threshold, grades + 1, -weight * over * (1 - over) / width)
+    return -(1 - above - over) * weight, by_threshold[1:-1]
+
+
 def fit_arrays(rows: list[np.ndarray], grades: np.ndarray, seed: int = 7) -> Model | None:
     """The model of featured texts and their grades 0, 1, ...; None if there are fewer than two grades."""
     top = int(grades.max()) if len(grades) else 0
@@ -140,21 +154,14 @@ def fit_arrays(rows: list[np.ndarray], grades: np.ndarray, seed: int = 7) -> Mod
             scale = 1 / np.sqrt(np.maximum(sizes, 50) / 50)
             s = np.bincount(text, w[flat], minlength=len(pick)) * scale
             y = grades[pick]
-            edges = np.concatenate(([-40.0], b, [40.0]))
-            above = 1 / (1 + np.exp(-np.clip(s - edges[y], -40, 40)))
-            over = 1 / (1 + np.exp(-np.clip(s - edges[y + 1], -40, 40)))
-            width = np.maximum(above - over, 1e-9)
-            slope = -(1 - above - over) * weight[y]  # of the loss by the score
+            slope, gb = slopes(s, b, y, weight[y])
             used, where = np.unique(flat, return_inverse=True)
             g = np.bincount(where, (slope * scale)[text], minlength=len(used)) / len(pick)
             seen[used] += g * g
             step = RATE / (np.sqrt(seen[used]) + 1e-8)
             moved = w[used] - step * g
             w[used] = np.sign(moved) * np.maximum(np.abs(moved) - step * L1, 0)
-            gb = np.zeros(top + 2)
-            np.add.at(gb, y, weight[y] * above * (1 - above) / width)
-            np.add.at(gb, y + 1, -weight[y] * over * (1 - over) / width)
-            gb = gb[1:-1] / len(pick)
+            gb /= len(pick)
             b_seen += gb * gb
             b = np.maximum.accumulate(b - RATE / (np.sqrt(b_seen) + 1e-8) * gb + 0.0)
             b += 1e-3 * np.arange(top) * (np.diff(b, prepend=b[0] - 1) <= 0)
@@ -168,8 +175,12 @@ def score_arrays(model: Model, rows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", sample: int = SAMPLE) -> Model | None:
-    """Fit to the rated documents; ratings hold ids and grades 0, 1, ..."""
+def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", sample: int = SAMPLE, most: int = SAMPLE_FEATURES) -> Model | None:
+    """Fit to rated documents; ratings hold ids and grades 0, 1, ...
+
+    Of the ratings those whose ids hash lowest are used, at most ``sample``, and of these as many as have at most ``most`` features together, the first one at any rate. An id that comes
+    with several texts counts once, with the least text.
+    """
     common.ship(docs.sparkSession)
     rated = ratings.select(F.col(id_col).alias("_id"), F.col(grade_col).cast("int").alias("_grade")).dropna().groupBy("_id").agg(F.min("_grade").alias("_grade"))
     chosen = rated.orderBy(F.xxhash64("_id", F.lit("rated")), "_id").limit(sample)
@@ -177,28 +188,34 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
     def run(batches):
         for b in batches:
             made = features([common.as_bytes(t) for t in b.column(2).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in made], pa.binary())], ["id", "grade", "features"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in made], pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], ["id", "grade", "n", "features"])
 
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")  # a row for each sampled rating at most
-    got = texts.select(F.xxhash64("_id").alias("id"), "_grade", "_text").mapInArrow(run, "id long, grade int, features binary").toArrow().combine_chunks()
-    if not got.num_rows:
+    texts = texts.groupBy("_id", "_grade").agg(F.min("_text").alias("_text"))
+    made = common.saved(texts.select(F.xxhash64("_id", F.lit("rated")).alias("id"), "_grade", "_text").mapInArrow(run, "id long, grade int, n long, features binary").filter("n > 0"), "rated")
+    # As many as fit, told by their sizes alone: a row of two numbers for each sampled rating.
+    sizes = made.select("id", "n").toArrow()
+    if not sizes.num_rows:
         return None
+    ids, n = sizes["id"].to_numpy(), sizes["n"].to_numpy()
+    order = np.lexsort((n, ids))
+    taken = max(1, int(np.searchsorted(np.cumsum(n[order]), most, side="right")))
+    got = made.filter(F.col("id") <= int(ids[order[taken - 1]])).drop("n").toArrow().combine_chunks()
     packed = got.column(2).combine_chunks() if got.column(2).num_chunks != 1 else got.column(2).chunk(0)
     # Views of the collected buffer: nothing is copied.
     flat = np.frombuffer(packed.buffers()[2], dtype=np.int32)
     at = np.frombuffer(packed.buffers()[1], dtype=np.int64 if pa.types.is_large_binary(packed.type) else np.int32)[packed.offset : packed.offset + len(packed) + 1] // 4
     grades = got.column(1).to_numpy().astype(np.int64)
-    order = np.lexsort((np.diff(at), grades, got.column(0).to_numpy()))  # the same whatever partitions came first
-    order = [i for i in order.tolist() if at[i + 1] > at[i]]
+    order = np.lexsort((np.diff(at), grades, got.column(0).to_numpy())).tolist()  # the same whatever partitions came first
     return fit_arrays([flat[at[i] : at[i + 1]] for i in order], grades[order])
 
 
-def scored(docs: DataFrame, model: Model | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """All columns of docs and (expected_grade, tail_probability, keep): keep where the probability of the highest grade is at least that."""
+def scored(docs: DataFrame, model: Model | None, text_col: str = "text", least: float = 0.5, names: tuple[str, str, str] = SCORES) -> DataFrame:
+    """All columns of docs and the expected grade, the probability of the highest grade, and whether it is at least that, under these names; columns of docs that have them are replaced."""
     spark = docs.sparkSession
     common.ship(spark)
     sent = spark.sparkContext.broadcast(model)  # one weight vector of fixed size
-    taken = {"expected_grade": "double", "tail_probability": "double", "keep": "boolean"}
+    taken = dict(zip(names, ("double", "double", "boolean"), strict=True))
     columns = [c for c in docs.columns if c not in taken]
     where = columns.index(text_col)
 
