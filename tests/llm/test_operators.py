@@ -92,6 +92,57 @@ def test_quality_held_out():
     assert ((tails >= 0.5).sum(axis=1) == y[600:]).mean() > 0.95
 
 
+def test_quality_slopes_against_differences():
+    """The derivatives that the fit follows, against differences of the log-likelihood written out from its definition."""
+    r = np.random.default_rng(3)
+    grades, score, b, weight = r.integers(0, 4, 60), r.normal(0, 2, 60), np.array([-1.2, 0.1, 1.9]), r.uniform(0.5, 2, 60)
+
+    def loss(s, t):
+        total = 0.0
+        for x, g, w in zip(s, grades, weight, strict=True):
+            at_least = [1.0, *(1 / (1 + np.exp(-(x - e))) for e in t), 0.0]
+            total -= w * np.log(at_least[g] - at_least[g + 1])
+        return total
+
+    by_score, by_threshold = quality.slopes(score, b, grades, weight)
+    for i in range(0, 60, 7):
+        step = np.zeros(60)
+        step[i] = 1e-6
+        assert by_score[i] == pytest.approx((loss(score + step, b) - loss(score - step, b)) / 2e-6, rel=1e-4, abs=1e-6)
+    for k in range(3):
+        step = np.zeros(3)
+        step[k] = 1e-6
+        assert by_threshold[k] == pytest.approx((loss(score, b + step) - loss(score, b - step)) / 2e-6, rel=1e-4, abs=1e-6)
+
+
+def test_quality_fit_against_descent():
+    """A fit of one feature against plain descent on the same likelihood, without the pull to zero: probabilities agree."""
+    r = np.random.default_rng(5)
+    has = r.random(1500) < 0.5
+    grades = np.where(has, r.choice(3, 1500, p=[0.1, 0.3, 0.6]), r.choice(3, 1500, p=[0.6, 0.3, 0.1]))
+    model = quality.fit_arrays([np.array([3, 9] if h else [9], dtype=np.int32) for h in has], grades)
+    often = np.bincount(grades)
+    weight = np.sqrt(1500 / often / 3)[grades]
+    w, b = np.zeros(2), np.array([-0.5, 0.5])
+    for _ in range(4000):
+        by_score, by_threshold = quality.slopes(w[0] * has + w[1], b, grades, weight)
+        w, b = w - 0.5 / 1500 * np.array([by_score[has].sum(), by_score.sum()]), b - 0.5 / 1500 * by_threshold
+    got = model.tails(quality.score_arrays(model, [np.array([9], dtype=np.int32), np.array([3, 9], dtype=np.int32)]))
+    want = quality.Model(np.zeros(1), b).tails(np.array([w[1], w[0] + w[1]]))
+    assert np.abs(got - want).max() < 0.06
+
+
+def test_quality_bounds_and_clashes(spark):
+    """The bound on features, ids that come with several texts, and columns with the scores' names."""
+    rows = [(i, "s", f"good words here number{i} " * 3 if i % 2 else f"### $$$ {i} %%% " * 3) for i in range(60)]
+    df = docs_of(spark, rows + [(1, "s", "good words again")] * 30)
+    ratings = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, grade int")
+    assert quality.fit(df, ratings, most=1) is None  # a single rating teaches nothing
+    model = quality.fit(df, ratings)
+    out = quality.scored(df, model, names=("_g", "_p", "_k"))
+    assert out.columns == [*df.columns, "_g", "_p", "_k"] and out.select("keep").distinct().count() == 1 and out.filter("_k").count() > 0
+
+
 def test_quality_cases(spark, odd, empty):
     ratings = spark.createDataFrame([(3, 2), (4, 0), (5, 2), (5, None), (None, 1), (6, 1), (6, 2)], "doc_id long, grade int")
     model = quality.fit(odd, ratings)
@@ -131,6 +182,27 @@ def test_topk(spark, monkeypatch):
     assert topk.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_topk_bounds_are_safe_and_bite():
+    """No bound is below a score; on the real vectors a small share of the candidates is scored in full."""
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet", columns=["vec_id", "embedding"])
+    t = t.filter(t["embedding"].is_valid())
+    ids = t["vec_id"].to_numpy()
+    v = np.floor(64 * np.stack([np.array(x, dtype=np.float64) for x in t["embedding"].to_pylist()])).astype(np.float32)
+    lists, asked = topk.Lists(ids, v), np.flatnonzero(ids % 20 == 0)
+    bounds = lists.bounds(v[asked])
+    assert (bounds >= v[asked] @ lists.vectors.T).all()
+    scored = 0
+    for i, bound in zip(asked, bounds, strict=True):
+        found, score, n = lists.top(int(ids[i]), v[i], 20, bound)
+        whole = v @ v[i]
+        want = sorted((-int(s), int(j)) for s, j in zip(whole, ids, strict=True) if j != ids[i])[:20]
+        assert [(-int(s), int(j)) for s, j in zip(score, found, strict=True)] == want
+        scored += n
+    assert scored / len(asked) / len(ids) < 0.7
+
+
 # -- 3 ----------------------------------------------------------------------------------------------------------------------------
 
 
@@ -149,6 +221,24 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0), common.scratch(spark, "t")).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_warc_long_urls_and_odd_ids(spark, monkeypatch, hot):
+    """Whatever a row holds, it comes back: URLs beyond any buffer, ids that are negative or missing; popular payloads by either join."""
+    monkeypatch.setattr(warc, "HOT", hot)
+    pages = [(-1, "http://a/" + "u" * (1 << 20), "x" * 200), (None, "http://b/" + "v" * 70_000, "x" * 200), (3, "w", "x" * 200), (4, "", "y" * 100), (5, "z", "y" * 100), (None, None, "n" * 300), (None, None, "n" * 300), (-9, "", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(df, common.scratch(spark, "t")).collect()), key=repr)
+    want = [(-1, 200, "response", None), (None, 200, "revisit", -1), (3, 200, "revisit", -1), (4, 100, "response", None), (5, 100, "revisit", 4), (None, 300, "response", None), (None, 300, "response", None), (-9, 0, "response", None)]
+    assert got == sorted(want, key=repr)
+
+
+def test_warc_foreign_header_bound():
+    one = warc.record(1, "u" * 5000, b"abc", None, hashlib.sha256(b"abc").hexdigest())
+    assert warc.parse(one)[1].endswith(b"abc")
+    with pytest.raises(warc.WarcError):
+        warc.parse(one, most=1000)
+
+
 def archive(n=30):
     body = [f"<p>{i}</p>".encode() * 50 for i in range(n)]
     out = io.BytesIO()
@@ -210,6 +300,20 @@ def test_mixing(spark, monkeypatch):
     assert mixing.mixed(df.limit(0)).count() == 0 and mixing.mixed(docs_of(spark, [(1, "a", None)])).first()["taken"] == 0
 
 
+@pytest.mark.parametrize("weight", [0.05, 0.5, 1.0])
+def test_edge_bucket_is_small(spark, monkeypatch, weight):
+    """Whatever the quality weight makes of the keys, few rows are sorted, and the source's budget is met exactly; rows that repeat an id are one."""
+    monkeypatch.setattr(mixing, "SPLIT", 16)
+    monkeypatch.setattr(mixing, "BUCKET", 100)
+    sizes, real = [], common.saved
+    monkeypatch.setattr(mixing.common, "saved", lambda df, name: (lambda d: (sizes.append(d.count()) if name == "mix-close" else None, d)[1])(real(df, name)))
+    df = docs_of(spark, [(i, "only", "w " * (1 + i % 7)) for i in range(20_000)] + [(None, "only", "null " * 3)] * 500)
+    total = df.select(F.sum(mixing.words(F.col("text")))).first()[0]
+    out = mixing.plan(df, quality_col=F.lit(weight), share=0.6).agg(F.sum("taken"), F.max("target")).first()
+    assert abs(out[0] - round(0.6 * total)) <= 500 and out[1] == pytest.approx(0.6 * total)
+    assert sizes[-1] <= 4 * mixing.BUCKET or sizes[-1] <= 500 + mixing.BUCKET
+
+
 def test_quality_weights_count(spark):
     df = docs_of(spark, [(i, f"s{i % 4}", "w " * 10) for i in range(4000)])
     t = mixing.plan(df, quality_col=F.when(F.col("doc_id") % 8 < 4, 4.0).otherwise(1.0), weights=(1, 1, 1, 1), share=0.5).select((F.col("doc_id") % 8 < 4).alias("good"), "taken").groupBy("good").agg(F.sum("taken").alias("n")).collect()
@@ -239,6 +343,52 @@ def test_compaction(spark, odd):
     assert t.manifest()["shards"] == shards
 
 
+def test_compaction_keeps_readers(spark, odd):
+    """A lazy read of an older version outlives compactions; beyond the retention old versions, their files and those of failed writers go, and the rows stay."""
+    t = compaction.ShardedTable(spark, common.scratch(spark, "t"), odd.schema, target_bytes=60_000, fanout=2, least_bytes=1000)
+    for _ in range(4):
+        t.append(odd.repartition(2))
+    early, before = t.read(), t.versions()[-1]
+    t._write(odd, "merge")  # a writer that fails before its commit
+    t.compact(final=True)
+    assert early.count() == 4 * odd.count() == t.read().count() and t.versions()[0] == 1
+    files = lambda: {f for s in t._listed("data") for f in (x.getPath().getName() for x in t._listed(f"data/{s.getPath().getName()}")) if f.startswith("part-")}
+    many = len(files())
+    t.vacuum(keep=2, seconds=-10, orphans=-10)
+    assert len(t.versions()) == 2 and len(files()) < many and t.read().count() == 4 * odd.count() and t.read(t.versions()[0]).count() == 4 * odd.count()
+    t.vacuum(keep=1, seconds=-10, orphans=-10)
+    assert len(files()) == len(t.manifest()["shards"]) and before not in t.versions()
+    t.append(odd)
+    assert t.read().count() == 5 * odd.count()
+
+
+def test_compaction_writers_meet(spark, odd, monkeypatch):
+    """Two writers: an append during a merge, and two merges of the same shards."""
+    make = lambda: compaction.ShardedTable(spark, path, odd.schema, target_bytes=60_000, fanout=2, least_bytes=1000)
+    path = common.scratch(spark, "t")
+    one, other = make(), make()
+    for _ in range(4):
+        one.append(odd.repartition(2))
+    real, calls = one._merge, []
+
+    def meanwhile(runs):
+        made = real(runs)
+        if not calls:
+            calls.append(1)
+            other.append(odd.limit(3))
+        elif len(calls) == 1:
+            calls.append(1)
+            other.compact(final=True)
+        return made
+
+    monkeypatch.setattr(one, "_merge", meanwhile)
+    one.append(odd)
+    one.compact(final=True)
+    one.append(odd)
+    one.compact(final=True)
+    assert one.read().count() == 6 * odd.count() + 3 == other.read().count()
+
+
 def test_compaction_plan(spark):
     t = compaction.ShardedTable(spark, common.scratch(spark, "t"), spark.range(0).schema, target_bytes=1000, fanout=4, least_bytes=10)
     shard = lambda i, n: {"path": str(i), "bytes": n, "rows": 1}
@@ -407,6 +557,44 @@ def test_near_duplicates_odd(spark, odd, empty):
     assert {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(two).collect()} == {(1, 1), (2, 1), (3, 1)}
 
 
+def test_chained_texts_are_not_compared_across(spark):
+    """Texts that chain through buckets far below the threshold: what is compared stays near the sum of the buckets' squares, far from the square of the chain."""
+    r = random.Random(3)
+    words = [f"w{r.randrange(10**6)}" for _ in range(40 + 10 * 600)]
+    chain = [" ".join(words[10 * i : 10 * i + 40]) for i in range(600)]  # neighbours share three quarters of their words, likeness about 0.57
+    df = docs_of(spark, [(i, "s", t) for i, t in enumerate(chain)])
+    described = near_dedup._described(df, "doc_id", "text", near_dedup.ROWS, near_dedup.BANDS)
+    classes = described.select(F.col("_id").alias("node"), "keys")
+    buckets = common.saved(near_dedup.candidate_buckets(classes), "t")
+    near = buckets.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    from loomgraph.operators.components import connected_components
+
+    assert connected_components(near).groupBy("component").count().agg(F.max("count")).first()[0] > 20  # they do chain
+    alone = spark.createDataFrame([], "node long, component long")
+    pairs = near_dedup.open_buckets(buckets, alone).groupBy("key").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0
+    assert pairs + near.count() < 20 * 600
+    got = near_dedup.near_duplicates(df)
+    assert got.filter("NOT kept").count() == 0 and got.count() == 600
+
+
+def test_unsettled_buckets(spark, monkeypatch):
+    """Links between members that are not linked to their bucket's smallest one are found as well."""
+    monkeypatch.setattr(near_dedup, "BLOCK_SETS", 2)
+    r = random.Random(11)
+    rows = []
+    for g in range(12):
+        base = [r.choice(WORDS) + str(r.randrange(60)) for _ in range(90)]
+        for k in range(9):
+            w = list(base)
+            for _ in range(4 * (k % 3)):  # some versions are far from the first one and near to each other
+                w[r.randrange(len(w))] = f"v{k}"
+            rows.append((len(rows), "s", " ".join(w)))
+    sets = {i: shingles(t) for i, _, t in rows}
+    want = components(sets)
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(docs_of(spark, rows), rows=2, bands=60).collect()}
+    assert got == want
+
+
 def test_signature_estimates():
     r = np.random.default_rng(5)
     a = np.unique(r.integers(0, 1 << 62, 1000).astype(np.uint64))
