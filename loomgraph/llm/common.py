@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import partitions, saved, scratch, shared_dir, ship  # noqa: F401
 
@@ -20,11 +21,34 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes hashed at once; longer texts make a chunk of their own.
 CHUNK = 1 << 18
 
+
 def table(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[str]) -> DataFrame:
     """Those columns of a table, whatever else it holds."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def private(columns: Iterable[str], *names: str) -> tuple[str, ...]:
+    """These names with as many underscores before them as it takes to be none of the columns, whatever their case."""
+    taken, prefix = {c.lower() for c in columns}, "_"
+    while any((prefix + n).lower() in taken for n in names):
+        prefix += "_"
+    return tuple(prefix + n for n in names)
+
+
+#: Keys that hold at least one in so many rows are joined by a broadcast.
+HOT = 1000
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, tally: DataFrame) -> DataFrame:
+    """left inner join right, whose rows are unique in key, where a key may hold any share of left's rows.
+
+    tally (key, n) counts left's rows. Keys that hold at least one in HOT of them, so HOT keys at most, are joined by a broadcast; what is left for the shuffle has no hot key. left is read twice.
+    """
+    total = tally.agg(F.sum("n")).first()[0] or 0
+    hot = right.join(tally.filter(F.col("n") * HOT >= total).select(key), key)
+    return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right, key))
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a shared URI, usable on executors."""
     from pyarrow import fs

@@ -77,8 +77,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
     keyed = docs.select(F.col(id_col).alias("_id"), row.alias("_row"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("content_digest"), F.octet_length(text).cast("long").alias("n_bytes"))
     keyed = common.saved(keyed, "token-keys")
     stored = read_cache(spark, cache).filter(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens")
-    # One row for each missing key; ids may be repeated, so the row's text is held against the key below.
-    misses = keyed.groupBy("content_digest").agg(F.min("_row").alias("_row")).join(stored, "content_digest", "left_anti")
+    # One row for each missing key.
+    distinct = common.saved(keyed.groupBy("content_digest").agg(F.min("_row").alias("_row"), F.count("*").alias("n")), "token-distinct")
+    misses = distinct.select("content_digest", "_row").join(stored, "content_digest", "left_anti")
 
     def encode(batches):
         count, before = counter(tokenizer), None
@@ -99,12 +100,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["content_digest", "n_tokens"])
 
     wanted = (
-        docs.select(row.alias("_row"), text.alias("_text"))
-        .join(misses, "_row")
+        docs.select(row.alias("_row"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("content_digest"), text.alias("_text"))
+        .join(misses, ["_row", "content_digest"])
         .select("content_digest", "_text")
-        .filter(F.unhex(F.sha2(F.col("_text").cast("binary"), 256)) == F.col("content_digest"))
     )
     new = wanted.mapInArrow(encode, "content_digest binary, n_tokens long").groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")).withColumn("tokenizer_digest", F.lit(version)).select("content_digest", "tokenizer_digest", "n_tokens")
     new.write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).filter(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.join(counts, "content_digest").select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return common.join_unique(keyed, counts, "content_digest", distinct.select("content_digest", "n")).select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
