@@ -29,6 +29,8 @@ from . import common
 
 #: Words whose encodings a worker keeps in each of two generations; when the younger is full it becomes the older, whose unused words go. Forgetting costs time and changes no result.
 KEPT_WORDS = 200_000
+#: Characters of the longest word that is kept beyond its batch: bounds the bytes as well.
+KEPT_LENGTH = 64
 #: Pairs of tokens whose compatibility a worker keeps.
 KEPT_PAIRS = 300_000
 
@@ -238,6 +240,9 @@ class TrieBpe:
                 self.learn(new)
             for words in cut:
                 yield list(chain.from_iterable(map(kept.__getitem__, words)))
+            for w in new:
+                if len(w) > KEPT_LENGTH:
+                    del kept[w]
             at = end
 
     def decode(self, ids: list[int]) -> str:
