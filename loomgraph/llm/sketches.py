@@ -100,9 +100,10 @@ def with_following(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFra
     n = max(1, min(MOST_PARTS, 4 * common.partitions(spark)))
     cuts = docs.select(key.alias("_key")).agg(F.percentile_approx("_key", [i / n for i in range(1, n)] or [0.5], max(10_000, 10 * n)).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts)) if n > 1 else []
-    # Parts count down from the largest ids: part p holds the keys with p cuts above or at them.
-    bounds = F.array(*map(F.lit, cuts)) if cuts else None
-    part = F.size(F.filter(bounds, lambda c: c >= F.col("_key"))) if cuts else F.lit(0)
+    # Parts count down from the largest ids: part p holds the keys with p cuts above or at them. Cuts below a key are counted in two steps, whole runs first and then one by one.
+    run, below = 64, lambda bounds: F.size(F.filter(bounds, lambda c: c < F.col("_key")))
+    runs = below(F.lit(cuts[run - 1 :: run])) if len(cuts) >= run else F.lit(0)
+    part = F.lit(len(cuts)) - (runs * run + below(F.slice(F.lit(cuts), runs * run + 1, F.lit(run)))) if cuts else F.lit(0)
     keyed = docs.select(key.alias("_key"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).withColumn("_part", part)
     heads = [(r["_part"], r["k"]) for r in keyed.groupBy("_part").agg(F.max("_key").alias("k")).orderBy("_part").collect()]  # a row for each part: MOST_PARTS + 1 at most
     before = [(k, heads[i - 1][0]) for i, (_, k) in enumerate(heads)]
