@@ -193,3 +193,26 @@ def higher_is_better(metric: Column) -> Column:
 
 def min_max(x: Column, low: Column, high: Column) -> Column:
     return (x - low) / (high - low + 1e-9)
+
+
+def general(c: Column) -> Column:
+    """A number with six significant digits and no trailing zeros, as a general format writes it: fixed from 1e-4 to below 1e6, else with an exponent. Null is empty."""
+    x = c.cast("double")
+    told = F.format_string("%.5e", x)
+    exponent = F.substring_index(told, "e", -1).try_cast("int")
+    mantissa = F.substring_index(told, "e", 1)
+    sign = F.when(F.startswith(mantissa, F.lit("-")), "-").otherwise("")
+    digits = F.regexp_replace(mantissa, "[-.]", "")
+    cut = lambda whole, part: F.concat(whole, F.when(F.rtrim(part, F.lit("0")) != "", F.concat(F.lit("."), F.rtrim(part, F.lit("0")))).otherwise(""))
+    large = cut(F.substr(digits, F.lit(1), exponent + 1), F.substr(digits, exponent + 2))
+    small = cut(F.lit("0"), F.concat(F.repeat(F.lit("0"), -exponent - 1), digits))
+    powers = F.concat(cut(F.substr(digits, F.lit(1), F.lit(1)), F.substr(digits, F.lit(2))), F.lit("e"), F.substring_index(told, "e", -1))
+    number = F.concat(sign, F.when((exponent < -4) | (exponent >= 6), powers).when(exponent >= 0, large).otherwise(small))
+    odd = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+    return F.when(x.isNull(), "").otherwise(F.coalesce(odd, number))
+
+
+def key_values(**parts: Column) -> Column:
+    """``name=value`` of the parts that say something, with blanks between; give numbers through general()."""
+    told = [F.when(F.trim(F.coalesce(c.cast("string"), F.lit(""))) != "", F.concat(F.lit(f"{k}="), F.trim(c.cast("string")))) for k, c in parts.items()]
+    return F.concat_ws(" ", *told)

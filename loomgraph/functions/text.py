@@ -241,6 +241,16 @@ def citations_expected(context: Column) -> Column:
     return has("key=") | has("citation") & has("kg") | has("knowledge graph") & has("citation")
 
 
+def grounding_asked(context: Column) -> Column:
+    """Whether a prompt asks for citations, or for evidence chains."""
+    return citations_expected(context) | F.contains(F.lower(_s(context)), F.lit("evidence chains"))
+
+
+def structural_compliance(c: Column) -> Column:
+    """The share of the expected section numbers that open a line of a text."""
+    return F.size(section_numbers(c)) / F.lit(float(SECTIONS))
+
+
 def heuristic_format(c: Column, context: Column) -> Column:
     """Format score of a text for what its prompt asks for."""
     text, ask = F.lower(_s(c)), F.lower(_s(context))

@@ -118,17 +118,18 @@ def merge_nodes(contributions: DataFrame, keep: tuple[str, ...], last: bool = Fa
 
 
 def merge_edges(steps: list[DataFrame], attributes: tuple[str, ...] = ()) -> DataFrame:
-    """All steps' edges with keys in build order; attributes that a step lacks are null."""
+    """All steps' edges with keys in build order: by step and, within it, by seq, then by their own columns; attributes that a step lacks are null. A step whose rows have no order of their own (no
+    seq) is ordered by its columns alone."""
     whole = None
     for i, s in enumerate(steps):
         if "seq" not in s.columns:
-            s = s.withColumn("seq", F.xxhash64(*s.columns))
+            s = s.withColumn("seq", F.lit(0).cast("long"))
         s = s.withColumn("step", F.lit(i))
         whole = s if whole is None else whole.unionByName(s, allowMissingColumns=True)
     for c in attributes:
         if c not in whole.columns:
             whole = whole.withColumn(c, F.lit(None).cast("string"))
-    return graph.with_keys(whole, "step", "seq")
+    return graph.with_keys(whole, "step", "seq", *(c for c in whole.columns if c not in ("step", "seq")))
 
 
 def upsert(nodes: DataFrame, delta: DataFrame, attributes: tuple[str, ...]) -> DataFrame:

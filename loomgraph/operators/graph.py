@@ -117,8 +117,10 @@ def khop(seeds: DataFrame, edges: DataFrame, k: int, *, by: tuple[str, ...] = ("
 
 
 def distances(ends: DataFrame, edges: DataFrame, cutoff: int, name: str) -> DataFrame:
-    """(pair_id, node, name): hop distances up to cutoff from each pair's end (pair_id, node)."""
-    return khop(ends, edges, cutoff, by=("pair_id",)).withColumnRenamed("hops", name)
+    """(pair_id, node, name): hop distances up to cutoff from each pair's ends (pair_id, node). A node that is an end of many pairs is searched from once; several ends of a pair give the least."""
+    own = ends.select("pair_id", F.col("node").alias("start")).distinct()
+    balls = khop(own.select("start", F.col("start").alias("node")).distinct(), edges, cutoff)
+    return own.join(balls, "start").groupBy("pair_id", "node").agg(F.min("hops").alias(name))
 
 
 def shortest_path_nodes(pairs: DataFrame, edges: DataFrame, cutoff: int) -> DataFrame:
@@ -131,7 +133,7 @@ def shortest_path_nodes(pairs: DataFrame, edges: DataFrame, cutoff: int) -> Data
 
 def min_core_distance(cores: DataFrame, edges: DataFrame, cutoff: int) -> DataFrame:
     """(pair_id, node, dist): the least hop distance of a node from its pair's cores (pair_id, node)."""
-    return distances(cores, edges, cutoff, "dist").groupBy("pair_id", "node").agg(F.min("dist").alias("dist"))
+    return distances(cores, edges, cutoff, "dist")
 
 
 def incident_edges(edges: DataFrame, centers: DataFrame) -> DataFrame:

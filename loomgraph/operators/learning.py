@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from . import graph
+from .ordering import running_sums
 
 #: Separator of compound relations; share of hard negatives, of validation pairs; negatives for each training and validation pair; calibration and blend.
 SEPARATOR = "|||"
@@ -125,7 +126,7 @@ def hard_negatives(edges: DataFrame, nodes: DataFrame, positives: DataFrame, kin
 
 
 def distant_negatives(edges: DataFrame, nodes: DataFrame, positives: DataFrame, kind: str = "gene") -> DataFrame:
-    """Pairs of nodes that occur in positives, neither positive nor joined by an edge. The number of labelled nodes bounds it."""
+    """Pairs of nodes that occur in positives, neither positive nor joined by an edge. All pairs of labelled nodes, by definition: their number, hundreds to thousands, bounds it."""
     p = unordered(positives)
     known = p.select(F.col("a").alias("n")).unionByName(p.select(F.col("b").alias("n"))).distinct()
     every = known.select(F.col("n").alias("a")).join(known.select(F.col("n").alias("b")), F.col("a") < F.col("b"))
@@ -147,8 +148,8 @@ def sample(hard: DataFrame, distant: DataFrame, n: int, hard_share: float = HARD
 def train_validation(positives: DataFrame, share: float = VALIDATION, seed: str = "42") -> DataFrame:
     """positives (a, b) with the column part: validation for the first share in hash order, LEAST_VALIDATION at least."""
     n = positives.count()
-    place = F.row_number().over(Window.orderBy(hash_order("a", "b", seed=seed), "a", "b"))  # labelled pairs: a table of hundreds
-    return positives.withColumn("part", F.when(place <= max(LEAST_VALIDATION, int(share * n)), "validation").otherwise("train"))
+    placed = running_sums(positives, [hash_order("a", "b", seed=seed), F.col("a"), F.col("b")], _place=F.lit(1))
+    return placed.withColumn("part", F.when(F.col("_place") <= max(LEAST_VALIDATION, int(share * n)), "validation").otherwise("train")).drop("_place")
 
 
 def calibrated(raw: DataFrame, value: str = "value", method: str = "zscore", low: float = LOW, high: float = HIGH, alpha: float = ALPHA) -> DataFrame:
@@ -195,11 +196,10 @@ def averages_by_half(scores: DataFrame) -> tuple[DataFrame, DataFrame]:
 def auc(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """(auc, average_precision) of scores for labels 0 and 1, ties shared.
 
-    Distinct scores are aggregated first, so cumulative sums run over a row for each score and not for each example.
+    Distinct scores are aggregated first, so cumulative sums run over a row for each score and not for each example; ranges of scores are summed side by side.
     """
     g = rows.groupBy(score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    c = g.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down))
+    c = running_sums(g, [F.desc(score)], tp=F.col("p"), fp=F.col("n"))
     s = c.agg(F.sum("p").alias("P"), F.sum("n").alias("N"), F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)).alias("area"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"))
     return s.select((F.col("area") / F.nullif(F.col("P") * F.col("N"), F.lit(0))).alias("auc"), (F.col("ap") / F.nullif(F.col("P"), F.lit(0))).alias("average_precision"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import partitions, saved, ship
+from ..runtime import discard, partitions, saved, ship
 
 ALPHA, ROUNDS, TOLERANCE = 0.85, 200, 1e-9
 #: Rounds between two cuts of the lineage.
@@ -27,17 +27,23 @@ def transitions(edges: DataFrame) -> DataFrame:
     return to.join(edges.groupBy("src").agg(F.count("*").alias("out")), "src").select("src", "dst", (F.col("n") / F.col("out")).alias("w"))
 
 
-def personalized_pagerank(edges: DataFrame, seeds: DataFrame, *, alpha: float = ALPHA, rounds: int = ROUNDS, tolerance: float = TOLERANCE, fixed: bool = False) -> DataFrame:
-    """(source_id, node, rank) of every node that a seed (source_id, node) reaches along edges; others have rank 0.
+def personalized_pagerank(edges: DataFrame, seeds: DataFrame, *, alpha: float = ALPHA, rounds: int = ROUNDS, tolerance: float = TOLERANCE, fixed: bool = False, at: DataFrame | None = None) -> DataFrame:
+    """(source_id, node, rank) of every node that a seed (source_id, node) reaches along edges; others have rank 0. With at (source_id, node), of those nodes only.
 
     Rank leaves a node along its outgoing edges; from nodes without any it returns to the seed, as does 1 - alpha of all. Only reached nodes are
     held: the iteration starts at the seeds. It stops when no source moves by more than tolerance for each node, or, if
-    fixed, after the given rounds. Unless fixed, a graph of at most HELD steps goes to the tasks whole and each solves its seeds alone.
+    fixed, after the given rounds. A graph of at most HELD steps goes to the tasks whole and each solves its seeds alone.
     """
     step = saved(transitions(edges), "ppr-steps")
     start = seeds.select("source_id", F.col("node").alias("seed")).distinct()
-    if not fixed and step.count() <= HELD:
-        return _held_pagerank(step, start, alpha, rounds, tolerance)
+    if step.count() <= HELD:
+        return _held_pagerank(step, start, alpha, rounds, -1.0 if fixed else tolerance, at)
+    whole = _joined_pagerank(edges, step, start, alpha, rounds, tolerance, fixed)
+    return whole if at is None else whole.join(at.select("source_id", "node").distinct(), ["source_id", "node"], "left_semi")
+
+
+def _joined_pagerank(edges: DataFrame, step: DataFrame, start: DataFrame, alpha: float, rounds: int, tolerance: float, fixed: bool) -> DataFrame:
+    """The ranks by a join in every round, for graphs of any size."""
     home = start.select("source_id", "seed", F.col("seed").alias("node"), F.lit(1 - alpha).alias("rank"))
 
     def advance(rank: DataFrame) -> DataFrame:
@@ -57,11 +63,13 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, *, alpha: float =
     while done < rounds:
         for _ in range(min(CUT, rounds - done) - 1):
             rank = advance(rank)
-        before = saved(rank, "ppr")
+        before, last = saved(rank, "ppr"), rank
+        discard(last)
         rank = saved(advance(before), "ppr")
         done += CUT
         moves = rank.join(before.withColumnRenamed("rank", "old"), ["source_id", "seed", "node"], "full")
         most = moves.groupBy("source_id").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("d")).agg(F.max("d")).first()[0]
+        discard(before)
         if (most or 0.0) < least:
             break
     return rank.select("source_id", "node", "rank")
@@ -83,28 +91,35 @@ def sparse_pagerank(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int, see
     return x
 
 
-def _held_pagerank(step: DataFrame, start: DataFrame, alpha: float, rounds: int, tolerance: float) -> DataFrame:
-    """The converged ranks of seeds (source_id, seed) over a graph that a task can hold."""
+def _held_pagerank(step: DataFrame, start: DataFrame, alpha: float, rounds: int, tolerance: float, wanted: DataFrame | None) -> DataFrame:
+    """The ranks of seeds (source_id, seed) over a graph that a task can hold, until they move by no more than the tolerance for each node; of the wanted nodes (source_id, node) if there are such."""
     spark = step.sparkSession
     ship(spark)
     t = step.toArrow()
     ends = pa.chunked_array([*t["src"].chunks, *t["dst"].chunks], t["src"].type).combine_chunks().dictionary_encode()
     codes = ends.indices.to_numpy()
-    held = spark.sparkContext.broadcast((codes[: len(t)], codes[len(t) :], t["w"].to_numpy(), ends.dictionary))
+    held = spark.sparkContext.broadcast((codes[: len(t)], codes[len(t) :], t["w"].to_numpy(), ends.dictionary))  # HELD steps at most
+    few = wanted is not None
 
     def run(batches):
         src, dst, w, names = held.value
         for b in batches:
             for i, at in enumerate(pc.index_in(b.column(1), value_set=names).to_pylist()):
+                asked = b.column(2)[i].values if few else None
                 if at is None:  # no edge touches the seed: all rank stays there
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([1.0])], ["source_id", "node", "rank"])
+                    if not few or b.column(1)[i].as_py() in asked.to_pylist():
+                        yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([1.0])], ["source_id", "node", "rank"])
                     continue
                 x = sparse_pagerank(src, dst, w, len(names), at, alpha, rounds, tolerance)
-                some = np.flatnonzero(x)
+                some = np.array([k for k in pc.index_in(asked, value_set=names).to_pylist() if k is not None and x[k]], dtype=np.int64) if few else np.flatnonzero(x)
                 yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[i], len(some)), names.take(pa.array(some)), pa.array(x[some])], ["source_id", "node", "rank"])
 
     out = T.StructType([T.StructField("source_id", start.schema["source_id"].dataType), T.StructField("node", step.schema["src"].dataType), T.StructField("rank", T.DoubleType())])
-    return start.select("source_id", F.col("seed").cast(step.schema["src"].dataType)).repartition(partitions(spark)).mapInArrow(run, out)
+    kind = step.schema["src"].dataType
+    asking = start.select("source_id", F.col("seed").cast(kind))
+    if few:
+        asking = asking.join(wanted.groupBy("source_id").agg(F.collect_set(F.col("node").cast(kind)).alias("asked")), "source_id")
+    return asking.repartition(partitions(spark)).mapInArrow(run, out)
 
 
 def _matrix(nodes: list[str], src: np.ndarray, dst: np.ndarray) -> np.ndarray:

@@ -39,7 +39,17 @@ def mmr(items: DataFrame, queries: DataFrame, k: int, weight: float = RELEVANCE)
 
 
 def lexicon_matches(docs: DataFrame, lexicon: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, feature): the features of a lexicon that each text has. The lexicon is a list of phrases, given with the query, and goes to every task."""
-    lists = lexicon.agg(F.collect_set(F.struct("feature", T.tokens(T.normalize(F.col("feature"))).alias("tokens"))).alias("features"))
-    one = docs.select(id_col, T.normalize(F.col(text_col)).alias("_t")).crossJoin(F.broadcast(lists))  # one row: the lexicon
-    return one.select(id_col, F.explode(F.filter("features", lambda f: T.contains_tokens(F.col("_t"), f["tokens"]))).alias("f")).select(id_col, "f.feature")
+    """(id, feature): the features of a lexicon (feature) that each text has; rows without an id count as one text each and come without one.
+
+    A feature's tokens stand as whole words in a text that has it, so its rarest token, by the number of texts, is joined to the texts' distinct words; what meets there is then looked at in
+    full. Neither side is broadcast or paired with all of the other.
+    """
+    rows = docs.select(F.col(id_col).alias("_id"), T.normalize(F.col(text_col)).alias("_t"))
+    # The pattern's words are runs of letters, digits and underscores of any script; tokens are lower-cased and texts are not.
+    words = rows.select("_id", "_t", F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(r"(?U)\w+"), 0))).alias("_w"))
+    features = lexicon.select("feature").distinct().select("feature", T.tokens(T.normalize(F.col("feature"))).alias("_tokens")).filter(F.size("_tokens") > 0)
+    wanted = features.select("feature", "_tokens", F.explode(F.array_distinct("_tokens")).alias("_w"))
+    often = words.join(wanted.select("_w").distinct(), "_w", "left_semi").groupBy("_w").agg(F.count("*").alias("_n"))
+    key = wanted.join(often, "_w", "left").groupBy("feature").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_w")).alias("_k"), F.first("_tokens").alias("_tokens")).filter("_k.n > 0")
+    met = words.join(key.select("feature", "_tokens", F.col("_k._w").alias("_w")), "_w")
+    return met.filter(T.contains_tokens(F.col("_t"), F.col("_tokens"))).select(F.col("_id").alias(id_col), "feature")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import construction, graph, subgraph
+from ..operators import building, construction, graph, subgraph
 from . import harness as h
 from .registry import query
 
@@ -228,3 +228,79 @@ def gene_capped_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = h.nodes(spark, sf_dir).select(F.col("node_id").alias("node"), (F.col("type") == "gene").alias("is_gene"))
     facts = members.join(kinds, "node").select("pair_id", "node", "is_gene", "core", F.lit(False).alias("on_path"))
     return subgraph.gene_caps(sub.select("pair_id", "src", "dst", "key", "evidence"), facts)
+
+
+@query("""
+    WITH p AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b, min(l_orderkey) AS seq FROM lineitem GROUP BY 1, 2)
+    SELECT 'gene:' || a AS src, 'gene:' || b AS dst, 'SL_pair' AS type, 'seed' AS source, 2 * seq AS seq FROM p UNION ALL SELECT 'gene:' || b, 'gene:' || a, 'SL_pair', 'seed', 2 * seq + 1 FROM p
+""")
+def pair_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair as an edge each way."""
+    li = h.read(spark, sf_dir, "lineitem")
+    return construction.pair_edges(li.groupBy(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")).agg(F.min("l_orderkey").alias("seq")), "seed")
+
+
+@query("SELECT 'gene:' || l_suppkey AS src, 'gene:' || l_partkey AS dst, 'STRING_association' AS type, 'STRING' AS source, CASE WHEN l_linenumber > 1 THEN l_discount::DOUBLE END AS score FROM lineitem")
+def association_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One directed edge for each row, none dropped, with scores that may be missing."""
+    li = h.read(spark, sf_dir, "lineitem").withColumn("l_discount", F.when(F.col("l_linenumber") > 1, F.col("l_discount")))
+    return construction.association_edges(li, "l_suppkey", "l_partkey", "l_discount")
+
+
+@query("""
+    WITH a AS (SELECT DISTINCT upper('s' || s_suppkey) AS k FROM supplier WHERE s_suppkey % 3 = 0), r AS (SELECT 's' || l_suppkey AS source, 'S' || (l_partkey % 50) AS target, l_orderkey * 10 + l_linenumber AS seq FROM lineitem)
+    SELECT source, target, seq FROM r WHERE upper(source) IN (SELECT k FROM a) OR upper(target) IN (SELECT k FROM a) ORDER BY seq, source, target LIMIT 1000
+""")
+def interactions_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first interactions with either end among the wanted accessions."""
+    li = h.read(spark, sf_dir, "lineitem")
+    rows = li.select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("S"), F.col("l_partkey") % 50).alias("target"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    wanted = h.read(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("accession"))
+    return construction.interactions_in_scope(rows, wanted, 1000)
+
+
+@query(f"""
+    WITH {h.EDGES_SQL}, {h.PAIRS_SQL}, c AS (SELECT pair_id, a AS node FROM pairs UNION SELECT pair_id, b FROM pairs), n AS (SELECT DISTINCT c.pair_id, m.b AS node FROM c JOIN neighbors m ON m.a = c.node),
+    f AS (SELECT pair_id, node, 1 AS dist, node LIKE '%7' AS protected FROM n UNION SELECT pair_id, node, 0, true FROM c)
+    SELECT pair_id, node, min(dist) AS dist FROM f WHERE dist <= 0 OR protected GROUP BY 1, 2
+""")
+def near_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes near the cores that are within the limit or protected."""
+    pairs = h.pairs(spark, sf_dir)
+    cores = pairs.select("pair_id", F.col("a").alias("node")).unionByName(pairs.select("pair_id", F.col("b").alias("node")))
+    dist = graph.min_core_distance(cores, h.edges(spark, sf_dir), 1)
+    facts = dist.withColumn("protected", (F.col("dist") == 0) | F.col("node").like("%7"))
+    return subgraph.near_nodes(facts, 0).select("pair_id", "node", "dist")
+
+
+def sources(spark: SparkSession, sf_dir: str) -> building.Sources:
+    """The driver's tables as the sources of a build: suppliers and brands as genes, parts as pathways and drugs, nations as cohorts."""
+    read = lambda t: h.read(spark, sf_dir, t)
+    gene = lambda n, c: F.concat(F.lit(n), c.cast("string"))
+    s, li, p, c = read("supplier"), read("lineitem"), read("part"), read("customer")
+    key = F.col("s_suppkey")
+    seeds = s.filter("s_suppkey <= 3").select(gene("S", key).alias("a"), gene("S", key + 1).alias("b"), key.alias("seq"))
+    curated = s.filter("s_suppkey <= 8").select(gene("S", key + 1).alias("a"), F.when(key % 4 == 0, "").otherwise(gene("S", key + 3)).alias("b"), key.alias("seq"), F.when(key % 2 == 0, "tissue").alias("context"), F.lit(None).cast("string").alias("note"))
+    some = li.filter("l_linenumber = 1 AND l_quantity < 6")
+    associations = some.select(gene("S", F.col("l_suppkey") % 12 + 1).alias("a"), gene("S", F.col("l_partkey") % 14 + 1).alias("b"), F.when(F.col("l_tax") > 0.02, F.col("l_discount")).alias("score"), F.col("l_orderkey").alias("seq"))
+    accessions = s.filter("s_suppkey <= 6").select(gene("S", key).alias("gene"), F.format_string("P%04d9", key).alias("accession"))
+    interactions = li.filter("l_linenumber = 2 AND l_quantity < 9").select(F.format_string("P%04d9", F.col("l_suppkey") % 9).alias("source"), F.format_string("Q%04d1", F.col("l_partkey") % 9).alias("target"), F.col("l_orderkey").alias("seq"))
+    regulations = li.filter("l_linenumber = 3").select(F.when(F.col("l_orderkey") % 3 == 0, F.format_string("p%04d9", F.col("l_suppkey") % 9)).otherwise(gene("S", F.col("l_suppkey") % 30)).alias("tf"), gene("s", F.col("l_partkey") % 20).alias("target"), F.substring(F.lit("ABCDEX"), (F.col("l_quantity") % 6 + 1).cast("int"), 1).alias("level"), F.when(F.col("l_tax") > 0.04, "activation").alias("sign"), F.col("l_returnflag").alias("source"))
+    effects = c.filter("c_custkey <= 120").select(gene("cell", F.col("c_custkey") % 12).alias("cell"), gene("S", (F.col("c_custkey") / 12).cast("int") + 1).alias("gene"), F.round("c_acctbal", 2).alias("effect"))
+    pathways = p.filter("p_size % 3 = 0").select(gene("S", F.col("p_partkey") % 10 + 1).alias("gene"), F.col("p_partkey").alias("pos"), F.col("p_partkey").alias("pathway_id"), F.col("p_name").alias("name"))
+    cohorts = read("nation").select(F.col("n_name").alias("cohort"), gene("T", F.col("n_regionkey")).alias("tumor"))
+    drivers = c.select(gene("T", F.col("c_nationkey") % 4).alias("tumor"), gene("S", F.col("c_custkey") % 9 + 1).alias("gene"), F.col("c_mktsegment").alias("role"), F.lit(0.1).alias("score"), F.col("c_custkey").alias("seq"))
+    drugs = p.filter("p_size % 3 = 1").select(gene("S", F.col("p_partkey") % 11 + 1).alias("gene"), F.col("p_partkey").alias("pos"), gene("D", F.col("p_partkey") % 40).alias("drug_id"), (F.col("p_size") % 5).alias("phase"), F.col("p_brand").alias("mechanism"), F.col("p_type").alias("disease"))
+    return building.Sources(seeds, curated, associations, accessions, interactions, regulations, effects, pathways, cohorts, drivers, drugs, not_genes=("S5",), caps={"tf_per_target": 3, "interactions": 200, "drug_rows": 4})
+
+
+@query()
+def built_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of a whole build."""
+    return building.build(sources(spark, sf_dir)).nodes
+
+
+@query()
+def built_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of a whole build."""
+    return building.build(sources(spark, sf_dir)).edges

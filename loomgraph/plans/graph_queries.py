@@ -162,10 +162,10 @@ def _ppr_sql(rounds: int) -> str:
     return ",".join(parts)
 
 
-def _ppr(spark: SparkSession, sf_dir: str, edges: DataFrame, rounds: int | None = _ROUNDS) -> DataFrame:
+def _ppr(spark: SparkSession, sf_dir: str, edges: DataFrame, rounds: int | None = _ROUNDS, at: DataFrame | None = None) -> DataFrame:
     """Converged without a number of rounds."""
     seeds = h.pairs(spark, sf_dir).select(F.col("pair_id").alias("source_id"), F.col("a").alias("node"))
-    return pagerank.personalized_pagerank(edges, seeds, rounds=rounds or pagerank.ROUNDS, fixed=rounds is not None)
+    return pagerank.personalized_pagerank(edges, seeds, rounds=rounds or pagerank.ROUNDS, fixed=rounds is not None, at=at)
 
 
 @query(f"WITH {h.EDGES_SQL}, {h.PAIRS_SQL}, {_ppr_sql(_ROUNDS)} SELECT pair_id AS source_id, node, round(rank, 8) AS rank FROM rank{_ROUNDS}")
@@ -193,8 +193,8 @@ def ppr_converged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ranked_paths(spark: SparkSession, sf_dir: str, rounds: int | None) -> DataFrame:
     edges, pairs = h.edges(spark, sf_dir), h.pairs(spark, sf_dir)
     found = paths.bounded_paths(pairs, edges, 3, 40)
-    ends = pairs.select("pair_id", F.col("b").alias("node"))
-    ppr = _ppr(spark, sf_dir, edges, rounds).withColumnRenamed("source_id", "pair_id").join(ends, ["pair_id", "node"]).select("pair_id", F.col("rank").alias("ppr"))
+    ends = pairs.select(F.col("pair_id").alias("source_id"), F.col("b").alias("node"))
+    ppr = _ppr(spark, sf_dir, edges, rounds, ends).select(F.col("source_id").alias("pair_id"), F.col("rank").alias("ppr"))
     best = paths.rank_paths(found, edges, ppr, h.PRIORITY, 3, 4)
     return best.select("pair_id", "nodes", "sources", "switches", F.round("probability", 9).alias("probability"), F.round("ppr", 8).alias("ppr"), F.round("rank_score", 6).alias("rank_score"), "rank")
 
@@ -303,14 +303,16 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH l AS (SELECT DISTINCT c_mktsegment AS cohort, c_nationkey AS gene FROM customer WHERE c_acctbal > 9000), t AS (SELECT count(*) AS total FROM nation),
+    WITH c AS (SELECT DISTINCT c_custkey % 4 || ':' || c_mktsegment AS cohort, c_nationkey % 5 AS gene, c_custkey % 4 AS kind FROM customer),
+    l AS (SELECT cohort, gene FROM c WHERE kind IN (0, 1) OR kind = 2 AND gene < 3), t AS (SELECT count(DISTINCT n_nationkey % 5) AS total FROM nation),
     r AS (SELECT cohort, count(DISTINCT gene) AS n FROM l GROUP BY 1)
-    SELECT k.cohort FROM (SELECT DISTINCT c_mktsegment AS cohort FROM customer) k LEFT JOIN r USING (cohort), t WHERE n IS NULL OR n >= total
+    SELECT k.cohort FROM (SELECT DISTINCT cohort FROM c) k LEFT JOIN r USING (cohort), t WHERE n IS NULL OR n >= total
 """)
 def universal_hub_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = h.read(spark, sf_dir, "customer")
-    links = c.filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("gene"), F.col("c_mktsegment").alias("cohort"))
-    return graph.hub_or_isolated(links, "gene", "cohort", h.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("gene")), c.select(F.col("c_mktsegment").alias("cohort")))
+    """Cohorts of four kinds: most of the first two reach every gene, those of the third some, those of the fourth none."""
+    c = h.read(spark, sf_dir, "customer").select(F.concat_ws(":", (F.col("c_custkey") % 4).cast("string"), "c_mktsegment").alias("cohort"), (F.col("c_nationkey") % 5).alias("gene"), (F.col("c_custkey") % 4).alias("kind"))
+    links = c.filter("kind IN (0, 1) OR kind = 2 AND gene < 3").select("gene", "cohort")
+    return graph.hub_or_isolated(links, "gene", "cohort", h.read(spark, sf_dir, "nation").select((F.col("n_nationkey") % 5).alias("gene")), c.select("cohort"))
 
 
 @query("""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import learning
+from ..operators import learning, relational, subgraph
+from ..operators.ordering import running_sums
 from . import harness as h
 from .registry import query
 
@@ -153,3 +155,54 @@ def counterfactual_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT type, (row_number() OVER (ORDER BY m DESC, type))::INT AS rank FROM (SELECT p_type AS type, round(avg(p_retailprice), 9) AS m FROM part GROUP BY 1)")
 def node_type_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.type_ranks(h.read(spark, sf_dir, "part").select(F.col("p_type").alias("type"), F.col("p_retailprice").alias("norm")))
+
+
+@query(f"""
+    WITH {h.EDGES_SQL}, e AS (SELECT *, CASE WHEN type = 'targets' THEN 'SL_pair' ELSE type END AS kind, CASE source WHEN 'A' THEN 'curated' ELSE source END AS origin FROM edges)
+    SELECT src, dst, key, CASE WHEN kind = 'SL_pair' THEN 'label' ELSE 'message' END AS part FROM e WHERE kind <> 'SL_pair' OR origin = 'curated'
+""")
+def label_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Message edges and labels; uncurated label relations are neither."""
+    e = h.edges(spark, sf_dir).select("src", "dst", "key", F.when(F.col("type") == "targets", "SL_pair").otherwise(F.col("type")).alias("type"), F.when(F.col("source") == "A", "curated").otherwise(F.col("source")).alias("source"))
+    message, label = learning.split_labels(e)
+    learning.assert_no_leak(message)
+    return message.select("src", "dst", "key", F.lit("message").alias("part")).unionByName(label.select("src", "dst", "key", F.lit("label").alias("part")))
+
+
+@query(f"""
+    WITH {h.EDGES_SQL}, {h.NODES_SQL}, n AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS index FROM nodes),
+    v AS (SELECT relation, row_number() OVER (ORDER BY relation) - 1 AS index FROM (SELECT DISTINCT type || '|||' || source AS relation FROM edges))
+    SELECT a.index AS src_index, b.index AS dst_index, v.index AS relation_index FROM edges e JOIN n a ON a.node_id = e.src JOIN n b ON b.node_id = e.dst JOIN v ON v.relation = e.type || '|||' || e.source
+""")
+def edge_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered nodes and relations of every edge."""
+    edges = h.edges(spark, sf_dir)
+    numbered = running_sums(h.nodes(spark, sf_dir).select("node_id"), [F.col("node_id")], index=F.lit(1)).select("node_id", (F.col("index") - 1).alias("index"))
+    return learning.edge_index(edges, numbered, learning.relation_vocab(edges))
+
+
+@query(f"""
+    WITH {h.EDGES_SQL}, t AS (SELECT type, avg(evidence) AS type_attn, max(evidence) AS type_drop FROM edges GROUP BY 1), s AS (SELECT source, avg(evidence) AS src_attn, min(evidence) AS src_drop FROM edges GROUP BY 1)
+    SELECT src, dst, key, round(type_attn, 9) AS type_attn, type_drop, round(src_attn, 9) AS src_attn, src_drop FROM edges JOIN t USING (type) JOIN s USING (source)
+""")
+def annotated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges with the scores of their type and source."""
+    e = h.edges(spark, sf_dir).select("src", "dst", "key", "type", "source", "evidence")
+    types = e.groupBy("type").agg(F.round(F.avg("evidence"), 9).alias("type_attn"), F.max("evidence").alias("type_drop"))
+    origins = e.groupBy("source").agg(F.round(F.avg("evidence"), 9).alias("src_attn"), F.min("evidence").alias("src_drop"))
+    return subgraph.annotate(e, types, origins).select("src", "dst", "key", "type_attn", "type_drop", "src_attn", "src_drop")
+
+
+@query()
+def relational_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One layer of message passing over the harness graph, from each node's scaled log degree and type, with weights that follow from their places."""
+    edges, nodes = h.edges(spark, sf_dir), h.nodes(spark, sf_dir)
+    features = learning.scaled_log_degree(edges, nodes).join(nodes.select("node_id", "type"), "node_id").select("node_id", F.array(F.col("log_degree"), *(F.when(F.col("type") == k, 1.0).otherwise(0.0) for k in ("gene", "drug", "pathway"))).alias("features"))
+    return relational.apply_layer(features, edges.select("src", "dst", F.col("type").alias("relation")), example_layer()).select("node_id", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+
+
+def example_layer() -> relational.Layer:
+    """Small weights that anyone can write down: waves over the places of the arrays."""
+    wave = lambda *shape: np.sin(1.0 + np.arange(int(np.prod(shape)))).reshape(shape)
+    n = len(h.TYPES)
+    return relational.Layer(tuple(h.TYPES), wave(2, 4, 4), wave(n, 2), wave(n), wave(4, 4), wave(4), np.ones(4), np.zeros(4))

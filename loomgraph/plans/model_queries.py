@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
-from ..operators import evaluation, models, strategies
+from ..operators import evaluation, judging, models, strategies
 from . import explain
 from . import harness as h
 from .registry import query
@@ -115,3 +115,39 @@ def payload_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = c.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.lit("A").alias("a"), F.lit("B").alias("b"), F.col("text").alias("prompt"), F.lit("m").alias("model"), F.array("role").alias("features"), F.col("text").alias("explanation"), F.create_map(F.lit("baseline"), F.col("text")).alias("texts"))
     p = evaluation.payloads(rows)
     return p.select("id", F.get_json_object("payload", "$.prompt_hash").alias("hash"), F.get_json_object("payload", "$.ground_truth.available").cast("boolean").alias("available"))
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns as answers: the user's turn is the context, its first words the features, the turn before the explanation."""
+    c = h.read(spark, sf_dir, "conversations")
+    own, before = c.filter("role = 'assistant'"), c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("asked"))
+    features = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.array_join(F.slice(F.split("asked", " "), 2 * i - 1, 2), " "))
+    return own.join(before, ["conv_id", "turn"], "left").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text", F.coalesce("asked", F.lit("")).alias("context"), F.when(F.col("asked").isNotNull(), features).alias("features"), F.col("asked").alias("explanation"))
+
+
+@query()
+def format_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format, structure and grounding of answers."""
+    return judging.format_checks(_answers(spark, sf_dir))
+
+
+@query()
+def faithfulness_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers against their explanations, and back."""
+    return judging.faithfulness(_answers(spark, sf_dir))
+
+
+@query()
+def text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics of answers."""
+    return judging.text_metrics(_answers(spark, sf_dir))
+
+
+@query()
+def rescored_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of two answers each, scored again."""
+    a = _answers(spark, sf_dir).withColumn("n", F.split("id", "-"))
+    path = F.concat(F.lit("x/"), F.get("n", F.lit(0)), F.lit("_"), F.get("n", F.lit(1)), F.lit("_m.json"))
+    truth = F.struct("features", F.coalesce("explanation", F.lit("")).alias("explanation"))
+    texts = F.create_map(F.lit("prompt"), F.col("context"), F.lit("baseline"), F.col("text"), F.lit("cove"), F.upper("text"), F.lit("blank"), F.lit(" "))
+    return judging.rescored(a.select(path.alias("path"), F.to_json(F.struct(truth.alias("ground_truth"), texts.alias("texts"))).alias("content")))

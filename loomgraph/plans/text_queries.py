@@ -305,3 +305,25 @@ def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 def worst_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = _sims(spark, sf_dir).groupBy("doc", "feature").agg(F.max("similarity").alias("best"))
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy("best", "feature"))).filter("rank <= 6").select("doc", "feature", "rank")
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, n, format('{:.6g}', x) AS told FROM (
+        SELECT l_orderkey, l_linenumber, unnest([1, 2, 3, 4]) AS n, unnest([l_extendedprice, l_discount / 7, l_extendedprice * 1e4, -l_tax / 1e5]) AS x FROM lineitem
+    )
+""")
+def general_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of many sizes with six significant digits."""
+    x = F.array(F.col("l_extendedprice"), F.col("l_discount") / 7, F.col("l_extendedprice") * 1e4, -F.col("l_tax") / 1e5)
+    rows = h.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.posexplode(x).alias("n", "x"))
+    return rows.select("l_orderkey", "l_linenumber", (F.col("n") + 1).alias("n"), scalars.general(F.col("x")).alias("told"))
+
+
+@query("""
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL)
+    SELECT vec_id, round(CASE WHEN n > 1e-9 THEN v[1] / n ELSE 0 END, 9) AS first, round(1 / (1 + exp(-greatest(-60::DOUBLE, least(60::DOUBLE, (v[1] - 0.1) / 0.05)))), 9) AS squashed FROM (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM v)
+""")
+def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first component of each vector at unit length, and through a logistic function."""
+    v = h.read(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL")
+    return v.select("vec_id", F.round(F.get(scalars.l2_normalized(F.col("embedding")), F.lit(0)), 9).alias("first"), F.round(scalars.sigmoid(F.get("embedding", F.lit(0)).cast("double"), 0.1, 0.05), 9).alias("squashed"))
