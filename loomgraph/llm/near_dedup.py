@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -158,20 +159,26 @@ def links(ids: list[int], sets: list[np.ndarray], block: list[int], percent: int
             yield ids[left[i]], ids[right[j]]
 
 
+def _sets(batches) -> Iterator[tuple]:
+    """The rows of batches (key, i, j, own, node, digest, text) with their text's shingles in place of digest and text; texts of another digest, which came by a repeated id, are left out."""
+    for b in batches:
+        *columns, digests, texts = (c.to_pylist() for c in b.columns)
+        for row, d, held in zip(zip(*columns, strict=True), digests, common.shingle_sets(map(common.as_bytes, texts)), strict=True):
+            if digest(held) == d:
+                yield (*row, held)
+
+
 def _groups(batches) -> Iterator[tuple[list[int], list[int], list[np.ndarray]]]:
     """Runs of rows with equal (key, i, j): ids, blocks and sets."""
     now, ids, block, sets = None, [], [], []
-    for b in batches:
-        root, i, j, own, node, data = (c.to_pylist() for c in b.columns)
-        for at in range(len(node)):
-            key = (root[at], i[at], j[at])
-            if key != now:
-                if len(ids) > 1:
-                    yield ids, block, sets
-                now, ids, block, sets = key, [], [], []
-            ids.append(node[at])
-            block.append(own[at])
-            sets.append(np.frombuffer(data[at], dtype=np.uint64))
+    for root, i, j, own, node, held in _sets(batches):
+        if (root, i, j) != now:
+            if len(ids) > 1:
+                yield ids, block, sets
+            now, ids, block, sets = (root, i, j), [], [], []
+        ids.append(node)
+        block.append(own)
+        sets.append(held)
     if len(ids) > 1:
         yield ids, block, sets
 
@@ -185,20 +192,20 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _starred(batches, percent: int) -> Iterator[tuple[list[int], list[int]]]:
-    """Links of members to the head of their part; rows (head, part, order, node, shingles) come sorted, the head first."""
-    now, head, a, b = None, None, [], []
-    for batch in batches:
-        heads, parts, order, node, data = (c.to_pylist() for c in batch.columns)
-        for at in range(len(node)):
-            held = np.frombuffer(data[at], dtype=np.uint64)
-            if not order[at]:
-                now, head = (heads[at], parts[at]), held
-            elif now == (heads[at], parts[at]) and _similar(head, held, percent):
-                a.append(node[at])
-                b.append(heads[at])
-        yield a, b
-        a, b = [], []
+def _starred(batches, percent: int) -> Iterator[tuple[int, int]]:
+    """Links of members to the head of their part; rows (head, part, part, order, node, digest, text) come sorted, the head first."""
+    now, head = None, None
+    for root, part, _, order, node, held in _sets(batches):
+        if not order:
+            now, head = (root, part), held
+        elif now == (root, part) and _similar(head, held, percent):
+            yield node, root
+
+
+def _pairs(links: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """Links as batches."""
+    while some := list(islice(links, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in some], pa.int64()), pa.array([y for _, y in some], pa.int64())], ["a", "b"])
 
 
 def candidate_buckets(classes: DataFrame) -> DataFrame:
@@ -223,36 +230,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     common.ship(spark)
     described = common.saved(_described(docs, id_col, text_col, rows, bands), "near-described")
     usable = described.filter("_id IS NOT NULL AND n_shingles > 0")
-    classes = common.saved(usable.groupBy("digest").agg(F.min("_id").alias("node"), F.max("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")), "near-classes")
+    classes = common.saved(usable.groupBy("digest").agg(F.min("_id").alias("node"), F.max("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.count("*").alias("rows")), "near-classes")
     buckets = common.saved(candidate_buckets(classes), "near-buckets")
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
 
-    def with_sets(sent: DataFrame) -> DataFrame:
-        """sent (node, to) with the class's shingles: each text is read and cut once, however many places it goes to."""
-
-        def as_sets(batches):
-            for b in batches:
-                sets = list(common.shingle_sets(map(common.as_bytes, b.column(3).to_pylist())))
-                same = [digest(s) == d for s, d in zip(sets, b.column(1).to_pylist(), strict=True)]  # an id may come with several texts
-                kept = pa.array([s.tobytes() if ok else None for s, ok in zip(sets, same, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), kept], ["node", "to", "shingles"])
-
-        kind = sent.schema["to"].dataType.simpleString()
-        named = sent.join(classes.select("node", "digest"), "node").join(texts, "node").select("node", "digest", "to", "text")
-        return named.mapInArrow(as_sets, f"node long, to {kind}, shingles binary").filter("shingles IS NOT NULL")
+    def dealt(sent: DataFrame) -> DataFrame:
+        """The classes' texts at the places (node, to) that they are sent to, sorted there. Texts travel and not sets, which are larger and don't deflate; each is read once, however many places it goes to."""
+        places = sent.groupBy("node").agg(F.collect_list("to").alias("to")).join(classes.select("node", "digest"), "node").join(texts, "node")
+        rows = places.select(F.explode("to").alias("to"), "node", "digest", "text").select("to.key", "to.i", "to.j", "to.own", "node", "digest", "text")
+        return rows.repartition(common.partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
 
     # Members of a bucket against its smallest one.
     near = buckets.filter("node <> head").select("node", "head").distinct()
     parts = near.groupBy("head").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("parts"))
     near = near.join(parts, "head").select("node", "head", F.expr("cast(pmod(xxhash64(node, 'part'), parts) as int)").alias("part"))
-    sent = near.select("node", F.struct("head", "part", F.lit(1).alias("order")).alias("to")).unionByName(near.select("head", "part").distinct().select(F.col("head").alias("node"), F.struct("head", "part", F.lit(0).alias("order")).alias("to")))
-    sets = with_sets(sent.groupBy("node").agg(F.collect_list("to").alias("to"))).select("node", F.explode("to").alias("to"), "shingles").select("to.head", "to.part", "to.order", "node", "shingles")
-
-    def star(batches):
-        for a, b in _starred(batches, percent):
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    stars = sets.repartition(common.partitions(spark), "head", "part").sortWithinPartitions("head", "part", "order").mapInArrow(star, "a long, b long")
+    at = lambda own: F.struct(F.col("head").alias("key"), F.col("part").alias("i"), F.col("part").alias("j"), F.lit(own).alias("own")).alias("to")
+    sent = near.select("node", at(1)).unionByName(near.select("head", "part").distinct().select(F.col("head").alias("node"), at(0)))
+    stars = dealt(sent).mapInArrow(lambda batches: _pairs(_starred(batches, percent)), "a long, b long")
     # An id that comes with several texts holds their classes together.
     repeated = usable.groupBy("_id").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")).filter("n > 1 AND low <> high").select("_id")
     through = usable.join(repeated, "_id").join(classes.select("digest", "node"), "digest").filter("_id <> node").select(F.col("_id").alias("a"), F.col("node").alias("b"))
@@ -263,23 +257,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if unsettled.head(1):
         members = unsettled.join(classes.select("node", "n_shingles"), "node")
         sized = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-        placed = members.join(sized, "key").select("node", F.struct("key", "blocks", F.expr("cast(pmod(xxhash64(node, 'block'), blocks) as int)").alias("block")).alias("to"))
-        sets = with_sets(placed.groupBy("node").agg(F.collect_list("to").alias("to"))).select("node", F.explode("to").alias("to"), "shingles").select("to.*", "node", "shingles")
-        spread = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "shingles")
-
-        def compare(batches):
-            for ids, block, held in _groups(batches):
-                found = list(links(ids, held, block, percent))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
-
-        rest = spread.repartition(common.partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long")
+        placed = members.join(sized, "key").select("node", "key", "blocks", F.expr("cast(pmod(xxhash64(node, 'block'), blocks) as int)").alias("own"))
+        spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", F.struct("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own").alias("to"))
+        rest = dealt(spread).mapInArrow(lambda batches: _pairs(x for ids, block, held in _groups(batches) for x in links(ids, held, block, percent)), "a long, b long")
         rest = common.saved(rest, "near-rest")
         if rest.head(1):
             joined = connected_components(rest.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     labelled = classes.select("digest", "node").join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    whole = described.filter("_id IS NOT NULL").join(labelled, "digest", "left")
-    done = whole.select("_id", "n_shingles", F.coalesce("component_id", "_id").alias("component_id")).withColumn("kept", F.col("_id") == F.col("component_id"))
-    without = described.filter("_id IS NULL").select("_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    return done.unionByName(without).withColumnRenamed("_id", id_col)
+    whole = common.join_unique(usable.select("_id", "n_shingles", "digest"), labelled, "digest", classes.select("digest", F.col("rows").alias("n"))).select("_id", "n_shingles", "component_id")
+    # Rows without an id have no component, rows without words one of their own.
+    alone = described.filter("_id IS NULL OR n_shingles = 0").select("_id", "n_shingles", F.col("_id").alias("component_id"))
+    return whole.unionByName(alone).withColumn("kept", F.col("_id").isNull() | (F.col("_id") == F.col("component_id"))).withColumnRenamed("_id", id_col)
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows of docs, one of each group of near-duplicates: that with the smallest id.
+
+    Decided by row: rows that repeat an id and its text are one, and rows that repeat an id with other texts are told apart and linked by their texts alone (they come before the others of
+    their group). Rows without an id, or without words, all stay. Column order and extra columns stay as they are.
+    """
+    own = docs.columns
+    row, again, gone_ = common.private(own, "row", "again", "gone")
+    named = docs.filter(F.col(id_col).isNotNull())
+    repeated = common.saved(named.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").select(F.col(id_col).alias(again)), "near-repeated")
+    rows, rest = named.select(*own, F.col(id_col).cast("long").alias(row)), docs.filter(F.col(id_col).isNull())
+    if repeated.head(1):
+        text = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
+        several = named.join(repeated, F.col(id_col) == F.col(again), "left_semi").select(F.col(id_col).alias("id"), text.alias("digest"), F.struct(*own).alias("kept"))
+        worded = F.coalesce(F.regexp_count(F.col(f"kept.{text_col}").cast("string"), F.lit(common.WORD)), F.lit(0)) > 0
+        # Numbers below those of the ids; rows without words are not collapsed.
+        once = several.filter(worded).groupBy("id", "digest").agg(F.first("kept").alias("kept"))
+        number = -F.pmod(F.xxhash64("id", "digest"), F.lit(1 << 62)) - F.lit(1 << 62)
+        rows = rows.join(repeated, F.col(id_col) == F.col(again), "left_anti").unionByName(once.select("kept.*", number.alias(row)))
+        rest = rest.unionByName(several.filter(~worded).select("kept.*"))
+    texts = rows.select(F.col(row).alias("id"), F.col(text_col).alias("text"))
+    gone = near_duplicates(texts, "id", "text", **options).filter(~F.col("kept")).select(F.col("id").alias(gone_))
+    return rows.join(gone, F.col(row) == F.col(gone_), "left_anti").select(*own).unionByName(rest)
