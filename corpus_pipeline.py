@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and all rows that its predecessor kept; its result is written as Parquet and read again as the
 next stage's docs. All but the last return the columns of ``documents``. Null texts and texts without words leave in the first stage,
-rows without an id are never taken for copies, and an empty table stays empty.
+rows without an id are never taken for copies, rows that repeat an id and its text are one after the second stage, and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -17,19 +17,23 @@ from loomgraph.llm.queries import BYTE_BPE
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted to the rated ones among them, puts into the best grade."""
     labels = common.table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
-    model = quality.fit(docs, quality.graded(labels))
-    return quality.scored(docs, model).filter("keep").select(*docs.columns)
+    names = common.private(docs.columns, *quality.SCORES)
+    return quality.scored(docs, quality.fit(docs, quality.graded(labels)), names=names).filter(F.col(names[2])).select(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id."""
-    gone = near_dedup.near_duplicates(docs.select("doc_id", "text")).filter(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return near_dedup.deduplicated(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixing.mix(docs)
+    """Documents as often as the mix takes them. Their quality weight is the classifier's probability of the best grade; the classifier is fitted to the rated ones of all documents, since those
+    that the first stage kept have one grade."""
+    labels = common.table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
+    model = quality.fit(common.table(spark, sf_dir, "documents", ["doc_id", "text"]), quality.graded(labels))
+    names = common.private(docs.columns, *quality.SCORES)
+    scored = common.saved(quality.scored(docs, model, names=names), "pipeline-scored")  # scores are read twice below
+    return mixing.mix(scored, quality_col=F.coalesce(F.col(f"_row.{names[1]}"), F.lit(1.0))).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +48,7 @@ STAGES = [
     ("bpe_encoding", encoded),
 ]
 
-#: Model, signatures and merges are beyond SQL; the tests hold the stages against brute force.
+#: Model, signatures and merges are beyond SQL; tests/llm/test_pipeline.py holds each stage and run() against brute force.
 ORACLE_SQL = None
 
 
