@@ -22,15 +22,20 @@ KG_EDGE = r"([A-Za-z0-9_\-/\s]+?)\s*->\s*([A-Za-z0-9_\-/\s]+?)\s*\|\s*([^\|]+?)\
 
 #: Words that carry no content, and words of citations and identifiers.
 STOPWORDS = (
-    "a an and are as at be because by can could do does for from has have in into is it its may might of on or such that the their then these this to was were with "
-    "without while will would"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "because", "by", "can", "could", "do", "does", "for", "from", "has", "have", "in", "into", "is", "it",
+    "its", "may", "might", "of", "on", "or", "such", "that", "the", "their", "then", "these", "this", "to", "was", "were", "with", "without", "while",
+    "will", "would",
+)
 JUNK_TOKENS = (
-    "pmid doi http https www com org arxiv figure fig table supplementary reference references bibliography citation citations et al gene pathway protein drug disease "
-    "cohort src dst key evidence evidence_score score edges nodes reactome string uniprot omnipath curated seed sl_pair in_pathway string_association encodes"
-).split()
+    "pmid", "doi", "http", "https", "www", "com", "org", "arxiv", "figure", "fig", "table", "supplementary", "reference", "references", "bibliography",
+    "citation", "citations", "et", "al", "gene", "pathway", "protein", "drug", "disease", "cohort", "src", "dst", "key", "evidence", "evidence_score",
+    "score", "edges", "nodes", "reactome", "string", "uniprot", "omnipath", "curated", "seed", "sl_pair", "in_pathway", "string_association", "encodes",
+)
 #: Words that are no key phrase by themselves.
-PHRASE_STOP = "none null na n/a unknown is are was were be been being the a an and or of to in on for with by as".split()
+PHRASE_STOP = (
+    "none", "null", "na", "n/a", "unknown", "is", "are", "was", "were", "be", "been", "being", "the", "a", "an", "and", "or", "of", "to", "in", "on",
+    "for", "with", "by", "as",
+)
 #: What a prompt that asks for structure mentions, the headings it may ask for, and the weights of the heuristic.
 STRUCTURE_MARKERS = ["mechanistic summary", "evidence", "references", "output format", "required format", "json"]
 HEADINGS = ["mechanistic summary", "evidence", "references", "caveat", "limitations"]

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import saved
+
 
 def with_keys(edges: DataFrame, *order: str) -> DataFrame:
     """edges with key: the number, from 0, of each edge among those of one direction between two nodes, in that order."""
@@ -103,7 +105,7 @@ def khop(seeds: DataFrame, edges: DataFrame, k: int, *, by: tuple[str, ...] = ("
     """(by..., node, hops): hop distances up to k from each seed (by..., node), all seeds at once.
 
     edge_by names columns that the seeds share with the edges, such as the source: then only edges of the same value are followed. Each level
-    joins the frontier to the neighbours and drops what has been seen; k is small, so the levels are unrolled.
+    joins the frontier to the neighbours and drops what has been seen; every second one is saved, so that plans stay small however large k is.
     """
     keys = [*by, *edge_by]
     step = both_ways(edges.select("src", "dst", *edge_by)).filter("a <> b").select("a", "b", *edge_by).distinct()
@@ -112,6 +114,8 @@ def khop(seeds: DataFrame, edges: DataFrame, k: int, *, by: tuple[str, ...] = ("
     for level in range(1, k + 1):
         reached = frontier.withColumnRenamed("node", "a").drop("hops").join(step, ["a", *edge_by]).select(*keys, F.col("b").alias("node")).distinct()
         frontier = reached.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti").withColumn("hops", F.lit(level))
+        if level % 2 == 0 and level < k:
+            frontier = saved(frontier, "hops")
         seen = seen.unionByName(frontier)
     return seen
 

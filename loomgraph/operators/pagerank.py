@@ -17,6 +17,8 @@ ALPHA, ROUNDS, TOLERANCE = 0.85, 200, 1e-9
 CUT = 8
 #: Distinct steps up to which each task holds the whole graph, at some 20 bytes a step, instead of joining ranks to steps in every round.
 HELD = 2_000_000
+#: Nodes of a pair's subgraph that are solved as a dense matrix, at most.
+DENSE = 4_000
 #: Shares of necessity below this are rounding.
 NOTHING = 1e-12
 
@@ -204,11 +206,28 @@ def removal_losses(m: np.ndarray, g: np.ndarray, s: int, t: int, alpha: float =
     return lost
 
 
+def sparse_losses(src: np.ndarray, dst: np.ndarray, n: int, s: int, t: int, alpha: float = ALPHA) -> np.ndarray:
+    """removal_losses of a graph that is too large to be held densely: the rank is found again without each node that has any."""
+
+    def rank(keep: np.ndarray) -> np.ndarray:
+        a, b = src[keep], dst[keep]
+        return sparse_pagerank(a, b, 1 / np.bincount(a, minlength=n)[a], n, s, alpha, 10 * ROUNDS, 1e-15)
+
+    whole, lost = rank(np.ones(len(src), dtype=bool)), np.zeros(n)
+    if whole[t] <= 1e-9:
+        return lost
+    for i in np.flatnonzero(whole).tolist():
+        if i not in (s, t):
+            lost[i] = max(0.0, whole[t] - rank((src != i) & (dst != i))[t]) / whole[t]
+    lost[lost < 1e3 * NOTHING] = 0
+    return lost
+
+
 def necessity(sub_edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(pair_id, node, necessity_ab, necessity_ba, necessity) of the nodes of each pair's subgraph (pair_id, src, dst).
 
     Necessity from a to b is the share of b's PageRank from a that is lost without the node; negative losses, the ends themselves, and pairs without
-    such rank count as 0. A subgraph is at most a few thousand nodes, so each pair is solved in one go by dense arithmetic.
+    such rank count as 0. Each pair is solved in one call: by dense arithmetic up to DENSE nodes, by iteration beyond, which takes longer and holds no more than the pair's edges.
     """
 
     ship(sub_edges.sparkSession)
@@ -217,9 +236,15 @@ def necessity(sub_edges: DataFrame, pairs: DataFrame) -> DataFrame:
         a, b = pdf["a"].iloc[0], pdf["b"].iloc[0]
         src, dst = pdf["src"].to_numpy(), pdf["dst"].to_numpy()
         nodes = sorted({*src, *dst})
-        whole, at = _matrix(nodes, src, dst), {x: i for i, x in enumerate(nodes)}
-        g = green(whole)
-        ab, ba = (removal_losses(whole, g, at[s], at[t]) if s in at and t in at else np.zeros(len(nodes)) for s, t in ((a, b), (b, a)))
+        at = {x: i for i, x in enumerate(nodes)}
+        if len(nodes) <= DENSE:
+            whole = _matrix(nodes, src, dst)
+            g = green(whole)
+            losses = lambda s, t: removal_losses(whole, g, s, t)
+        else:
+            there, here = np.array([at[x] for x in src]), np.array([at[x] for x in dst])
+            losses = lambda s, t: sparse_losses(there, here, len(nodes), s, t)
+        ab, ba = (losses(at[s], at[t]) if s in at and t in at else np.zeros(len(nodes)) for s, t in ((a, b), (b, a)))
         return pd.DataFrame({"pair_id": key[0], "node": nodes, "necessity_ab": ab, "necessity_ba": ba, "necessity": np.maximum(ab, ba)})
 
     kind = pairs.schema["pair_id"].dataType.simpleString()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,3 +55,31 @@ def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     n = read("node", f"_id string, {data}").crossJoin(F.broadcast(names)).select(F.col("_id").alias("node_id"), attributes.alias("props"))
     e = read("edge", f"_id string, _source string, _target string, {data}").crossJoin(F.broadcast(names)).select(F.col("_source").alias("src"), F.col("_target").alias("dst"), F.col("_id").alias("key"), attributes.alias("props"))
     return n.withColumn("type", F.lower(F.trim(F.element_at("props", "type")))), e.withColumn("type", F.element_at("props", "type")).withColumn("source", F.element_at("props", "source"))
+
+
+def load_json(path: str, default):
+    """What a small JSON file on the driver holds, or the default where it can't be read."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            return json.load(f)
+    except (OSError, ValueError):
+        return default
+
+
+def interactions(spark: SparkSession, path: str) -> DataFrame:
+    """(source, target, seq) of a TSV of interactions: the columns of those names, or the first two; seq is the row's place within its file's part."""
+    df = tsv(spark, path)
+    source, target = (c if c in df.columns else df.columns[i] for i, c in enumerate(("source", "target")))
+    return df.select(F.col(f"`{source}`").alias("source"), F.col(f"`{target}`").alias("target"), F.monotonically_increasing_id().alias("seq"))
+
+
+def prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, messages) of a folder that holds a folder for each pair, with the chat's messages as JSON or the prompt as a text file; a text is the user's only message."""
+    whole = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    parts = F.split("path", "/")
+    named = whole.select(F.element_at(parts, -2).alias("id"), F.element_at(parts, -1).alias("name"), "value")
+    kind = "array<struct<role string, content string>>"
+    chat = named.filter("name LIKE '%.json'").select("id", F.from_json("value", kind).alias("m")).filter("m IS NOT NULL").groupBy("id").agg(F.min("m").alias("chat"))
+    plain = named.filter("name LIKE '%.txt'").groupBy("id").agg(F.min("value").alias("value"))
+    told = F.array(F.struct(F.lit("user").alias("role"), F.col("value").alias("content")))
+    return chat.join(plain, "id", "full").select("id", F.coalesce("chat", told).alias("messages"))

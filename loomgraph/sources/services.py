@@ -1,4 +1,4 @@
-"""Services over HTTP: calls with retries, a chat client, an association network as a data source, and presets.
+"""Services over HTTP: calls with retries, a chat client, an association network as a data source, look-ups beside a cache, and presets.
 
 Everything runs where it is called, on the driver or in a worker. Keys come from the environment of that process and are never part of a plan.
 """
@@ -14,12 +14,17 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.construction import cache_aside
 from ..operators.models import EchoClient, LlmClient, strip_reasoning
-from ..runtime import ship
+from ..runtime import saved, ship
 
 #: Answers that are worth another try, besides those of 500 and above.
 AGAIN = (408, 429)
@@ -169,6 +174,112 @@ def associations(spark: SparkSession, url: str, symbols: list[str], **options) -
     return spark.read.format("associations").options(url=url, symbols=",".join(symbols), **options).load()
 
 
+class Lookup(Protocol):
+    """What a service tells of a key: schema names its columns, the key's own first."""
+
+    url: str
+    schema: str
+
+    def rows(self, key: str) -> list[tuple]: ...
+
+
+class GeneIds:
+    """(gene, gene_id): the first stable gene identifier of a symbol."""
+
+    schema = "gene string, gene_id string"
+
+    def __init__(self, url: str, prefix: str = "ENSG", **calls):
+        self.url, self.prefix, self.calls = url, prefix, calls
+
+    def rows(self, key: str) -> list[tuple]:
+        told = open_json(f"{self.url}/{urllib.parse.quote(key)}?content-type=application/json", **self.calls)
+        found = (x.get("id") for x in told if isinstance(x, dict) and x.get("type") == "gene")
+        return [(key, i) for i in found if isinstance(i, str) and i.startswith(self.prefix)][:1]
+
+
+class Pathways:
+    """(gene, pos, pathway_id, name, fdr): the first pathways of a gene by their false discovery rate."""
+
+    schema = "gene string, pos int, pathway_id string, name string, fdr double"
+
+    def __init__(self, url: str, size: int = 3, **calls):
+        self.url, self.size, self.calls = url, max(1, size), calls
+
+    def rows(self, key: str) -> list[tuple]:
+        asked = {"interactors": "false", "pageSize": str(self.size), "page": "1", "sortBy": "ENTITIES_FDR", "order": "ASC", "species": "Homo sapiens", "resource": "TOTAL", "pValue": "1", "includeDisease": "true"}
+        told = open_json(f"{self.url}/{urllib.parse.quote(key)}?{urllib.parse.urlencode(asked)}", **self.calls)
+        listed = told.get("pathways") if isinstance(told, dict) else None
+        out = []
+        for p in (listed or [])[: self.size]:
+            if name := p.get("stId") or p.get("dbId"):
+                fdr = (p.get("entities") or {}).get("fdr") if isinstance(p.get("entities"), dict) else p.get("fdr")
+                out.append((key, len(out), str(name), str(p.get("name") or ""), None if fdr is None else float(fdr)))
+        return out
+
+
+class Drugs:
+    """(gene_id, pos, drug_id, drug, phase, mechanism, disease): the drugs known for a target, in the service's order."""
+
+    schema = "gene_id string, pos int, drug_id string, drug string, phase double, mechanism string, disease string"
+    QUERY = "query($id: String!, $size: Int!) { target(ensemblId: $id) { knownDrugs(size: $size) { rows { drug { id name maximumClinicalTrialPhase } disease { name } mechanismOfAction } } } }"
+
+    def __init__(self, url: str, size: int = 50, **calls):
+        self.url, self.size, self.calls = url, size, calls
+
+    def rows(self, key: str) -> list[tuple]:
+        told: object = open_json(self.url, method="POST", data={"query": self.QUERY, "variables": {"id": key, "size": self.size}}, **self.calls)
+        for step in ("data", "target", "knownDrugs", "rows"):
+            told = told.get(step) if isinstance(told, dict) else None
+        out = []
+        for r in told if isinstance(told, list) else []:
+            drug = r.get("drug") or {}
+            phase = drug.get("maximumClinicalTrialPhase")
+            out.append((key, len(out), drug.get("id"), drug.get("name"), None if phase is None else float(phase), r.get("mechanismOfAction"), (r.get("disease") or {}).get("name")))
+        return out
+
+
+class Accessions:
+    """(gene, accession): the first reviewed protein of a gene."""
+
+    schema = "gene string, accession string"
+
+    def __init__(self, url: str, organism: str = "9606", **calls):
+        self.url, self.organism, self.calls = url, organism, calls
+
+    def rows(self, key: str) -> list[tuple]:
+        asked = {"query": f"gene_exact:{key} AND organism_id:{self.organism} AND reviewed:true", "fields": "accession", "format": "json", "size": "1"}
+        told = open_json(f"{self.url}?{urllib.parse.urlencode(asked)}", **self.calls)
+        return [(key, r["primaryAccession"]) for r in (told.get("results") or []) if r.get("primaryAccession")][:1]
+
+
+def looked_up(keys: DataFrame, key: str, lookup: Lookup, workers: int = 8) -> DataFrame:
+    """The service's rows for distinct keys: each worker asks for a batch, a few calls at once, so that workers times their number bounds the calls."""
+    ship(keys.sparkSession)
+    columns = [c.split()[0] for c in lookup.schema.split(", ")]
+
+    def run(batches):
+        with ThreadPoolExecutor(max(1, workers)) as pool:
+            for b in batches:
+                told = [r for rows in pool.map(lookup.rows, b.column(0).to_pylist()) for r in rows]
+                yield pa.RecordBatch.from_pylist([dict(zip(columns, r, strict=True)) for r in told], schema=fields)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    fields = to_arrow_schema(StructType.fromDDL(lookup.schema))
+    return keys.select(F.trim(F.col(key)).alias("k")).filter("k <> ''").distinct().mapInArrow(run, lookup.schema)
+
+
+def cached_lookup(requested: DataFrame, cache: DataFrame, lookup: Lookup, key: str, workers: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(answers for the requested keys, rows to add to the cache): only keys that the cache lacks are asked for, and none where the service can't be reached. The new rows are saved before they are read twice."""
+    reachable = host_resolves(lookup.url) and head_ok(lookup.url)
+
+    def fetch(missing: DataFrame) -> DataFrame:
+        return saved(looked_up(missing, key, lookup, workers), "lookup") if reachable else requested.sparkSession.createDataFrame([], lookup.schema)
+
+    return cache_aside(requested, cache, fetch, key)
+
+
 def preset(path: str, name: str, defaults: dict) -> dict:
     """The defaults with what the preset of that name in a JSON file of presets sets; a name that is not there, or a setting that has no default, is an error."""
     with open(path, encoding="utf-8") as f:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
+from collections.abc import Callable
 from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,9 +54,14 @@ def replace_table(df: DataFrame, path: str) -> None:
 
     If the new table can't take the place, the old one is put back; the old one is deleted last. A table whose readers must never wait is better kept in versions.
     """
+    _swapped(df.sparkSession, path, df.write.parquet)
+
+
+def _swapped(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Let write make a folder beside path, then put it in path's place."""
     draft, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    at, fs = _paths(df.sparkSession, path)
-    df.write.parquet(draft)
+    at, fs = _paths(spark, path)
+    write(draft)
     had = fs.exists(at(path))
     if had:
         _renamed(fs, at(path), at(old))
@@ -151,7 +158,8 @@ def update_scores(rows: DataFrame, path: str, dry_run: bool = False) -> int:
     """Replace the table of scores at path by these rows, in the order of pair and strategy, as one CSV file; the number of rows. Without rows, or on a dry run, nothing is written."""
     n = rows.count()
     if n and not dry_run:
-        write_csv(rows.select(*(c for c in SCORE_COLUMNS if c in rows.columns)).orderBy("gene_a", "gene_b", "strategy").coalesce(1), path, SCORE_COLUMNS)  # a report: a row for each pair and strategy
+        ordered = rows.select(*(c for c in SCORE_COLUMNS if c in rows.columns)).orderBy("gene_a", "gene_b", "strategy").coalesce(1)  # a report: a row for each pair and strategy
+        _swapped(rows.sparkSession, path, lambda draft: write_csv(ordered, draft, SCORE_COLUMNS))
     return n
 
 
@@ -170,3 +178,11 @@ def write_model_scores(rows: DataFrame, folder: str, model: str) -> list[str]:
             if re.fullmatch(rf"eval_(normal|naive)_\d+pairs_{re.escape(model)}\.csv", name) and name not in kept:
                 fs.delete(s.getPath(), True)
     return kept
+
+
+def save_json(value: object, path: str) -> None:
+    """A small JSON file on the driver, indented, in place at once."""
+    draft = f"{path}.{uuid.uuid4().hex}"
+    with open(draft, "w", encoding="utf-8") as f:
+        json.dump(value, f, indent=2, ensure_ascii=False)
+    os.replace(draft, path)

@@ -76,3 +76,22 @@ def test_resume(spark, tmp_path):
     spark.range(3, 5).write.mode("append").parquet(src)
     resume.run_available(spark, src, "id long", lambda b: b.withColumn("x", F.col("id") * 2), out, cp)
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_small_files(spark, tmp_path):
+    sinks.save_json({"a": [1]}, str(tmp_path / "x.json"))
+    assert readers.load_json(str(tmp_path / "x.json"), None) == {"a": [1]} and readers.load_json(str(tmp_path / "none"), 7) == 7
+    (tmp_path / "bad.json").write_text("{")
+    assert readers.load_json(str(tmp_path / "bad.json"), 7) == 7 and len(list(tmp_path.iterdir())) == 2
+    (tmp_path / "a.tsv").write_text("x\ty\nA\tB\nC\tD\n")
+    (tmp_path / "b.tsv").write_text("n\ttarget\tsource\n1\tB\tA\n")
+    assert [tuple(r)[:2] for r in readers.interactions(spark, str(tmp_path / "a.tsv")).orderBy("seq").collect()] == [("A", "B"), ("C", "D")]
+    assert [tuple(r)[:2] for r in readers.interactions(spark, str(tmp_path / "b.tsv")).collect()] == [("A", "B")]
+
+
+def test_prompts(spark, tmp_path):
+    for name, kind, content in (("A_B", "messages.json", json.dumps([{"role": "system", "content": "s"}, {"role": "user", "content": "u"}])), ("A_B", "prompt.txt", "other"), ("C_D", "prompt.txt", "plain"), ("E_F", "messages.json", "{broken")):
+        (tmp_path / "p" / name).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "p" / name / kind).write_text(content)
+    got = {r["id"]: (r["system"], r["prompt"]) for r in evaluation.prompt_parts(readers.prompts(spark, str(tmp_path / "p")), "any").collect()}
+    assert got["A_B"] == ("s", "u") and got["C_D"] == (None, "plain") and "E_F" not in got

@@ -239,3 +239,19 @@ def test_general_odd(spark):
     odd = spark.range(1).select(scalars.general(F.lit(float("nan"))).alias("a"), scalars.general(F.lit(float("-inf"))).alias("b"), scalars.general(F.lit(None)).alias("c"), scalars.key_values(a=F.lit(" x "), b=F.lit(None), c=F.lit(""), d=scalars.general(F.lit(2.50))).alias("d")).first()
     assert tuple(odd) == ("nan", "-inf", "", "a=x d=2.5")
     assert evaluation.METRICS["f1_raw"] == "feature_embed_f1_raw"
+
+
+def test_phrases_of_models():
+    assert models.parse_generated_phrases("1) a b;  2. c\nd, -A  B | <sep>e<SEP> 3: f") == ["a b", "c d", "e", "f"]
+
+    class Tagger:
+        def __init__(self, spans):
+            self.spans = spans
+
+        def tag(self, text):
+            return self.spans
+
+    t = "DNA repair pathway is the key of big cell"
+    words = [("NOUN", 0, 3), ("NOUN", 4, 10), ("NOUN", 11, 18), ("VERB", 19, 21), ("DET", 22, 25), ("NOUN", 26, 29), ("ADP", 30, 32), ("ADJ", 33, 36), ("NOUN", 37, 41)]
+    assert models.TaggedSpans(Tagger(words)).extract(t) == ["DNA repair pathway", "key", "big cell"]
+    assert models.TaggedSpans(Tagger([("KEY", 0, 10), ("KEY", 0, 10), ("KEY", 37, 41)])).extract(t) == ["DNA repair", "cell"] and models.TaggedSpans(Tagger([])).extract(t) == []

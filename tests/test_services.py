@@ -38,12 +38,22 @@ class Handler(BaseHTTPRequestHandler):
 
             names = urllib.parse.parse_qs(urllib.parse.urlsplit(self.path).query)["identifiers"][0].split(",")
             self._answer(200, [{"a": n, "b": n.lower(), "score": i / 10 if i else None} for i, n in enumerate(names)])
+        elif self.path.startswith("/xrefs/"):
+            name = self.path.split("/")[2].split("?")[0]
+            self._answer(200, [{"type": "transcript", "id": "ENST1"}, {"type": "gene", "id": "LRG"}, {"type": "gene", "id": f"ENSG-{name}"}, {"type": "gene", "id": "ENSG-2"}] if name != "B" else [])
+        elif self.path.startswith("/pathways/"):
+            self._answer(200, {"pathways": [{"stId": "R-1", "name": "one", "entities": {"fdr": 0.5}}, {"dbId": 7}, {"name": "none"}, {"stId": "R-3"}]})
+        elif self.path.startswith("/proteins"):
+            self._answer(200, {"results": [{"primaryAccession": "P1"}, {"primaryAccession": "P2"}]} if "gene_exact%3AA+" in self.path else {"results": []})
         else:
             self._answer(200, {"ok": True})
 
     def do_POST(self):
         s = self.server
         body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        if self.path == "/graphql":
+            rows = [{"drug": {"id": "D1", "name": "d", "maximumClinicalTrialPhase": 4}, "disease": None, "mechanismOfAction": "m"}, {"drug": None, "disease": {"name": "x"}}]
+            return self._answer(200, {"data": {"target": {"knownDrugs": {"rows": rows}} if body["variables"]["id"] == "E1" else None}})
         s.asked.append((self.headers.get("Authorization"), body))
         if len(s.asked) == 1:
             self._answer(429)
@@ -103,6 +113,26 @@ def test_association_source(spark, server):
     assert services.associations(spark, url(server) + "/network", []).count() == 0
 
 
+def test_lookups(spark, server):
+    keys = spark.createDataFrame([("A",), (" A ",), ("B",), ("",), (None,)], "gene string")
+    rows = lambda lookup, df=keys, key="gene": sorted(map(tuple, services.looked_up(df, key, lookup).collect()), key=repr)
+    assert rows(services.GeneIds(url(server) + "/xrefs")) == [("A", "ENSG-A")]
+    assert [r for r in rows(services.Pathways(url(server) + "/pathways", 3)) if r[0] == "A"] == [("A", 0, "R-1", "one", 0.5), ("A", 1, "7", "", None)]
+    assert rows(services.Accessions(url(server) + "/proteins")) == [("A", "P1")]
+    ids = spark.createDataFrame([("E1",), ("E2",)], "gene_id string")
+    assert rows(services.Drugs(url(server) + "/graphql"), ids, "gene_id") == [("E1", 0, "D1", "d", 4.0, "m", None), ("E1", 1, None, None, None, None, "x")]
+
+
+def test_cached_lookup(spark, server):
+    asked = spark.createDataFrame([("A",), ("B",), ("C",)], "gene string")
+    cache = spark.createDataFrame([("C", "ENSG-old")], "gene string, gene_id string")
+    told, fresh = services.cached_lookup(asked, cache, services.GeneIds(url(server) + "/xrefs"), "gene")
+    assert {r["gene"]: r["gene_id"] for r in told.collect()} == {"A": "ENSG-A", "B": None, "C": "ENSG-old"} and [tuple(r) for r in fresh.collect()] == [("A", "ENSG-A")]
+    assert sum("/xrefs/" in str(p) for p in server.asked) == 2  # once for each key that the cache lacks
+    told, fresh = services.cached_lookup(asked, cache, services.GeneIds("http://127.0.0.1:1/"), "gene")
+    assert fresh.count() == 0 and {r["gene"]: r["gene_id"] for r in told.collect()} == {"A": None, "B": None, "C": "ENSG-old"}
+
+
 def test_presets(tmp_path):
     p = tmp_path / "presets.json"
     p.write_text(json.dumps({"small": {"k": 2}, "odd": {"q": 1}}))

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from loomgraph.operators import learning, models, neighborhood, pagerank
+from loomgraph.operators import graph, learning, models, neighborhood, pagerank
 from loomgraph.plans import catalog, explain
 from loomgraph.plans import harness as h
 
@@ -42,6 +42,39 @@ def test_removal_losses():
             assert got[i] == pytest.approx(want, abs=1e-9)
 
 
+def test_sparse_losses():
+    r = np.random.default_rng(17)
+    for _ in range(40):
+        n = int(r.integers(3, 9))
+        m = r.integers(0, 3, (n, n)) * (r.random((n, n)) < 0.4).astype(float)
+        src, dst = (np.repeat(x, m[np.nonzero(m)].astype(int)) for x in np.nonzero(m))
+        assert np.abs(pagerank.sparse_losses(src, dst, n, 0, 1) - pagerank.removal_losses(m, pagerank.green(m), 0, 1)).max() < 1e-7
+
+
+def test_necessity_beyond_dense(spark, small, monkeypatch):
+    whole = catalog.QUERIES["necessity"](spark, small).toPandas().set_index(["pair_id", "node"]).sort_index()
+    monkeypatch.setattr(pagerank, "DENSE", 0)
+    edges, pairs = h.edges(spark, small), h.pairs(spark, small)
+    members = graph.shortest_path_nodes(pairs, edges, 2)
+    some = pagerank.necessity(graph.induced_edges(edges.select("src", "dst"), members), pairs).toPandas().set_index(["pair_id", "node"]).sort_index()
+    assert whole.index.equals(some.index) and np.abs(whole["necessity"] - some["necessity"]).max() < 1e-6
+
+
+def test_fixed_rounds_held_and_joined(spark, monkeypatch):
+    """The same rounds by either way, and only the wanted nodes."""
+    e = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (3, 1), (2, 1), (4, 1), (3, 5)], "src long, dst long")
+    seeds = spark.createDataFrame([("x", 1), ("y", 4), ("z", 9)], "source_id string, node long")
+    wanted = spark.createDataFrame([("x", 3), ("x", 77), ("y", 1), ("z", 9), ("q", 1)], "source_id string, node long")
+    told = []
+    for held in (pagerank.HELD, 0):
+        monkeypatch.setattr(pagerank, "HELD", held)
+        whole = {(r["source_id"], r["node"]): r["rank"] for r in pagerank.personalized_pagerank(e, seeds, rounds=3, fixed=True).collect()}
+        few = {(r["source_id"], r["node"]): r["rank"] for r in pagerank.personalized_pagerank(e, seeds, rounds=3, fixed=True, at=wanted).collect()}
+        assert few == {k: v for k, v in whole.items() if k in {("x", 3), ("y", 1), ("z", 9)}} and len(few) == 3
+        told.append(whole)
+    assert told[0].keys() == told[1].keys() and all(told[0][k] == pytest.approx(told[1][k]) for k in told[0])
+
+
 def test_held_and_joined_pagerank(spark, monkeypatch):
     e = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (3, 1), (2, 1), (4, 1), (3, 5)], "src long, dst long")
     seeds = spark.createDataFrame([("x", 1), ("y", 4), ("z", 9)], "source_id string, node long")
