@@ -138,8 +138,9 @@ _LEXICON = "lexicon AS (SELECT DISTINCT array_to_string(list_slice(regexp_extrac
 
 @query(f"""
     WITH {_LEXICON}, l AS (SELECT feature, string_split(feature, ' ') AS t FROM lexicon WHERE feature <> ''),
-    d AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)
-    SELECT doc_id, feature FROM d JOIN l ON CASE len(l.t)
+    d AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents),
+    w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]+')) AS word FROM d)
+    SELECT doc_id, feature FROM w JOIN l ON w.word = l.t[1] JOIN d USING (doc_id) WHERE CASE len(l.t)
         WHEN 2 THEN regexp_matches(d.t, '{_OPEN}' || l.t[1] || '{_GAP}' || l.t[2] || '{_SHUT}') OR regexp_matches(d.t, '{_OPEN}' || l.t[2] || '{_GAP}' || l.t[1] || '{_SHUT}')
         ELSE regexp_matches(d.t, '{_OPEN}' || l.t[1] || '{_SHUT}') AND (len(l.t) < 2 OR regexp_matches(d.t, '{_OPEN}' || l.t[2] || '{_SHUT}')) AND (len(l.t) < 3 OR regexp_matches(d.t, '{_OPEN}' || l.t[3] || '{_SHUT}')) END
 """)
