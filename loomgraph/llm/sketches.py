@@ -9,7 +9,7 @@ As text a sketch is ``bk1.<k>.<base64 of the ascending 48-bit hashes, big-endian
 
 Defined results: a null text is an empty text; a text of fewer than five words has one shingle, of all its words; a text
 without words has the empty sketch, which is like another empty sketch (1.0) and unlike any other (0.0). Repeated rows are
-rows of their own; rows of one id follow each other in the order of their texts; a null id comes last. With one row the
+rows of their own; rows of one id follow each other in the order of a hash of their texts; a null id comes last. With one row the
 next document is the row itself. Columns besides the id and the text are ignored.
 """
 
@@ -90,28 +90,35 @@ def edited(text: str, following: str) -> str:
 
 
 def with_following(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """Rows (_part, _copy, _key, id, text) sorted within partitions, so that each row's successor in descending id order is the next row of its part.
+    """Rows (_part, _copy, _key, id, text) sorted within partitions, so that each row's successor in descending id order is the next row of its part; rows of one id follow by a hash of their texts.
 
-    The id order is cut into parts at quantiles of the ids; the first row of a part is sent to the part before it as well,
-    marked as a copy, so that a part needs no other. Only ids are read for that, and the texts are shuffled once.
+    The id order is cut into parts at quantiles of the ids, and an id that fills parts of its own is cut by the hash; the first row of a part is sent to the part before it as well,
+    marked as a copy, so that a part needs no other. Only ids and hashes are read for that, and the texts are shuffled once.
     """
     spark = docs.sparkSession
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    key, body = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     n = max(1, min(MOST_PARTS, 4 * common.partitions(spark)))
-    cuts = docs.select(key.alias("_key")).agg(F.percentile_approx("_key", [i / n for i in range(1, n)] or [0.5], max(10_000, 10 * n)).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts)) if n > 1 else []
+    told = docs.select(key.alias("_key")).agg(F.percentile_approx("_key", [i / n for i in range(1, n)] or [0.5], max(10_000, 10 * n)).alias("c"), F.count("*").alias("n")).first()
+    # Ids of two parts' rows or more, n / 2 at most. Each is a cut as well, and so the largest id of its part.
+    hot = docs.groupBy(key.alias("_hot")).agg(F.count("*").alias("_n")).filter(F.col("_n") * n >= 2 * max(told["n"], n)).select("_hot", F.ceil(F.col("_n") * n / max(told["n"], 1)).cast("long").alias("_cuts")).collect()
+    cuts = sorted({*(told["c"] or []), *(r["_hot"] for r in hot)}) if n > 1 else []
     # Parts count down from the largest ids: part p holds the keys with p cuts above or at them. Cuts below a key are counted in two steps, whole runs first and then one by one.
     run, below = 64, lambda bounds: F.size(F.filter(bounds, lambda c: c < F.col("_key")))
     runs = below(F.lit(cuts[run - 1 :: run])) if len(cuts) >= run else F.lit(0)
     part = F.lit(len(cuts)) - (runs * run + below(F.slice(F.lit(cuts), runs * run + 1, F.lit(run)))) if cuts else F.lit(0)
-    keyed = docs.select(key.alias("_key"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).withColumn("_part", part)
-    heads = [(r["_part"], r["k"]) for r in keyed.groupBy("_part").agg(F.max("_key").alias("k")).orderBy("_part").collect()]  # a row for each part: MOST_PARTS + 1 at most
-    before = [(k, heads[i - 1][0]) for i, (_, k) in enumerate(heads)]
-    sent = spark.createDataFrame(before, "_key long, _before int")
-    both = keyed.join(F.broadcast(sent), "_key", "left").select(
-        "_key", "_id", "_text", F.explode(F.when(F.col("_before").isNull(), F.array(F.struct(F.col("_part").alias("p"), F.lit(0).alias("c")))).otherwise(F.array(F.struct(F.col("_part").alias("p"), F.lit(0).alias("c")), F.struct(F.col("_before").alias("p"), F.lit(1).alias("c"))))).alias("_to")
-    )
-    return both.select(F.col("_to.p").alias("_part"), F.col("_to.c").alias("_copy"), "_key", "_id", "_text").repartition(common.partitions(spark), "_part").sortWithinPartitions("_part", "_copy", F.desc("_key"), "_text"), len(heads)
+    keyed = docs.select(key.alias("_key"), F.col(id_col).alias("_id"), body.alias("_text"), F.xxhash64(body).alias("_hash")).withColumn("_part", part.cast("long") * (2 * n + 2))
+    if hot:
+        cut = spark.createDataFrame([(r["_hot"], r["_cuts"]) for r in hot], "_hot long, _cuts long")
+        piece = F.least(F.floor((F.col("_hash") / 2.0**64 + 0.5) * F.col("_cuts")), F.col("_cuts") - 1).cast("long")
+        keyed = keyed.join(F.broadcast(cut), F.col("_key") == F.col("_hot"), "left").withColumn("_part", F.col("_part") + F.coalesce(piece, F.lit(2 * n + 1))).drop("_hot", "_cuts")
+    first = F.struct("_key", F.bitwise_not("_hash").alias("_turned"))  # the largest key, then the least hash
+    heads = [(r["_part"], *r["k"]) for r in keyed.groupBy("_part").agg(F.max(first).alias("k")).orderBy("_part").collect()]  # a row for each part, 2 * MOST_PARTS at most
+    before = [(k, ~turned, heads[i - 1][0]) for i, (_, k, turned) in enumerate(heads)]
+    sent = spark.createDataFrame(before, "_key long, _hash long, _before long")
+    place = lambda p, copy: F.struct(F.col(p).alias("p"), F.lit(copy).alias("c"))
+    both = keyed.join(F.broadcast(sent), ["_key", "_hash"], "left").select("_key", "_hash", "_id", "_text", F.explode(F.when(F.col("_before").isNull(), F.array(place("_part", 0))).otherwise(F.array(place("_part", 0), place("_before", 1)))).alias("_to"))
+    rows = both.select(F.col("_to.p").alias("_part"), F.col("_to.c").alias("_copy"), "_key", "_id", "_text", "_hash")
+    return rows.repartition(common.partitions(spark), "_part").sortWithinPartitions("_part", "_copy", F.desc("_key"), "_hash", "_text").drop("_hash"), len(heads)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:

@@ -626,6 +626,35 @@ def test_fingerprints(spark, odd, empty, monkeypatch):
     assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"abab").hexdigest()
 
 
+def test_fingerprints_of_hot_ids(spark, monkeypatch):
+    """Ids that hold many rows, the smallest and no id among them, are cut, and every row still follows another: as many times as each text is edited into, it follows."""
+    monkeypatch.setattr(sketches, "MOST_PARTS", 8)
+    made = texts(14, 600)
+    rows = [((i, 7, None)[i % 3], "s", t) for i, t in enumerate(made)]
+    df = docs_of(spark, rows)
+    parted, parts = sketches.with_following(df, "doc_id", "text")
+    assert parts > 8 and parted.filter("_copy = 0").groupBy("_part").count().agg(F.max("count")).first()[0] < 120
+    got = sketches.fingerprints(df).collect()
+    want = {}
+    for r in got:
+        want.setdefault(r["doc_id"], []).append(r)
+    order = sorted({r[0] for r in rows}, key=lambda i: (i is None, -(i or 0)))
+    by_id = {i: [t for j, _, t in rows if j == i] for i in order}
+    assert len(got) == 600 and all(len(want[i]) == len(by_id[i]) for i in order)
+    edits = {}
+    for i in order:
+        after = order[(order.index(i) + 1) % len(order)]
+        for r in want[i]:
+            found = [(t, f) for t in by_id[i] for f in (*by_id[i], *by_id[after]) if len(t) == r["n_chars"] and (f is not t or len(order) == 1) and hashlib.sha256((t[: len(t) - len(t) // 2] + f[: len(t) // 2]).encode()).hexdigest() == r["edited_sha256"]]
+            assert found, i
+            edits[i] = edits.get(i, 0) + 1
+    # A chain: of the rows of an id one alone goes on to the next id.
+    for i in order:
+        if len(by_id[i]) > 1:
+            inner = {hashlib.sha256((t[: len(t) - len(t) // 2] + f[: len(t) // 2]).encode()).hexdigest() for t in by_id[i] for f in by_id[i] if f is not t}
+            assert sum(r["edited_sha256"] not in inner for r in want[i]) <= 1
+
+
 def test_sketches_merge():
     r = np.random.default_rng(6)
     a = np.unique(r.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2))
