@@ -230,7 +230,7 @@ def test_mmr(spark):
         assert got[g] == chosen
 
 
-@pytest.mark.parametrize("x", [0.5, 1.0, -2.25, 0.0, 123456.0, 1234567.0, 999999.5, 0.0001, 0.00001234, 1e22, -3.14159265, 100000.0, 1 / 3, 2e-310, 12.0])
+@pytest.mark.parametrize("x", [0.5, 1.0, -2.25, 0.0, 123456.0, 1234567.0, 999999.5, 0.0001, 0.00001234, 1e22, -3.14159265, 100000.0, 1 / 3, 2e-310, 12.0, 80493.65, 0.1234565, 2.5000005])
 def test_general(spark, x):
     assert spark.range(1).select(scalars.general(F.lit(x)).alias("v")).first()["v"] == f"{x:.6g}"
 
