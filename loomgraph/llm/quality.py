@@ -200,14 +200,15 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
     ids, n = sizes["id"].to_numpy(), sizes["n"].to_numpy()
     order = np.lexsort((n, ids))
     taken = max(1, int(np.searchsorted(np.cumsum(n[order]), most, side="right")))
-    got = made.filter(F.col("id") <= int(ids[order[taken - 1]])).drop("n").toArrow().combine_chunks()
-    packed = got.column(2).combine_chunks() if got.column(2).num_chunks != 1 else got.column(2).chunk(0)
-    # Views of the collected buffer: nothing is copied.
-    flat = np.frombuffer(packed.buffers()[2], dtype=np.int32)
-    at = np.frombuffer(packed.buffers()[1], dtype=np.int64 if pa.types.is_large_binary(packed.type) else np.int32)[packed.offset : packed.offset + len(packed) + 1] // 4
+    got = made.filter(F.col("id") <= int(ids[order[taken - 1]])).drop("n").toArrow()
+    rows: list[np.ndarray] = []
+    for packed in got.column(2).chunks:  # views of the collected buffers: nothing is copied
+        flat = np.frombuffer(packed.buffers()[2], dtype=np.int32)
+        at = np.frombuffer(packed.buffers()[1], dtype=np.int64 if pa.types.is_large_binary(packed.type) else np.int32)[packed.offset : packed.offset + len(packed) + 1] // 4
+        rows += [flat[lo:hi] for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     grades = got.column(1).to_numpy().astype(np.int64)
-    order = np.lexsort((np.diff(at), grades, got.column(0).to_numpy())).tolist()  # the same whatever partitions came first
-    return fit_arrays([flat[at[i] : at[i + 1]] for i in order], grades[order])
+    order = np.lexsort(([len(r) for r in rows], grades, got.column(0).to_numpy())).tolist()  # the same whatever partitions came first
+    return fit_arrays([rows[i] for i in order], grades[order])
 
 
 def scored(docs: DataFrame, model: Model | None, text_col: str = "text", least: float = 0.5, names: tuple[str, str, str] = SCORES) -> DataFrame:
