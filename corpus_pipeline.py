@@ -14,6 +14,10 @@ from loomgraph.llm import bpe_trie, common, mixing, near_dedup, quality
 from loomgraph.llm.queries import BYTE_BPE
 
 
+#: Rated documents that the weights of the mix are fitted to, at most: weights need less than the first stage's decisions, and the driver holds both fits' features.
+WEIGHT_SAMPLE = 4_000
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted to the rated ones among them, puts into the best grade."""
     labels = common.table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
@@ -27,10 +31,10 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them. Their quality weight is the classifier's probability of the best grade; the classifier is fitted to the rated ones of all documents, since those
+    """Documents as often as the mix takes them. Their quality weight is the classifier's probability of the best grade; the classifier is fitted to at most WEIGHT_SAMPLE rated ones of all documents, since those
     that the first stage kept have one grade."""
     labels = common.table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
-    model = quality.fit(common.table(spark, sf_dir, "documents", ["doc_id", "text"]), quality.graded(labels))
+    model = quality.fit(common.table(spark, sf_dir, "documents", ["doc_id", "text"]), quality.graded(labels), sample=WEIGHT_SAMPLE)
     names = common.private(docs.columns, *quality.SCORES)
     scored = common.saved(quality.scored(docs, model, names=names), "pipeline-scored")  # scores are read twice below
     return mixing.mix(scored, quality_col=F.coalesce(F.col(f"_row.{names[1]}"), F.lit(1.0))).select(*docs.columns)
