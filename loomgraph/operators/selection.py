@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..runtime import saved
 
 #: Fixed value: weight of relevance against likeness to what has been chosen.
 RELEVANCE = 0.7
+#: Distinct tokens of a lexicon's features, and characters of both, up to which each task holds the lexicon.
+HELD_TOKENS, HELD_CHARS = 100_000, 16 << 20
 
 
 def mmr(items: DataFrame, queries: DataFrame, k: int, weight: float = RELEVANCE) -> DataFrame:
@@ -42,14 +45,18 @@ def lexicon_matches(docs: DataFrame, lexicon: DataFrame, id_col: str, text_col:
     """(id, feature): the features of a lexicon (feature) that each text has; rows without an id count as one text each and come without one.
 
     A feature's tokens stand as whole words in a text that has it, so its rarest token, by the number of texts, is joined to the texts' distinct words; what meets there is then looked at in
-    full. Neither side is broadcast or paired with all of the other.
+    full. Words travel with their text's id and digest, and each text is fetched once for the features it may have: a text of n words is never copied n times. The lexicon goes to the
+    tasks whole up to HELD_TOKENS and HELD_CHARS and is shuffled beyond; words and texts are never broadcast.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), T.normalize(F.col(text_col)).alias("_t"))
+    rows = docs.select(F.col(id_col).alias("_id"), T.normalize(F.col(text_col)).alias("_t")).withColumn("_d", F.sha2("_t", 256))
     # The pattern's words are runs of letters, digits and underscores of any script; tokens are lower-cased and texts are not.
-    words = rows.select("_id", "_t", F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(r"(?U)\w+"), 0))).alias("_w"))
+    words = rows.select("_id", "_d", F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(r"(?U)\w+"), 0))).alias("_w"))
     features = lexicon.select("feature").distinct().select("feature", T.tokens(T.normalize(F.col("feature"))).alias("_tokens")).filter(F.size("_tokens") > 0)
-    wanted = features.select("feature", "_tokens", F.explode(F.array_distinct("_tokens")).alias("_w"))
-    often = words.join(wanted.select("_w").distinct(), "_w", "left_semi").groupBy("_w").agg(F.count("*").alias("_n"))
+    wanted = saved(features.select("feature", "_tokens", F.explode(F.array_distinct("_tokens")).alias("_w")), "lexicon")
+    n, chars = wanted.agg(F.count("*"), F.coalesce(F.sum(F.length("feature") + F.length("_w")), F.lit(0))).first()
+    how = "broadcast" if n <= HELD_TOKENS and chars <= HELD_CHARS else "merge"
+    often = words.join(wanted.select("_w").distinct().hint(how), "_w", "left_semi").groupBy("_w").agg(F.count("*").alias("_n"))
     key = wanted.join(often, "_w", "left").groupBy("feature").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_w")).alias("_k"), F.first("_tokens").alias("_tokens")).filter("_k.n > 0")
-    met = words.join(key.select("feature", "_tokens", F.col("_k._w").alias("_w")), "_w")
-    return met.filter(T.contains_tokens(F.col("_t"), F.col("_tokens"))).select(F.col("_id").alias(id_col), "feature")
+    met = words.join(key.select("feature", "_tokens", F.col("_k._w").alias("_w")).hint(how), "_w").select(F.col("_id").alias("_of"), F.col("_d").alias("_is"), "feature", "_tokens").distinct()
+    full = rows.hint("merge").join(met, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_d") == F.col("_is")))
+    return full.filter(T.contains_tokens(F.col("_t"), F.col("_tokens"))).select(F.col("_id").alias(id_col), "feature")

@@ -1,10 +1,12 @@
 """Answers without limits: nothing that the operators' definitions keep is left out."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
 
-from loomgraph.operators import graph, learning, models, neighborhood, pagerank
+from loomgraph.operators import graph, learning, models, neighborhood, pagerank, selection
 from loomgraph.plans import catalog, explain
 from loomgraph.plans import harness as h
 
@@ -169,3 +171,19 @@ def test_whole_texts_are_embedded():
     assert y[0] @ y[1] == pytest.approx(1) and y[1] @ y[2] == pytest.approx(1)
     words = np.abs(models.HashedNgrams().embed([" ".join(["again"] * n) for n in (1, 500)]))
     assert words[0] == pytest.approx(words[1])
+
+
+@pytest.mark.parametrize("held", [100_000, 0])
+def test_lexicon_matches_of_repeated_and_unnamed_rows(spark, monkeypatch, held):
+    """A held and a shuffled lexicon find the same, row by row; a long text, repeated rows, one id with two texts, null ids, null and empty texts."""
+    monkeypatch.setattr(selection, "HELD_TOKENS", held)
+    long = " ".join(f"word{i}" for i in range(5000)) + " alpha beta"
+    rows = [(1, "alpha x beta"), (1, "alpha x beta"), (2, "beta"), (2, "gamma delta"), (None, "alpha"), (None, "alpha"), (3, long), (4, None), (5, ""), (6, "alphabet")]
+    docs = spark.createDataFrame(rows, "id int, text string")
+    lexicon = spark.createDataFrame([("alpha",), ("beta alpha",), ("delta",), ("nowhere",), ("word4999",), ("alpha",), ("",)], "feature string")
+    got = sorted(((r["id"], r["feature"]) for r in selection.lexicon_matches(docs, lexicon, "id", "text").collect()), key=str)
+    whole = lambda text, f: all(re.search(rf"\b{w}\b", text) for w in f.split())
+    want = [(i, f) for i, text in rows for f in ("alpha", "beta alpha", "delta", "nowhere", "word4999") if text and whole(text, f)]
+    assert got == sorted(want, key=str)
+    assert selection.lexicon_matches(docs.limit(0), lexicon, "id", "text").count() == 0
+    assert selection.lexicon_matches(docs, lexicon.limit(0), "id", "text").count() == 0
