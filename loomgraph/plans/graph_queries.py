@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import components, graph, neighborhood, pagerank, paths
+from ..runtime import saved
 from . import harness as h
 from .registry import query
 
@@ -192,7 +193,7 @@ def ppr_converged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranked_paths(spark: SparkSession, sf_dir: str, rounds: int | None) -> DataFrame:
     edges, pairs = h.edges(spark, sf_dir), h.pairs(spark, sf_dir)
-    found = paths.bounded_paths(pairs, edges, 3, 40)
+    found = saved(paths.bounded_paths(pairs, edges, 3, 40), "ranked-paths")
     ends = pairs.select(F.col("pair_id").alias("source_id"), F.col("b").alias("node"))
     ppr = _ppr(spark, sf_dir, edges, rounds, ends).select(F.col("source_id").alias("pair_id"), F.col("rank").alias("ppr"))
     best = paths.rank_paths(found, edges, ppr, h.PRIORITY, 3, 4)
