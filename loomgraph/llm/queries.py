@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, common, compaction, mixing, near_dedup, quality, sketches, token_cache, token_codec, topk, warc
+from . import bpe_trie, common, compaction, divergence, licenses, mixing, near_dedup, quality, sketches, token_cache, token_codec, topk, warc, whitening
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -73,6 +73,21 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.fingerprints(docs)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    return whitening.whiten(vectors).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return licenses.digests(licenses.scan(docs))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents", ["text", "lang", "source"])
+    return divergence.audit(docs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_topk_search": op2_topk_search,
@@ -84,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_fingerprints": op10_fingerprints,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_license_scan": op12_license_scan,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 SQL: dict[str, str] = {
@@ -135,4 +153,25 @@ SQL: dict[str, str] = {
         )
         SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - start)))::BIGINT AS taken FROM k
     """,
+    # All pairs of a language's sources over all of its terms.
+    "op13_source_divergence": """
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        w AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM (SELECT *, row_number() OVER () AS row FROM d)),
+        k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT row) >= 10),
+        l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY 1),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+        t AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY 1, 2),
+        s AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 2)::BIGINT // (coalesce(t.total, 0) + 2 * l.v)::BIGINT AS p,
+                1 + 1000000000 * (k.n + 2)::BIGINT // (l.total + 2 * l.v)::BIGINT AS q
+            FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN t USING (lang, source) LEFT JOIN c USING (lang, source, term)
+        ), pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+        every AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM s WHERE n > 0 AND p > q
+        )
+        SELECT *, (row_number() OVER r)::INT AS rank FROM every WINDOW r AS (PARTITION BY lang, source, part ORDER BY value DESC, item) QUALIFY part = 'pair' OR row_number() OVER r <= 10
+    """,
 }
