@@ -182,25 +182,48 @@ def test_topk(spark, monkeypatch):
     assert topk.search(df.limit(0), F.lit(True)).count() == 0
 
 
-def test_topk_bounds_are_safe_and_bite():
-    """No bound is below a score; on the real vectors a small share of the candidates is scored in full."""
+def ranked(ids, v, i, k=20):
+    whole = [int(sum(int(x) * int(y) for x, y in zip(c, v[i], strict=True))) for c in v]
+    return sorted((-s, int(j)) for s, j in zip(whole, ids, strict=True) if j != ids[i])[:k]
+
+
+def test_topk_lists_stop():
+    """Where components have contrast the lists show, and the search touches, a small share of all pairs; where they have none every candidate is scored once and no more."""
     import pyarrow.parquet as pq
 
-    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet", columns=["vec_id", "embedding"])
+    r = np.random.default_rng(8)
+    steep = (r.pareto(1.2, size=(3000, 8)) * np.sign(r.normal(size=(3000, 8)))).astype(np.int64).astype(np.float64)
+    t = pq.read_table("/root/testdata/sf0.001/embeddings.parquet", columns=["vec_id", "embedding"])
     t = t.filter(t["embedding"].is_valid())
-    ids = t["vec_id"].to_numpy()
-    v = np.floor(64 * np.stack([np.array(x, dtype=np.float64) for x in t["embedding"].to_pylist()])).astype(np.float32)
-    lists, asked = topk.Lists(ids, v), np.flatnonzero(ids % 20 == 0)
-    bounds = lists.bounds(v[asked])
-    assert (bounds >= v[asked] @ lists.vectors.T).all()
-    scored = 0
-    for i, bound in zip(asked, bounds, strict=True):
-        found, score, n = lists.top(int(ids[i]), v[i], 20, bound)
-        whole = v @ v[i]
-        want = sorted((-int(s), int(j)) for s, j in zip(whole, ids, strict=True) if j != ids[i])[:20]
-        assert [(-int(s), int(j)) for s, j in zip(score, found, strict=True)] == want
-        scored += n
-    assert scored / len(asked) / len(ids) < 0.7
+    flat = np.floor(64 * np.stack([np.array(x, dtype=np.float64) for x in t["embedding"].to_pylist()])).astype(np.float32)
+    for ids, v, most in ((np.arange(3000), steep, 0.2), (t["vec_id"].to_numpy(), flat, 1.0)):
+        lists, asked = topk.Lists(ids, v), np.flatnonzero(ids % 20 == 0)
+        touched = 0
+        for i, (found, score, n) in zip(asked, lists.top(ids[asked].tolist(), v[asked], 20), strict=True):
+            assert [(-int(s), int(j)) for s, j in zip(score, found, strict=True)] == ranked(ids, v, i)
+            touched += n
+        assert touched <= most * len(asked) * len(ids)
+
+
+@pytest.mark.parametrize("scale", [1, 1 << 14, 1 << 27, 1 << 33])
+def test_topk_large_components(spark, scale):
+    """Scores are whole numbers, whatever the size of the components; one that no long holds is an error."""
+    r = np.random.default_rng(4)
+    v = [[int(x) * scale + int(y) for x, y in zip(r.integers(-1, 2, 5), r.integers(-3, 4, 5), strict=True)] for _ in range(120)]
+    df = spark.createDataFrame([(i, [x / 64 for x in e]) for i, e in enumerate(v)], "vec_id long, embedding array<double>")
+    found = topk.search(df, F.col("vec_id") % 20 == 0, 20)
+    if scale == 1 << 33:
+        with pytest.raises(Exception, match="beyond a long"):
+            found.collect()
+        v = [[x if i == 0 else x % 7 for x in e] for i, e in enumerate(v)]
+        v[0][0] = 1 << 61
+        v = [[0 if i and j == 0 else x for j, x in enumerate(e)] for i, e in enumerate(v)]
+        df = spark.createDataFrame([(i, [x / 64 for x in e]) for i, e in enumerate(v)], "vec_id long, embedding array<double>")
+        found = topk.search(df, F.col("vec_id") % 20 == 0, 20)
+    got = {}
+    for x in found.orderBy("query_id", "rank").collect():
+        got.setdefault(x["query_id"], []).append((-x["score"], x["vec_id"]))
+    assert got == {i: ranked(np.arange(120), v, i) for i in range(0, 120, 20)}
 
 
 # -- 3 ----------------------------------------------------------------------------------------------------------------------------
