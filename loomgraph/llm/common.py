@@ -108,6 +108,12 @@ def _hash_words(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
     return start, mix64(h)
 
 
+def hash_words(buf: bytes) -> np.ndarray:
+    """64-bit hash of each word of a buffer."""
+    with np.errstate(over="ignore"):
+        return _hash_words(buf)[1]
+
+
 def _shingle_chunk(texts: list[bytes], k: int) -> list[np.ndarray]:
     buf = b" ".join(texts).translate(LOWER)
     at = np.zeros(len(texts) + 1, dtype=np.int64)

@@ -79,22 +79,29 @@ def _with_block(block):
     return tile
 
 
-def test_flushes():
-    """What a task forgets in between adds up to the same counts."""
+@pytest.mark.parametrize(("chunk", "held"), [(1, 4), (20, 8), (1 << 20, 1 << 20)])
+def test_flushes(monkeypatch, chunk, held):
+    """What a task counts by chunks and forgets in between adds up to the same postings."""
     import pyarrow as pa
 
-    rows = [("en", "s", f"alpha beta x{chr(97 + i % 26)}") for i in range(100)]
+    monkeypatch.setattr(divergence, "CHUNK", chunk)
+    monkeypatch.setattr(divergence, "HELD", held)
+    rows = [("en" if i % 3 else "de", f"s{i % 4}", f"alpha Beta x{chr(97 + i % 7)} alpha é" if i % 5 else "") for i in range(60)]
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["lang", "source", "text"])
-    held = divergence.HELD
-    try:
-        divergence.HELD = 1000
-        parts = [r for b in divergence._counted(iter([batch, batch])) for r in b.to_pylist()]
-    finally:
-        divergence.HELD = held
-    total = Counter()
-    for r in parts:
-        total[r["term"]] += r["count"]
-    assert total["alpha"] == 200 and sum(r["docs"] for r in parts if r["term"] == "beta") == 200 and len(parts) > len(total)
+    packed = sorted((r for b in divergence._count(3)(iter([batch, batch])) for r in b.to_pylist()), key=lambda r: r["bucket"])
+    fields = [pa.int32(), pa.list_(pa.string()), *[pa.binary()] * 6]
+    again = [pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(r.values(), fields, strict=True)], list(r)) for r in packed]
+    kept = [r for b in divergence._keep(20)(iter(again)) for r in b.to_pylist()]
+    counts, docs = defaultdict(int), defaultdict(int)
+    for lang, source, text in rows + rows:
+        for t in re.findall(r"[a-zé]+", text.lower()):
+            counts[lang, source, t] += 1
+        for t in set(re.findall(r"[a-zé]+", text.lower())):
+            docs[lang, t] += 1
+    want = {k: n for k, n in counts.items() if docs[k[0], k[2]] >= 20}
+    assert {(r["lang"], r["source"], r["term"]): r["count"] for r in kept} == want and len(kept) == len(want)
+    assert sum(r["first"] for r in kept) == len({r["id"] for r in kept}) == len({(k[0], k[2]) for k in want})
+    assert all(r["lang_count"] == sum(n for k, n in want.items() if (k[0], k[2]) == (r["lang"], r["term"])) and r["groups"] == sum((k[0], k[2]) == (r["lang"], r["term"]) for k in want) for r in kept)
 
 
 def test_odd_rows(spark):
