@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from . import graph
+from . import graph, tiles
 
 #: Caps of the shipped configuration.
 CURATED, CORE_PAIRS, TF_PER_TARGET, TF_EDGES, CODEPENDENCIES, LEAST_CORRELATION, DRIVERS, DRUG_ROWS = 300, 30, 12, 300, 30, 0.15, 200, 50
@@ -83,10 +83,7 @@ def regulators_per_target(rows: DataFrame, per_target: int = TF_PER_TARGET, tota
 
 def codependencies(effects: DataFrame, least: float = LEAST_CORRELATION, most: int = CODEPENDENCIES) -> DataFrame:
     """(a, b, corr): correlations of the genes' effects over the cells that have both, the strongest of those from least on. effects: cell, gene, effect."""
-    x = effects.select("cell", F.col("gene").alias("a"), F.col("effect").alias("x"))
-    y = effects.select("cell", F.col("gene").alias("b"), F.col("effect").alias("y"))
-    corr = x.join(y, "cell").filter("a < b AND x IS NOT NULL AND y IS NOT NULL").groupBy("a", "b").agg(F.corr("x", "y").alias("corr"))
-    return corr.filter(F.abs("corr") >= least).orderBy(F.desc(F.round(F.abs("corr"), 12)), "a", "b").limit(most)
+    return tiles.correlations(effects, least).orderBy(F.desc(F.round(F.abs("corr"), 12)), "a", "b").limit(most)
 
 
 def capped_pathways(rows: DataFrame, core: DataFrame, cap: int = 3, core_cap: int = 10) -> DataFrame:
