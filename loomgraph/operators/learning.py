@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..runtime import discard, saved
 from . import graph
 from .ordering import running_sums
 
@@ -57,7 +58,6 @@ def scaled_log_degree(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def uniform_pagerank(edges: DataFrame, nodes: DataFrame, rounds: int, alpha: float = 0.85) -> DataFrame:
     """(node_id, rank): PageRank with uniform teleport, after a fixed number of rounds; rank of nodes without outgoing edges is shared by all."""
-    from ..runtime import saved
     from .pagerank import CUT, transitions
 
     step, all_ = transitions(edges), nodes.select("node_id").distinct()
@@ -73,36 +73,6 @@ def uniform_pagerank(edges: DataFrame, nodes: DataFrame, rounds: int, alpha: flo
     return rank
 
 
-def converged_pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = 0.85, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
-    """(node_id, rank): PageRank with uniform teleport, until it moves by no more than tolerance for each node, in at most the given rounds.
-
-    What dangles is shared by all as the teleport is, so rank is the sum of all walks from everywhere that end there, scaled to 1: no round needs a total.
-    """
-    from ..runtime import saved
-    from .pagerank import CUT, transitions
-
-    step, all_ = saved(transitions(edges), "pagerank-steps"), saved(nodes.select("node_id").distinct(), "pagerank-nodes")
-    n = max(1, all_.count())
-    home = all_.withColumn("rank", F.lit(1.0 / n))
-
-    def advance(rank: DataFrame) -> DataFrame:
-        sent = rank.join(step, rank["node_id"] == step["src"]).select(F.col("dst").alias("node_id"), (alpha * F.col("rank") * F.col("w")).alias("rank"))
-        return sent.unionByName(home).groupBy("node_id").agg(F.sum("rank").alias("rank"))
-
-    rank, done = saved(home, "pagerank"), 0
-    while done < rounds:
-        for _ in range(min(CUT, rounds - done) - 1):
-            rank = advance(rank)
-        before = saved(rank, "pagerank")
-        rank, done = saved(advance(before), "pagerank"), min(done + CUT, rounds)
-        moves = rank.join(before.withColumnRenamed("rank", "old"), "node_id", "full")
-        moved, total = moves.agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))), F.sum("rank")).first()
-        if not total or moved / total < tolerance * n:
-            break
-    total = rank.agg(F.sum("rank").alias("total"))
-    return rank.crossJoin(F.broadcast(total)).select("node_id", (F.col("rank") / F.col("total")).alias("rank"))  # one row of totals
-
-
 def node_features(nodes: DataFrame, edges: DataFrame, kinds: list[str], types: list[str], pagerank: DataFrame) -> DataFrame:
     """(node_id, features): one-hot type, scaled log degree, scaled counts of each edge type, scaled PageRank."""
     counts = relation_counts(edges).groupBy("node").pivot("type", types).agg(F.first("scaled")).withColumnRenamed("node", "node_id")
@@ -145,6 +115,57 @@ def sample(hard: DataFrame, distant: DataFrame, n: int, hard_share: float = HARD
     return few(hard, h, "hard").unionByName(few(distant, n - h, "distant"))
 
 
+def unranked(rank: Column) -> tuple[Column, Column]:
+    """(smaller, larger) of the pair of places with this rank, where pairs (i, j), i < j, are numbered from 0 by j and then i. The root is a double's, so it is set right by a step either way."""
+    root = F.floor((1 + F.sqrt(1 + 8 * rank.cast("double"))) / 2)
+    below = lambda j: j * (j - 1)  # twice the pairs before j
+    large = F.when(below(root) > 2 * rank, root - 1).when(below(root + 1) <= 2 * rank, root + 1).otherwise(root)
+    return rank - F.shiftright(below(large), 1), large
+
+
+def drawn_rank(draw: Column, pairs: int, seed: str = "42") -> Column:
+    """The pair that a draw hits: the first 60 bits of a digest of its number, so that other engines can repeat it. Off uniform by less than pairs / 2^60."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), draw)), 1, 15), 16, 10).cast("long") % F.lit(pairs)
+
+
+def distant_sample(edges: DataFrame, nodes: DataFrame, positives: DataFrame, n: int, kind: str = "gene", seed: str = "42") -> DataFrame:
+    """(a, b) of n distinct distant negatives, each set of them as likely as any other; all where there are no more than n.
+
+    Pairs of labelled nodes are numbered, not formed: draws are unranked to pairs, and those that repeat, are positive or are joined by an edge are rejected by joins, until n are left. Work grows with n and with the number of rejected
+    pairs and not with the square of the labelled nodes. What comes out does not depend on the number of draws of a round: the pairs with the earliest draws are kept.
+    """
+    p = unordered(positives)
+    known = p.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+    known = saved(running_sums(known, [F.col("n")], _i=F.lit(1)).select("n", (F.col("_i") - 1).alias("i")), "negatives-known")
+    count = known.count()
+    pairs = count * (count - 1) // 2
+    linked = hard_negatives(edges, nodes, positives, kind).join(known.select(F.col("n").alias("a")), "a", "left_semi").join(known.select(F.col("n").alias("b")), "b", "left_semi")
+    taken = saved(p.unionByName(linked).distinct(), "negatives-taken")
+    free = pairs - taken.count()
+    want, spark, found, begin = min(n, free), p.sparkSession, None, 0
+    if want <= 0:
+        return p.limit(0)
+    size = 64 + 2 * want * -(-pairs // free)
+    while found is None or found.count() < want:
+        draws = spark.range(begin, begin + size).select(F.col("id").alias("draw"), drawn_rank(F.col("id"), pairs, seed).alias("r"))
+        i, j = unranked(F.col("r"))
+        new = draws.groupBy("r").agg(F.min("draw").alias("draw")).select("draw", i.alias("i"), j.alias("j"))
+        named = new.join(known.select("i", F.col("n").alias("a")), "i").join(known.select(F.col("i").alias("j"), F.col("n").alias("b")), "j").select("a", "b", "draw")
+        named = named.join(taken, ["a", "b"], "left_anti")
+        before, found = found, saved((named if found is None else found.unionByName(named)).groupBy("a", "b").agg(F.min("draw").alias("draw")), "negatives-found")
+        if before is not None:
+            discard(before)
+        begin, size = begin + size, 2 * size
+    return found.orderBy("draw").limit(want).select("a", "b")
+
+
+def negatives(edges: DataFrame, nodes: DataFrame, positives: DataFrame, n: int, hard_share: float = HARD, kind: str = "gene", seed: str = "42") -> DataFrame:
+    """(a, b, kind) of n negatives, hard and distant in their shares, fewer where a pool is too small."""
+    h = int(n * hard_share)
+    hard = hard_negatives(edges, nodes, positives, kind).orderBy(hash_order("a", "b", seed=seed), "a", "b").limit(h)
+    return hard.withColumn("kind", F.lit("hard")).unionByName(distant_sample(edges, nodes, positives, n - h, kind, seed).withColumn("kind", F.lit("distant")))
+
+
 def train_validation(positives: DataFrame, share: float = VALIDATION, seed: str = "42") -> DataFrame:
     """positives (a, b) with the column part: validation for the first share in hash order, LEAST_VALIDATION at least."""
     n = positives.count()

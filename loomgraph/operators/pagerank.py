@@ -1,7 +1,14 @@
-"""Personalised PageRank for many sources at once, and counterfactual necessity of nodes."""
+"""Personalised PageRank for many sources at once, and counterfactual necessity of nodes.
+
+Rank leaves a node along its outgoing edges; from nodes without any it returns to the seed, as does 1 - alpha of all. So the rank from seed s is row s of G = (I - alpha P)^-1, scaled to sum 1, with P's rows of such nodes empty. Whatever
+way a row is found, its residual r = e_s - (I - alpha P)' x bounds its error: |x - row| <= |r| / (1 - alpha) in the sum of absolute values. Every seed is solved until |r| <= RESIDUAL, whatever the size of the graph, so ranks are within
+2 RESIDUAL / (1 - alpha) of the exact ones and do not depend on how they were found.
+"""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -12,15 +19,17 @@ from pyspark.sql import types as T
 
 from ..runtime import discard, partitions, saved, ship
 
-ALPHA, ROUNDS, TOLERANCE = 0.85, 200, 1e-9
+ALPHA = 0.85
+#: What the residual of a seed sums to at most.
+RESIDUAL = 1e-13
 #: Rounds between two cuts of the lineage.
 CUT = 8
-#: Distinct steps up to which each task holds the whole graph, at some 20 bytes a step, instead of joining ranks to steps in every round.
+#: Distinct steps up to which a task reads the whole graph from the shared folder, some 40 bytes a step, instead of joining residuals to steps in every round. The choice is of a plan and not of a result.
 HELD = 2_000_000
-#: Nodes of a pair's subgraph that are solved as a dense matrix, at most.
-DENSE = 4_000
+#: Numbers that a task of necessity multiplies at once: a pair's steps times the nodes whose removal it solves.
+CELLS = 2_000_000
 #: Shares of necessity below this are rounding.
-NOTHING = 1e-12
+NOTHING = 1e-9
 
 
 def transitions(edges: DataFrame) -> DataFrame:
@@ -29,92 +38,135 @@ def transitions(edges: DataFrame) -> DataFrame:
     return to.join(edges.groupBy("src").agg(F.count("*").alias("out")), "src").select("src", "dst", (F.col("n") / F.col("out")).alias("w"))
 
 
-def personalized_pagerank(edges: DataFrame, seeds: DataFrame, *, alpha: float = ALPHA, rounds: int = ROUNDS, tolerance: float = TOLERANCE, fixed: bool = False, at: DataFrame | None = None) -> DataFrame:
+def personalized_pagerank(edges: DataFrame, seeds: DataFrame, *, alpha: float = ALPHA, rounds: int | None = None, at: DataFrame | None = None) -> DataFrame:
     """(source_id, node, rank) of every node that a seed (source_id, node) reaches along edges; others have rank 0. With at (source_id, node), of those nodes only.
 
-    Rank leaves a node along its outgoing edges; from nodes without any it returns to the seed, as does 1 - alpha of all. Only reached nodes are
-    held: the iteration starts at the seeds. It stops when no source moves by more than tolerance for each node, or, if
-    fixed, after the given rounds. A graph of at most HELD steps goes to the tasks whole and each solves its seeds alone.
+    Solved to RESIDUAL, or, if rounds are given, after that many rounds of passing rank on. Only reached nodes have rows.
     """
     step = saved(transitions(edges), "ppr-steps")
     start = seeds.select("source_id", F.col("node").alias("seed")).distinct()
-    if step.count() <= HELD:
-        return _held_pagerank(step, start, alpha, rounds, -1.0 if fixed else tolerance, at)
-    whole = _joined_pagerank(edges, step, start, alpha, rounds, tolerance, fixed)
+    if rounds is not None:
+        whole = _rounds(step, start, alpha, rounds)
+    elif step.count() <= HELD:
+        return _in_tasks(step, start, alpha, at)
+    else:
+        whole = _joined(step, start, alpha)
     return whole if at is None else whole.join(at.select("source_id", "node").distinct(), ["source_id", "node"], "left_semi")
 
 
-def _joined_pagerank(edges: DataFrame, step: DataFrame, start: DataFrame, alpha: float, rounds: int, tolerance: float, fixed: bool) -> DataFrame:
-    """The ranks by a join in every round, for graphs of any size."""
+def _rounds(step: DataFrame, start: DataFrame, alpha: float, rounds: int) -> DataFrame:
+    """Rank after a number of rounds."""
     home = start.select("source_id", "seed", F.col("seed").alias("node"), F.lit(1 - alpha).alias("rank"))
-
-    def advance(rank: DataFrame) -> DataFrame:
+    rank = home.withColumn("rank", F.lit(1.0))
+    for done in range(1, rounds + 1):
         moved = rank.join(step, rank["node"] == step["src"], "left")
         sent = moved.select("source_id", "seed", F.coalesce("dst", "seed").alias("node"), (alpha * F.col("rank") * F.coalesce("w", F.lit(1.0))).alias("rank"))
-        return sent.unionByName(home).groupBy("source_id", "seed", "node").agg(F.sum("rank").alias("rank"))
-
-    rank, done = home.withColumn("rank", F.lit(1.0)), 0
-    if fixed:
-        while done < rounds:
-            rank, done = advance(rank), done + 1
-            if done % CUT == 0 and done < rounds:
-                rank = saved(rank, "ppr")
-        return rank.select("source_id", "node", "rank")
-    ends = edges.select(F.col("src").alias("n")).unionAll(edges.select(F.col("dst").alias("n")))
-    least = tolerance * max(1, ends.distinct().count())
-    while done < rounds:
-        for _ in range(min(CUT, rounds - done) - 1):
-            rank = advance(rank)
-        before, last = saved(rank, "ppr"), rank
-        discard(last)
-        rank = saved(advance(before), "ppr")
-        done += CUT
-        moves = rank.join(before.withColumnRenamed("rank", "old"), ["source_id", "seed", "node"], "full")
-        most = moves.groupBy("source_id").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("d")).agg(F.max("d")).first()[0]
-        discard(before)
-        if (most or 0.0) < least:
-            break
+        rank = sent.unionByName(home).groupBy("source_id", "seed", "node").agg(F.sum("rank").alias("rank"))
+        if done % CUT == 0 and done < rounds:
+            rank = saved(rank, "ppr")
     return rank.select("source_id", "node", "rank")
 
 
-def sparse_pagerank(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int, seed: int, alpha: float, rounds: int, tolerance: float) -> np.ndarray:
-    """Personalised PageRank of n nodes from one seed, over steps of numbered ends."""
-    sink = np.ones(n, dtype=bool)
-    sink[src] = False
-    x = np.zeros(n)
-    x[seed] = 1
-    for _ in range(rounds):
-        new = alpha * np.bincount(dst, w * x[src], minlength=n)
-        new[seed] += alpha * x[sink].sum() + 1 - alpha
-        moved = np.abs(new - x).sum()
-        x = new
-        if moved < tolerance * n:
+def _joined(step: DataFrame, start: DataFrame, alpha: float) -> DataFrame:
+    """The ranks of a graph of any size: residuals are pushed along all steps in every round and what was pushed is added up. A seed leaves the rounds once its residual is small enough; residuals shrink by alpha or more, so that takes
+    some 180 rounds at most."""
+    rest, done = start.select("source_id", F.col("seed").alias("node"), F.lit(1.0).alias("r")), None
+    total = rest
+    while True:
+        for _ in range(CUT):
+            rest = rest.join(step, rest["node"] == step["src"]).groupBy("source_id", "dst").agg(F.sum(alpha * F.col("r") * F.col("w")).alias("r")).select("source_id", F.col("dst").alias("node"), "r")
+            rest = saved(rest, "ppr-rest")
+            total = total.unionByName(rest)
+        before, total = done, saved(total.groupBy("source_id", "node").agg(F.sum("r").alias("r")), "ppr-total")
+        open_ = saved(rest.groupBy("source_id").agg(F.sum("r").alias("left")).filter(F.col("left") > RESIDUAL).select("source_id"), "ppr-open")
+        done = total
+        if before is not None:
+            discard(before)
+        if not open_.count():
             break
-    return x
+        rest = rest.join(open_, "source_id", "left_semi")
+    return done.join(done.groupBy("source_id").agg(F.sum("r").alias("whole")), "source_id").select("source_id", "node", (F.col("r") / F.col("whole")).alias("rank"))
+
+
+def solve(apply, b: np.ndarray, alpha: float = ALPHA, residual: float = RESIDUAL) -> np.ndarray:
+    """x = b + apply(x) for the columns of b, where apply keeps what is not negative and takes at least 1 - alpha of every column's sum away: stabilised bi-conjugate gradients first, and rounds x + r until every column's residual sums to no
+    more than wanted or rounding ends it."""
+    x, r = b.copy(), apply(b)
+    shadow, p, v = r.copy(), np.zeros_like(b), np.zeros_like(b)
+    rho, a, w = (np.ones(b.shape[1]) for _ in range(3))
+    best, kept = np.abs(r).sum(axis=0), x.copy()
+    with np.errstate(all="ignore"):
+        for _ in range(40):
+            if (best <= residual).all():
+                break
+            new = (shadow * r).sum(axis=0)
+            p = r + new / rho * (a / w) * (p - w * v)
+            rho, v = new, p - apply(p)
+            a = rho / (shadow * v).sum(axis=0)
+            s = r - a * v
+            t = s - apply(s)
+            w = (t * s).sum(axis=0) / (t * t).sum(axis=0)
+            x, r = x + a * p + w * s, s - w * t
+            size = np.abs(r).sum(axis=0)
+            good = np.isfinite(size) & (size < best)
+            best, kept = np.where(good, size, best), np.where(good, x, kept)
+            if not good.any():
+                break
+    x, last = kept, None
+    while True:
+        r = b + apply(x) - x
+        size = np.abs(r).sum(axis=0)
+        # A round takes 1 - alpha of a residual away, unless it is rounding.
+        if (size <= residual).all() or last is not None and not (size < (1 + alpha) / 2 * last)[size > residual].any():
+            return np.where(x != 0, np.maximum(x, 1e-300), 0.0)  # what is reached stays so, however little it has
+        x, last = x + r, size
+
+
+@lru_cache(maxsize=1)
+def _graph(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(sources, weights, first steps of targets, targets, names) of the steps in a shared folder, sorted by target."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+    t = pq.read_table(at, filesystem=system)
+    ends = pa.chunked_array([*t["src"].chunks, *t["dst"].chunks], t["src"].type).combine_chunks().dictionary_encode()
+    codes = ends.indices.to_numpy()
+    src, dst = codes[: len(t)], codes[len(t) :]
+    order = np.argsort(dst, kind="stable")
+    first = np.flatnonzero(np.r_[True, dst[order][1:] != dst[order][:-1]]) if len(t) else np.zeros(0, dtype=np.int64)
+    return src[order], t["w"].to_numpy()[order], first, dst[order][first], ends.dictionary
 
 
-def _held_pagerank(step: DataFrame, start: DataFrame, alpha: float, rounds: int, tolerance: float, wanted: DataFrame | None) -> DataFrame:
-    """The ranks of seeds (source_id, seed) over a graph that a task can hold, until they move by no more than the tolerance for each node; of the wanted nodes (source_id, node) if there are such."""
+def _in_tasks(step: DataFrame, start: DataFrame, alpha: float, wanted: DataFrame | None) -> DataFrame:
+    """The ranks over a graph that a task can hold; it comes from the shared folder, once for each worker, and not through the driver. Seeds are dealt to tasks."""
     spark = step.sparkSession
     ship(spark)
-    t = step.toArrow()
-    ends = pa.chunked_array([*t["src"].chunks, *t["dst"].chunks], t["src"].type).combine_chunks().dictionary_encode()
-    codes = ends.indices.to_numpy()
-    held = spark.sparkContext.broadcast((codes[: len(t)], codes[len(t) :], t["w"].to_numpy(), ends.dictionary))  # HELD steps at most
-    few = wanted is not None
+    path, few = step._saved_at, wanted is not None
 
     def run(batches):
-        src, dst, w, names = held.value
-        for b in batches:
-            for i, at in enumerate(pc.index_in(b.column(1), value_set=names).to_pylist()):
-                asked = b.column(2)[i].values if few else None
+        src, w, first, targets, names = _graph(path)
+        n = len(names)
+
+        def pushed(x: np.ndarray) -> np.ndarray:
+            out = np.zeros_like(x)
+            if len(first):
+                out[targets] = alpha * np.add.reduceat(x[src, 0] * w, first)[:, None]
+            return out
+
+        for batch in batches:
+            for i, at in enumerate(pc.index_in(batch.column(1), value_set=names).to_pylist()):
+                asked = batch.column(2)[i].values if few else None
                 if at is None:  # no edge touches the seed: all rank stays there
-                    if not few or b.column(1)[i].as_py() in asked.to_pylist():
-                        yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([1.0])], ["source_id", "node", "rank"])
+                    if not few or batch.column(1)[i].as_py() in asked.to_pylist():
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([1.0])], ["source_id", "node", "rank"])
                     continue
-                x = sparse_pagerank(src, dst, w, len(names), at, alpha, rounds, tolerance)
+                home = np.zeros((n, 1))
+                home[at] = 1
+                x = solve(pushed, home, alpha)[:, 0]
+                x /= x.sum()
                 some = np.array([k for k in pc.index_in(asked, value_set=names).to_pylist() if k is not None and x[k]], dtype=np.int64) if few else np.flatnonzero(x)
-                yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[i], len(some)), names.take(pa.array(some)), pa.array(x[some])], ["source_id", "node", "rank"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(some)), names.take(pa.array(some)), pa.array(x[some])], ["source_id", "node", "rank"])
 
     out = T.StructType([T.StructField("source_id", start.schema["source_id"].dataType), T.StructField("node", step.schema["src"].dataType), T.StructField("rank", T.DoubleType())])
     kind = step.schema["src"].dataType
@@ -124,128 +176,127 @@ def _held_pagerank(step: DataFrame, start: DataFrame, alpha: float, rounds: int,
     return asking.repartition(partitions(spark)).mapInArrow(run, out)
 
 
-def _matrix(nodes: list[str], src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-    at = {n: i for i, n in enumerate(nodes)}
-    m = np.zeros((len(nodes), len(nodes)))
-    keep = [(at[s], at[d]) for s, d in zip(src, dst, strict=True) if s in at and d in at]
-    for i, j in keep:
-        m[i, j] += 1
-    return m
-
-
-def dense_pagerank(m: np.ndarray, seed: int, alpha: float = ALPHA, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
-    """Personalised PageRank of a small graph, given as counts of edges."""
-    n = len(m)
-    out = m.sum(axis=1)
-    step = m / np.where(out, out, 1)[:, None]
-    home = np.zeros(n)
-    home[seed] = 1
-    x = np.full(n, 1 / n)
-    for _ in range(rounds):
-        new = alpha * (x @ step + x[out == 0].sum() * home) + (1 - alpha) * home
-        if np.abs(new - x).sum() < n * tolerance:
-            return new
-        x = new
-    return x
-
-
-def green(m: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
-    """(I - alpha P)^-1 of a small graph, given as counts of edges.
+def uniform_pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """(node_id, rank): PageRank with uniform teleport over the nodes, solved to RESIDUAL; what dangles is shared by all nodes as the teleport is. Edges are between the nodes."""
+    step, all_ = saved(transitions(edges), "pagerank-steps"), saved(nodes.select("node_id").distinct(), "pagerank-nodes")
+    n = max(1, all_.count())
+    if max(n, step.count()) > HELD:
+        rest = total = all_.select(F.col("node_id").alias("node"), F.lit(1.0 / n).alias("r"))
+        left = 1.0
+        while left > RESIDUAL:
+            for _ in range(CUT):
+                rest = saved(rest.join(step, rest["node"] == step["src"]).groupBy("dst").agg(F.sum(alpha * F.col("r") * F.col("w")).alias("r")).withColumnRenamed("dst", "node"), "pagerank-rest")
+                total = total.unionByName(rest)
+            total = saved(total.groupBy("node").agg(F.sum("r").alias("r")), "pagerank-total")
+            left = rest.agg(F.sum("r")).first()[0] or 0.0
+        return total.crossJoin(F.broadcast(total.agg(F.sum("r").alias("whole")))).select(F.col("node").alias("node_id"), (F.col("r") / F.col("whole")).alias("rank"))  # one row of totals
+    spark, path, at = step.sparkSession, step._saved_at, all_._saved_at
+    ship(spark)
 
-    Nodes outside a cover of all links are joined to covering nodes only, so their block is diagonal and what is inverted is as large as the cover.
-    """
-    n, out = len(m), m.sum(axis=1)
-    a = np.eye(n) - alpha * m / np.where(out, out, 1)[:, None]
-    link = (m > 0) | (m.T > 0)
-    np.fill_diagonal(link, False)
-    degree, cover = link.sum(axis=1), np.zeros(n, dtype=bool)
-    while (at := int(degree.argmax())) >= 0 and degree[at] > 0:
-        cover[at] = True
-        degree -= link[at]
-        link[at], link[:, at], degree[at] = False, False, 0
-    h, rest = np.flatnonzero(cover), np.flatnonzero(~cover)
-    own = 1 / a[rest, rest]
-    there, back = a[np.ix_(h, rest)] * own, a[np.ix_(rest, h)] * own[:, None]
-    inner = np.linalg.inv(a[np.ix_(h, h)] - there @ a[np.ix_(rest, h)])
-    g = np.empty((n, n))
-    g[np.ix_(h, h)], g[np.ix_(h, rest)], g[np.ix_(rest, h)] = inner, -inner @ there, -back @ inner
-    g[np.ix_(rest, rest)] = np.diag(own) + back @ inner @ there
-    return g
-
-
-def removal_losses(m: np.ndarray, g: np.ndarray, s: int, t: int, alpha: float = ALPHA) -> np.ndarray:
-    """For each node of a small graph, given as counts of edges and its green(), the share of t's PageRank from s that is lost without it.
-
-    Exact: PageRank from s is row s of G = (I - alpha P)^-1, scaled to sum 1, since rank without a way on returns to the seed. Without node i only
-    the rows of P with a step to i change, so the new row s is the old one with a correction as large as their number (Woodbury).
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            src, w, first, targets, names = _graph(path)
+            every = _column(at)
+            place = pc.index_in(every, value_set=names).to_numpy(zero_copy_only=False)
+            known = ~np.isnan(place.astype(np.float64))
+            home = np.zeros((len(names), 1))
+            home[place[known].astype(np.int64)] = 1 / n
+
+            def pushed(x: np.ndarray) -> np.ndarray:
+                out = np.zeros_like(x)
+                if len(first):
+                    out[targets] = alpha * np.add.reduceat(x[src, 0] * w, first)[:, None]
+                return out
+
+            x = solve(pushed, home, alpha)[:, 0] if len(names) else np.zeros(0)
+            rank = np.full(len(every), 1 / n)
+            rank[known] = x[place[known].astype(np.int64)]
+            whole = x.sum() + (~known).sum() / n
+            for i in range(0, len(every), 10_000):
+                yield pa.RecordBatch.from_arrays([every[i : i + 10_000], pa.array(rank[i : i + 10_000] / whole)], ["node_id", "rank"])
+
+    out = T.StructType([T.StructField("node_id", all_.schema["node_id"].dataType), T.StructField("rank", T.DoubleType())])
+    return spark.range(1).repartition(1).mapInArrow(run, out)
+
+
+def _column(path: str) -> pa.Array:
+    """The only column of a table in the shared folder."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+    c = pq.read_table(at, filesystem=system).column(0)
+    return c.combine_chunks() if c.num_chunks != 1 else c.chunk(0)
+
+
+def removal_losses(src: np.ndarray, dst: np.ndarray, n: int, s: int, t: int, asked: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
+    """For each asked node, the share of t's PageRank from s that is lost without it, over edges between numbered nodes.
+
+    Without node i the steps of those before it are shared by their other ends, so P differs by a factor for each of these, and column i of a block of right-hand sides has its own factors: all asked nodes are solved side by side, each
+    to the residual of rounding. Nodes that s does not reach, s and t lose nothing.
     """
-    n, out = len(m), m.sum(axis=1)
-    lost = np.zeros(n)
-    total = g.sum(axis=1)
-    before = g[s, t] / total[s]
-    if before <= 1e-9:
-        return lost
-    for i in range(n):
-        into = np.flatnonzero(m[:, i])
-        into = into[into != i]
-        if i in (s, t) or not len(into):
-            continue
-        only = m[into, i] == out[into]
-        ratio = np.where(only, -1.0, m[into, i] / np.where(only, 1.0, out[into] - m[into, i]))
-        back = np.where(only, 0.0, alpha)  # a row that only led to i becomes empty; others are spread over their other steps
-
-        def changed(of_into: np.ndarray, same: np.ndarray | float, of_i: np.ndarray | float, ratio=ratio, back=back) -> np.ndarray:
-            r, b = (ratio[:, None], back[:, None]) if of_into.ndim == 2 else (ratio, back)
-            return -r * (of_into - same - b * of_i)
-
-        k = np.eye(len(into)) + changed(g[np.ix_(into, into)], np.eye(len(into)), g[i, into])
-        c = np.linalg.solve(k.T, g[s, into])
-        rank, whole = g[s, t] - c @ changed(g[into, t], into == t, g[i, t]), total[s] - c @ changed(total[into], 1.0, total[i])
-        lost[i] = max(0.0, before - rank / whole) / before
-    lost[lost < NOTHING] = 0
-    return lost
-
-
-def sparse_losses(src: np.ndarray, dst: np.ndarray, n: int, s: int, t: int, alpha: float = ALPHA) -> np.ndarray:
-    """removal_losses of a graph that is too large to be held densely: the rank is found again without each node that has any."""
-
-    def rank(keep: np.ndarray) -> np.ndarray:
-        a, b = src[keep], dst[keep]
-        return sparse_pagerank(a, b, 1 / np.bincount(a, minlength=n)[a], n, s, alpha, 10 * ROUNDS, 1e-15)
-
-    whole, lost = rank(np.ones(len(src), dtype=bool)), np.zeros(n)
+    counted, size = np.unique(np.stack([dst, src]), axis=1, return_counts=True)
+    (to, of), c = counted, size.astype(np.float64)
+    first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+    out = np.bincount(of, c, n)
+    lost = np.zeros(len(asked))
+
+    def ranks(scale: np.ndarray, without: np.ndarray) -> np.ndarray:
+        """Ranks from s, a column for each node left out (-1: none)."""
+        gone = np.flatnonzero(without >= 0)
+
+        def pushed(x: np.ndarray) -> np.ndarray:
+            y = np.zeros_like(x)
+            y[to[first]] = alpha * np.add.reduceat((x * scale)[of] * c[:, None], first, axis=0)
+            y[without[gone], gone] = 0
+            return y
+
+        home = np.zeros((n, len(without)))
+        home[s] = 1
+        x = solve(pushed, home, alpha, 1e-15)
+        return x / x.sum(axis=0)
+
+    share = np.divide(1.0, out, out=np.zeros(n), where=out > 0)
+    whole = ranks(share[:, None], np.array([-1]))[:, 0]
     if whole[t] <= 1e-9:
         return lost
-    for i in np.flatnonzero(whole).tolist():
-        if i not in (s, t):
-            lost[i] = max(0.0, whole[t] - rank((src != i) & (dst != i))[t]) / whole[t]
-    lost[lost < 1e3 * NOTHING] = 0
+    open_ = np.flatnonzero((whole[asked] > 0) & (asked != s) & (asked != t))
+    step = max(1, CELLS // max(1, len(c)))
+    for at in range(0, len(open_), step):
+        some = asked[open_[at : at + step]]
+        scale = np.repeat(share[:, None], len(some), axis=1)
+        for k, i in enumerate(some):
+            into = slice(*np.searchsorted(to, [i, i + 1]))
+            left = out[of[into]] - c[into]
+            scale[of[into], k] = np.divide(1.0, left, out=np.zeros(len(left)), where=left > 0)
+        lost[open_[at : at + step]] = np.maximum(0.0, whole[t] - ranks(scale, some)[t]) / whole[t]
+    lost[lost < NOTHING] = 0
     return lost
 
 
 def necessity(sub_edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(pair_id, node, necessity_ab, necessity_ba, necessity) of the nodes of each pair's subgraph (pair_id, src, dst).
 
-    Necessity from a to b is the share of b's PageRank from a that is lost without the node; negative losses, the ends themselves, and pairs without
-    such rank count as 0. Each pair is solved in one call: by dense arithmetic up to DENSE nodes, by iteration beyond, which takes longer and holds no more than the pair's edges.
+    Necessity from a to b is the share of b's PageRank from a that is lost without the node; negative losses, the ends themselves, and pairs without such rank count as 0. A pair's nodes are dealt to as many tasks as its nodes
+    times its steps hold CELLS; each of them has the pair's steps and its own nodes and solves CELLS numbers at once.
     """
-
     ship(sub_edges.sparkSession)
-
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf["a"].iloc[0], pdf["b"].iloc[0]
-        src, dst = pdf["src"].to_numpy(), pdf["dst"].to_numpy()
-        nodes = sorted({*src, *dst})
-        at = {x: i for i, x in enumerate(nodes)}
-        if len(nodes) <= DENSE:
-            whole = _matrix(nodes, src, dst)
-            g = green(whole)
-            losses = lambda s, t: removal_losses(whole, g, s, t)
-        else:
-            there, here = np.array([at[x] for x in src]), np.array([at[x] for x in dst])
-            losses = lambda s, t: sparse_losses(there, here, len(nodes), s, t)
-        ab, ba = (losses(at[s], at[t]) if s in at and t in at else np.zeros(len(nodes)) for s, t in ((a, b), (b, a)))
-        return pd.DataFrame({"pair_id": key[0], "node": nodes, "necessity_ab": ab, "necessity_ba": ba, "necessity": np.maximum(ab, ba)})
+    edges = saved(sub_edges.select("pair_id", "src", "dst").join(pairs.select("pair_id", "a", "b"), "pair_id"), "necessity-edges")  # read for sizes, nodes and steps
+    nodes = edges.select("pair_id", "a", "b", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    size = edges.groupBy("pair_id").agg(F.count("*").alias("m")).join(nodes.groupBy("pair_id").agg(F.count("*").alias("n")), "pair_id").select("pair_id", F.ceil(F.col("m") * F.col("n") / (8.0 * CELLS)).cast("int").alias("blocks"))
+    sent = edges.join(size, "pair_id").select("pair_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "a", "b", "src", "dst")
+    asked = nodes.join(size, "pair_id").select("pair_id", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "a", "b", F.lit(None).cast("string").alias("src"), F.col("node").alias("dst"))
+
+    def solved(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, own = pdf["a"].iloc[0], pdf["b"].iloc[0], pdf["src"].isna()
+        ends = pdf[~own]
+        nodes = pd.Index(sorted({*ends["src"], *ends["dst"]}))
+        src, dst, wanted = nodes.get_indexer(ends["src"]), nodes.get_indexer(ends["dst"]), nodes.get_indexer(pdf.loc[own, "dst"])
+        there = a in nodes and b in nodes
+        ab, ba = (removal_losses(src, dst, len(nodes), nodes.get_loc(s), nodes.get_loc(t), wanted) if there else np.zeros(len(wanted)) for s, t in ((a, b), (b, a)))
+        return pd.DataFrame({"pair_id": key[0], "node": pdf.loc[own, "dst"].to_numpy(), "necessity_ab": ab, "necessity_ba": ba, "necessity": np.maximum(ab, ba)})
 
     kind = pairs.schema["pair_id"].dataType.simpleString()
-    return sub_edges.select("pair_id", "src", "dst").join(pairs.select("pair_id", "a", "b"), "pair_id").groupBy("pair_id").applyInPandas(solve, f"pair_id {kind}, node string, necessity_ab double, necessity_ba double, necessity double")
+    return sent.unionByName(asked).groupBy("pair_id", "block").applyInPandas(solved, f"pair_id {kind}, node string, necessity_ab double, necessity_ba double, necessity double")

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..runtime import saved
+from ..runtime import discard, saved
 
 #: Fixed value: weight of relevance against likeness to what has been chosen.
 RELEVANCE = 0.7
+#: Items of a group that are chosen from in one call, and items that a lazy round looks at again.
+GROUP, FRESH = 100_000, 32
 #: Distinct tokens of a lexicon's features, and characters of both, up to which each task holds the lexicon.
 HELD_TOKENS, HELD_CHARS = 100_000, 16 << 20
 
@@ -19,9 +21,18 @@ HELD_TOKENS, HELD_CHARS = 100_000, 16 << 20
 def mmr(items: DataFrame, queries: DataFrame, k: int, weight: float = RELEVANCE) -> DataFrame:
     """(grp, item, rank): for each group k items that are like its query and unlike one another; ties to the smaller item.
 
-    items: grp, item, embedding. queries: grp, query. Greedy choice of k items is sequential within a group; groups are independent.
+    items: grp, item, embedding; items are distinct within a group. queries: grp, query. Greedy choice of k items is sequential within a group; groups are independent. A group of up to GROUP items is chosen from in one call, larger ones lazily
+    over all partitions.
     """
+    known = items.filter("embedding IS NOT NULL").select("grp", "item", "embedding")
+    large = known.groupBy("grp").agg(F.count("*").alias("_n")).filter(F.col("_n") > GROUP).select("grp")
+    if not large.limit(1).count():
+        return _chosen_at_once(known, queries, k, weight)
+    large = saved(large, "mmr-large")
+    return _chosen_at_once(known.join(large, "grp", "left_anti"), queries, k, weight).unionByName(_chosen_lazily(known.join(large, "grp", "left_semi"), queries, k, weight))
 
+
+def _chosen_at_once(items: DataFrame, queries: DataFrame, k: int, weight: float) -> DataFrame:
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("item")
         v, q = np.stack(pdf["embedding"].to_numpy()).astype(float), np.asarray(pdf["query"].iloc[0], dtype=float)
@@ -41,6 +52,36 @@ def mmr(items: DataFrame, queries: DataFrame, k: int, weight: float = RELEVANCE)
     return items.join(queries, "grp").groupBy("grp").applyInPandas(choose, f"grp {kinds['grp']}, item {kinds['item']}, rank int")
 
 
+def _chosen_lazily(items: DataFrame, queries: DataFrame, k: int, weight: float) -> DataFrame:
+    """Greedy choice by stale bounds. An item's likeness to the chosen ones only grows, so the score it had when last looked at bounds what it has now. A round looks again at the FRESH items of a group with the highest bounds, and if the best of them
+    beats the next bound it is the winner; else more are looked at. All vectors are read for the first two choices, and those of a few items for each of the others; a group is spread over all partitions."""
+    dot = lambda x, y: F.round(F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, z: s + z), 9)
+    score = weight * F.col("relevance") - (1 - weight) * F.col("likeness")
+    rows = items.join(queries, "grp").select("grp", "item", dot(F.col("embedding"), F.col("query")).alias("relevance"), "embedding")
+    first = rows.groupBy("grp").agg(F.min_by(F.struct("item", "embedding"), F.struct(-F.col("relevance"), "item")).alias("b")).select("grp", "b.item", "b.embedding", F.lit(1).alias("rank"))
+    chosen = saved(first, "mmr-chosen")
+    like_first = chosen.select("grp", F.col("embedding").alias("_c"))
+    state = saved(rows.join(like_first, "grp").select("grp", "item", "relevance", dot(F.col("embedding"), F.col("_c")).alias("likeness")).join(chosen, ["grp", "item"], "left_anti"), "mmr-state")
+    for rank in range(2, k + 1):
+        fresh = FRESH
+        while True:
+            place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("bound"), "item"))
+            top = saved(state.withColumn("bound", score).withColumn("place", place).filter(F.col("place") <= fresh + 1), "mmr-top")
+            again = top.filter(F.col("place") <= fresh).join(items, ["grp", "item"]).join(chosen.select("grp", F.col("embedding").alias("_c")), "grp").groupBy("grp", "item").agg(F.max(dot(F.col("embedding"), F.col("_c"))).alias("_now"))
+            again = saved(again, "mmr-again")
+            before, state = state, saved(state.join(again, ["grp", "item"], "left").select("grp", "item", "relevance", F.coalesce("_now", "likeness").alias("likeness")), "mmr-state")
+            told = top.drop("likeness").join(again.withColumnRenamed("_now", "likeness"), ["grp", "item"], "left")
+            best = told.groupBy("grp").agg(F.min_by("item", F.when(F.col("place") <= fresh, F.struct(-score, "item"))).alias("item"), F.max(F.when(F.col("place") <= fresh, score)).alias("score"), F.max(F.when(F.col("place") > fresh, F.col("bound"))).alias("next"))
+            best = saved(best, "mmr-best")
+            discard(before)
+            if not best.filter("next >= score").limit(1).count():
+                break
+            fresh *= 4
+        new = saved(best.select("grp", "item").join(items, ["grp", "item"]).select("grp", "item", "embedding", F.lit(rank).alias("rank")), "mmr-chosen")
+        chosen, state = chosen.unionByName(new), state.join(new, ["grp", "item"], "left_anti")
+    return chosen.select("grp", "item", "rank")
+
+
 def lexicon_matches(docs: DataFrame, lexicon: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, feature): the features of a lexicon (feature) that each text has; rows without an id count as one text each and come without one.
 

@@ -143,10 +143,9 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIR_EDGES = f"""
     {h.EDGES_SQL}, {h.PAIRS_SQL}, cores AS (SELECT pair_id, a AS core FROM pairs UNION SELECT pair_id, b FROM pairs),
     members AS (SELECT pair_id, core AS node FROM cores UNION SELECT p.pair_id, x.b FROM pairs p JOIN neighbors x ON x.a = p.a JOIN neighbors y ON y.a = p.b AND y.b = x.b),
-    sub AS (
-        SELECT m.pair_id, e.src, e.dst, e.key, e.type, e.evidence, e.phase, EXISTS (SELECT 1 FROM cores c WHERE c.pair_id = m.pair_id AND c.core = e.src) AS src_is_core,
-            EXISTS (SELECT 1 FROM cores c WHERE c.pair_id = m.pair_id AND c.core = e.dst) AS dst_is_core
-        FROM edges e JOIN members m ON m.node = e.src JOIN members k ON k.node = e.dst AND k.pair_id = m.pair_id
+    sub AS MATERIALIZED (
+        SELECT m.pair_id, e.src, e.dst, e.key, e.type, e.evidence, e.phase, e.src = p.a OR e.src = p.b AS src_is_core, e.dst = p.a OR e.dst = p.b AS dst_is_core
+        FROM members m JOIN edges e ON m.node = e.src JOIN members k ON k.node = e.dst AND k.pair_id = m.pair_id JOIN pairs p ON p.pair_id = m.pair_id
     )
 """
 
@@ -179,7 +178,7 @@ def trimmed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
     WITH {_PAIR_EDGES}, r AS (SELECT *, row_number() OVER (PARTITION BY pair_id, dst ORDER BY coalesce(phase, -1) DESC, src) AS r, count(*) OVER (PARTITION BY pair_id, dst) AS n FROM sub WHERE dst_is_core),
     kept AS (SELECT DISTINCT pair_id, src FROM r WHERE r <= n - 1)
-    SELECT pair_id, src, dst, key FROM sub s WHERE NOT starts_with(src, 'part:') OR EXISTS (SELECT 1 FROM kept k WHERE k.pair_id = s.pair_id AND k.src = s.src)
+    SELECT s.pair_id, s.src, s.dst, s.key FROM sub s LEFT JOIN kept k ON k.pair_id = s.pair_id AND k.src = s.src WHERE NOT starts_with(s.src, 'part:') OR k.src IS NOT NULL
 """)
 def capped_drugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     sub, _, _ = _pair_edges(spark, sf_dir)
@@ -274,23 +273,26 @@ def near_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> building.Sources:
-    """The driver's tables as the sources of a build: suppliers and brands as genes, parts as pathways and drugs, nations as cohorts."""
+    """The driver's tables, whole, as the sources of a build: suppliers and parts as genes, line items as associations, interactions, regulations, effects, pathways and drugs, nations as cohorts, customers as their drivers."""
     read = lambda t: h.read(spark, sf_dir, t)
-    gene = lambda n, c: F.concat(F.lit(n), c.cast("string"))
-    s, li, p, c = read("supplier"), read("lineitem"), read("part"), read("customer")
-    key = F.col("s_suppkey")
-    seeds = s.filter("s_suppkey <= 3").select(gene("S", key).alias("a"), gene("S", key + 1).alias("b"), key.alias("seq"))
-    curated = s.filter("s_suppkey <= 8").select(gene("S", key + 1).alias("a"), F.when(key % 4 == 0, "").otherwise(gene("S", key + 3)).alias("b"), key.alias("seq"), F.when(key % 2 == 0, "tissue").alias("context"), F.lit(None).cast("string").alias("note"))
-    some = li.filter("l_linenumber = 1 AND l_quantity < 6")
-    associations = some.select(gene("S", F.col("l_suppkey") % 12 + 1).alias("a"), gene("S", F.col("l_partkey") % 14 + 1).alias("b"), F.when(F.col("l_tax") > 0.02, F.col("l_discount")).alias("score"), F.col("l_orderkey").alias("seq"))
-    accessions = s.filter("s_suppkey <= 6").select(gene("S", key).alias("gene"), F.format_string("P%04d9", key).alias("accession"))
-    interactions = li.filter("l_linenumber = 2 AND l_quantity < 9").select(F.format_string("P%04d9", F.col("l_suppkey") % 9).alias("source"), F.format_string("Q%04d1", F.col("l_partkey") % 9).alias("target"), F.col("l_orderkey").alias("seq"))
-    regulations = li.filter("l_linenumber = 3").select(F.when(F.col("l_orderkey") % 3 == 0, F.format_string("p%04d9", F.col("l_suppkey") % 9)).otherwise(gene("S", F.col("l_suppkey") % 30)).alias("tf"), gene("s", F.col("l_partkey") % 20).alias("target"), F.substring(F.lit("ABCDEX"), (F.col("l_quantity") % 6 + 1).cast("int"), 1).alias("level"), F.when(F.col("l_tax") > 0.04, "activation").alias("sign"), F.col("l_returnflag").alias("source"))
-    effects = c.filter("c_custkey <= 120").select(gene("cell", F.col("c_custkey") % 12).alias("cell"), gene("S", (F.col("c_custkey") / 12).cast("int") + 1).alias("gene"), F.round("c_acctbal", 2).alias("effect"))
-    pathways = p.filter("p_size % 3 = 0").select(gene("S", F.col("p_partkey") % 10 + 1).alias("gene"), F.col("p_partkey").alias("pos"), F.col("p_partkey").alias("pathway_id"), F.col("p_name").alias("name"))
-    cohorts = read("nation").select(F.col("n_name").alias("cohort"), gene("T", F.col("n_regionkey")).alias("tumor"))
-    drivers = c.select(gene("T", F.col("c_nationkey") % 4).alias("tumor"), gene("S", F.col("c_custkey") % 9 + 1).alias("gene"), F.col("c_mktsegment").alias("role"), F.lit(0.1).alias("score"), F.col("c_custkey").alias("seq"))
-    drugs = p.filter("p_size % 3 = 1").select(gene("S", F.col("p_partkey") % 11 + 1).alias("gene"), F.col("p_partkey").alias("pos"), gene("D", F.col("p_partkey") % 40).alias("drug_id"), (F.col("p_size") % 5).alias("phase"), F.col("p_brand").alias("mechanism"), F.col("p_type").alias("disease"))
+    gene = lambda n, c: F.concat(F.lit(n), F.col(c).cast("string"))
+    s, li, nation = read("supplier"), read("lineitem").withColumn("seq", F.col("l_orderkey") * 8 + F.col("l_linenumber")), read("nation")
+    key, supplier, part = F.col("s_suppkey"), gene("S", "l_suppkey"), gene("G", "l_partkey")
+    after = lambda n: F.concat(F.lit("S"), (key + n).cast("string"))
+    accession = lambda letter, c: F.format_string(f"{letter}%05d", F.col(c))
+    seeds = s.select(after(0).alias("a"), after(1).alias("b"), key.alias("seq"))
+    curated = s.select(after(1).alias("a"), F.when(key % 4 == 0, "").otherwise(after(3)).alias("b"), key.alias("seq"), F.when(key % 2 == 0, "tissue").alias("context"), F.lit(None).cast("string").alias("note"))
+    associations = li.select(supplier.alias("a"), part.alias("b"), F.when(F.col("l_tax") > 0.02, F.col("l_discount")).alias("score"), "seq")
+    accessions = s.select(after(0).alias("gene"), accession("P", "s_suppkey").alias("accession"))
+    interactions = li.select(accession("P", "l_suppkey").alias("source"), accession("Q", "l_partkey").alias("target"), "seq")
+    regulations = li.select(F.when(F.col("l_orderkey") % 3 == 0, F.lower(accession("P", "l_suppkey"))).otherwise(supplier).alias("tf"), F.lower(part).alias("target"), F.substring(F.lit("ABCDEX"), (F.col("l_quantity") % 6 + 1).cast("int"), 1).alias("level"), F.when(F.col("l_tax") > 0.04, "activation").alias("sign"), F.col("l_returnflag").alias("source"))
+    effects = li.groupBy(F.concat_ws("-", "l_linenumber", "l_returnflag", "l_linestatus").alias("cell"), supplier.alias("gene")).agg(F.max("l_extendedprice").cast("double").alias("effect"))
+    both = li.select(supplier.alias("s"), part.alias("p"), "l_suppkey", "l_partkey").distinct()
+    pathway = lambda own, other, pos: both.select(F.col(own).alias("gene"), F.col(pos).alias("pos"), F.col(other).alias("pathway_id"), F.concat(F.lit("pathway of "), other).alias("name"))
+    pathways = pathway("s", "p", "l_partkey").unionByName(pathway("p", "s", "l_suppkey"))
+    cohorts = nation.select(F.col("n_name").alias("cohort"), gene("T", "n_regionkey").alias("tumor"))
+    drivers = read("customer").join(nation, F.col("n_nationkey") == F.col("c_nationkey")).select(gene("T", "n_regionkey").alias("tumor"), gene("G", "c_custkey").alias("gene"), F.col("c_mktsegment").alias("role"), F.lit(0.1).alias("score"), F.col("c_custkey").alias("seq"))
+    drugs = li.select(supplier.alias("gene"), F.col("seq").alias("pos"), gene("D", "l_partkey").alias("drug_id"), (F.col("l_quantity") % 5).cast("int").alias("phase"), F.col("l_returnflag").alias("mechanism"), F.col("l_linestatus").alias("disease"))
     return building.Sources(seeds, curated, associations, accessions, interactions, regulations, effects, pathways, cohorts, drivers, drugs, not_genes=("S5",), caps={"tf_per_target": 3, "interactions": 200, "drug_rows": 4})
 
 

@@ -146,27 +146,34 @@ def bounded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ROUNDS = 4
+#: Rounds after which, on the harness graph, what is left of the start alternates between suppliers and parts only; a round and alpha of the one before cancel it.
+_SETTLED = 24
 
 
-def _ppr_sql(rounds: int) -> str:
+def _ppr_sql(rounds: int, settled: bool = False) -> str:
     parts = ["""
     steps0 AS (SELECT src, dst, count(*) AS n FROM edges GROUP BY 1, 2), outs AS (SELECT src, count(*) AS out FROM edges GROUP BY 1),
-    steps AS (SELECT src, dst, n::DOUBLE / out AS w FROM steps0 JOIN outs USING (src)), rank0 AS (SELECT pair_id, a AS seed, a AS node, 1::DOUBLE AS rank FROM pairs)"""]
+    steps AS MATERIALIZED (SELECT src, dst, n::DOUBLE / out AS w FROM steps0 JOIN outs USING (src)), rank0 AS (SELECT pair_id, a AS seed, a AS node, 1::DOUBLE AS rank FROM pairs)"""]
     for i in range(1, rounds + 1):
         parts.append(f"""
-    rank{i} AS (
+    rank{i} AS MATERIALIZED (
         SELECT pair_id, seed, node, sum(rank) AS rank FROM (
             SELECT pair_id, seed, coalesce(dst, seed) AS node, 0.85::DOUBLE * rank * coalesce(w, 1) AS rank FROM rank{i - 1} LEFT JOIN steps ON src = node
             UNION ALL SELECT pair_id, a, a, 1 - 0.85::DOUBLE FROM pairs
         ) GROUP BY 1, 2, 3
     )""")
+    if settled:
+        parts.append(f"""
+    settled AS MATERIALIZED (
+        SELECT pair_id, node, sum(rank) AS rank FROM (SELECT pair_id, node, rank / 1.85::DOUBLE AS rank FROM rank{rounds} UNION ALL SELECT pair_id, node, rank * 0.85::DOUBLE / 1.85::DOUBLE FROM rank{rounds - 1}) GROUP BY 1, 2
+    )""")
     return ",".join(parts)
 
 
 def _ppr(spark: SparkSession, sf_dir: str, edges: DataFrame, rounds: int | None = _ROUNDS, at: DataFrame | None = None) -> DataFrame:
     """Converged without a number of rounds."""
     seeds = h.pairs(spark, sf_dir).select(F.col("pair_id").alias("source_id"), F.col("a").alias("node"))
-    return pagerank.personalized_pagerank(edges, seeds, rounds=rounds or pagerank.ROUNDS, fixed=rounds is not None, at=at)
+    return pagerank.personalized_pagerank(edges, seeds, rounds=rounds, at=at)
 
 
 @query(f"WITH {h.EDGES_SQL}, {h.PAIRS_SQL}, {_ppr_sql(_ROUNDS)} SELECT pair_id AS source_id, node, round(rank, 8) AS rank FROM rank{_ROUNDS}")
@@ -185,23 +192,24 @@ def ppr_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagerank.personalized_pagerank(edges.unionByName(r), r.select(F.col("src").alias("source_id"), F.col("src").alias("node")))
 
 
-@query()
+@query(f"WITH {h.EDGES_SQL}, {h.PAIRS_SQL}, {_ppr_sql(_SETTLED, True)} SELECT pair_id AS source_id, node, round(rank, 6) AS rank FROM settled")
 def ppr_converged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the first end of every pair, over the harness graph."""
-    return _ppr(spark, sf_dir, h.edges(spark, sf_dir), None)
+    return _ppr(spark, sf_dir, h.edges(spark, sf_dir), None).withColumn("rank", F.round("rank", 6))
 
 
-def _ranked_paths(spark: SparkSession, sf_dir: str, rounds: int | None) -> DataFrame:
+def _ranked_paths(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
     edges, pairs = h.edges(spark, sf_dir), h.pairs(spark, sf_dir)
     found = saved(paths.bounded_paths(pairs, edges, 3, 40), "ranked-paths")
     ends = pairs.select(F.col("pair_id").alias("source_id"), F.col("b").alias("node"))
-    ppr = _ppr(spark, sf_dir, edges, rounds, ends).select(F.col("source_id").alias("pair_id"), F.col("rank").alias("ppr"))
-    best = paths.rank_paths(found, edges, ppr, h.PRIORITY, 3, 4)
-    return best.select("pair_id", "nodes", "sources", "switches", F.round("probability", 9).alias("probability"), F.round("ppr", 8).alias("ppr"), F.round("rank_score", 6).alias("rank_score"), "rank")
+    ppr = _ppr(spark, sf_dir, edges, None, ends).select(F.col("source_id").alias("pair_id"), F.col("rank").alias("ppr"))
+    best = paths.rank_paths(found, edges, ppr, h.PRIORITY, 3, most)
+    return best.select("pair_id", "nodes", "sources", "switches", F.round("probability", 9).alias("probability"), F.round("ppr", 6).alias("ppr"), F.round("rank_score", 6).alias("rank_score"), "rank")
 
 
-@query(f"""
-    WITH {h.EDGES_SQL}, {h.PAIRS_SQL}, {_PATHS}, {_STEPS}, {_ppr_sql(_ROUNDS)},
+def _ranked_sql(most: int) -> str:
+    return f"""
+    WITH {h.EDGES_SQL}, {h.PAIRS_SQL}, {_PATHS}, {_STEPS}, {_ppr_sql(_SETTLED, True)},
     hop AS (SELECT pair_id, path_no, i AS pos, nodes[i] AS a, nodes[i + 1] AS b FROM paths, unnest(range(1, len(nodes))) AS t(i)),
     told AS (
         SELECT pair_id, path_no, list(edge_source ORDER BY pos) AS sources, product(1::DOUBLE / degree) AS probability
@@ -210,24 +218,27 @@ def _ranked_paths(spark: SparkSession, sf_dir: str, rounds: int | None) -> DataF
     f AS (
         SELECT p.*, t.sources, t.probability, coalesce(r.rank, 0) AS ppr, len(nodes) - 1 AS length,
             len(list_filter(range(2, len(t.sources) + 1), lambda i: t.sources[i] <> t.sources[i - 1])) AS switches
-        FROM paths p JOIN told t USING (pair_id, path_no) JOIN pairs q USING (pair_id) LEFT JOIN rank{_ROUNDS} r ON r.pair_id = p.pair_id AND r.node = q.b
+        FROM paths p JOIN told t USING (pair_id, path_no) JOIN pairs q USING (pair_id) LEFT JOIN settled r ON r.pair_id = p.pair_id AND r.node = q.b
     ),
     s AS (
         SELECT *, 0.35::DOUBLE * (1 - greatest(0, length - 1) / 3::DOUBLE) + 0.35::DOUBLE * CASE WHEN length > 1 THEN 1 - switches::DOUBLE / (length - 1) ELSE 1 END
             + 0.2::DOUBLE * greatest(0, least(1, 1 - ln(greatest(probability, 1e-12::DOUBLE)) / ln(1e-12::DOUBLE))) + 0.1::DOUBLE * least(1, ppr) AS rank_score FROM f
     )
-    SELECT pair_id, nodes, sources, switches::INT AS switches, round(probability, 9) AS probability, round(ppr, 8) AS ppr, round(rank_score, 6) AS rank_score, rank
-    FROM (SELECT *, (row_number() OVER (PARTITION BY pair_id ORDER BY round(rank_score, 12) DESC, length, switches, path_no))::INT AS rank FROM s) WHERE rank <= 4
-""")
+    SELECT pair_id, nodes, sources, switches::INT AS switches, round(probability, 9) AS probability, round(ppr, 6) AS ppr, round(rank_score, 6) AS rank_score, rank
+    FROM (SELECT *, (row_number() OVER (PARTITION BY pair_id ORDER BY round(rank_score, 12) DESC, length, switches, path_no))::INT AS rank FROM s) WHERE rank <= {most}
+"""
+
+
+@query(_ranked_sql(4))
 def path_rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the fixed rounds that its SQL repeats; path_rank_converged is the whole form."""
-    return _ranked_paths(spark, sf_dir, _ROUNDS)
+    """The four best paths of every pair."""
+    return _ranked_paths(spark, sf_dir, 4)
 
 
-@query()
+@query(_ranked_sql(40))
 def path_rank_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best paths of every pair with converged PageRank."""
-    return _ranked_paths(spark, sf_dir, None)
+    """All paths found for every pair, in order."""
+    return _ranked_paths(spark, sf_dir, 40)
 
 
 @query(f"""

@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import learning, relational, subgraph
+from ..operators import learning, network, pagerank, relational, subgraph
 from ..operators.ordering import running_sums
+from ..runtime import saved
 from . import harness as h
 from .registry import query
 
@@ -33,26 +34,42 @@ def log_degree_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.scaled_log_degree(h.edges(spark, sf_dir), h.nodes(spark, sf_dir)).withColumn("log_degree", F.round("log_degree", 6))
 
 
+#: Rounds after which, on the harness graph, what is left of the start alternates between suppliers and parts only; a round and alpha of the one before cancel it.
+_SETTLED = 24
+
+
 def _pagerank_sql(rounds: int) -> str:
     parts = [f"""{h.EDGES_SQL}, {h.NODES_SQL}, outs AS (SELECT src, count(*) AS out FROM edges GROUP BY 1),
-    steps AS (SELECT e.src, e.dst, count(*)::DOUBLE / any_value(out) AS w FROM edges e JOIN outs USING (src) GROUP BY 1, 2), size AS (SELECT count(*)::DOUBLE AS n FROM nodes),
+    steps AS MATERIALIZED (SELECT e.src, e.dst, count(*)::DOUBLE / any_value(out) AS w FROM edges e JOIN outs USING (src) GROUP BY 1, 2), size AS (SELECT count(*)::DOUBLE AS n FROM nodes),
     r0 AS (SELECT node_id, 1 / n AS rank FROM nodes, size)"""]
     for i in range(1, rounds + 1):
         parts.append(f"""
-    s{i} AS (SELECT dst AS node_id, sum(rank * coalesce(w, 1)) AS got FROM r{i - 1} LEFT JOIN steps ON src = node_id GROUP BY 1),
-    r{i} AS (SELECT nodes.node_id, 0.85::DOUBLE * (coalesce(s.got, 0) + coalesce((SELECT sum(got) FROM s{i} WHERE node_id IS NULL), 0) / n) + (1 - 0.85::DOUBLE) / n AS rank FROM nodes LEFT JOIN s{i} s ON s.node_id = nodes.node_id, size)""")
-    return ",".join(parts)
+    s{i} AS MATERIALIZED (SELECT dst AS node_id, sum(rank * coalesce(w, 1)) AS got FROM r{i - 1} LEFT JOIN steps ON src = node_id GROUP BY 1),
+    r{i} AS MATERIALIZED (SELECT nodes.node_id, 0.85::DOUBLE * (coalesce(s.got, 0) + coalesce((SELECT sum(got) FROM s{i} WHERE node_id IS NULL), 0) / n) + (1 - 0.85::DOUBLE) / n AS rank FROM nodes LEFT JOIN s{i} s ON s.node_id = nodes.node_id, size)""")
+    return ",".join(parts) + f""",
+    settled AS MATERIALIZED (SELECT node_id, (a.rank + 0.85::DOUBLE * b.rank) / 1.85::DOUBLE AS rank FROM r{rounds} a JOIN r{rounds - 1} b USING (node_id))"""
 
 
-@query(f"WITH {_pagerank_sql(3)} SELECT node_id, round(rank, 9) AS rank FROM r3")
+@query(f"WITH {_pagerank_sql(_SETTLED)} SELECT node_id, round(rank, 9) AS rank FROM settled")
 def pagerank_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.uniform_pagerank(h.edges(spark, sf_dir), h.nodes(spark, sf_dir), 3).withColumn("rank", F.round("rank", 9))
+    return pagerank.uniform_pagerank(h.edges(spark, sf_dir), h.nodes(spark, sf_dir)).withColumn("rank", F.round("rank", 9))
 
 
-@query()
+_KINDS = ["drug", "gene", "pathway"]
+_SPREAD = "(x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER () + 1e-9::DOUBLE)"
+
+
+@query(f"""
+    WITH {_pagerank_sql(_SETTLED)}, e AS (SELECT src AS node, type FROM edges UNION ALL SELECT dst, type FROM edges), n AS (SELECT node, type, count(*) AS n FROM e GROUP BY 1, 2),
+    c AS (SELECT node, type, ln(1 + n) / ln(1 + max(n) OVER (PARTITION BY type)) AS scaled FROM n), l AS (SELECT node, map(list(type), list(scaled)) AS m FROM c GROUP BY 1),
+    d AS (SELECT node_id, {_SPREAD} AS v FROM (SELECT node_id, ln(1 + coalesce(degree, 0)) AS x FROM nodes LEFT JOIN degrees ON node = node_id)), p AS (SELECT node_id, {_SPREAD} AS v FROM (SELECT node_id, rank AS x FROM settled))
+    SELECT node_id, list_transform([{", ".join(f"(type = '{k}')::INT::DOUBLE" for k in _KINDS)}, d.v, {", ".join(f"coalesce(m['{t}'], 0)::DOUBLE" for t in h.TYPES)}, p.v], lambda x: round(x, 6)) AS features
+    FROM nodes JOIN d USING (node_id) JOIN p USING (node_id) LEFT JOIN l ON l.node = node_id
+""")
 def node_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = h.nodes(spark, sf_dir), h.edges(spark, sf_dir)
-    return learning.node_features(nodes, edges, ["drug", "gene", "pathway"], h.TYPES, learning.converged_pagerank(edges, nodes))
+    made = learning.node_features(nodes, edges, _KINDS, h.TYPES, pagerank.uniform_pagerank(edges, nodes))
+    return made.withColumn("features", F.transform("features", lambda x: F.round(x, 6)))
 
 
 _POSITIVE = "positives AS (SELECT least('supplier:' || x.s_suppkey, 'supplier:' || y.s_suppkey) AS a, greatest('supplier:' || x.s_suppkey, 'supplier:' || y.s_suppkey) AS b FROM supplier x JOIN supplier y ON y.s_suppkey = x.s_suppkey + 1)"
@@ -85,13 +102,15 @@ def distant_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {h.EDGES_SQL}, {h.NODES_SQL}, {_POSITIVE}, {_HARD}, {_DISTANT}
+    WITH {h.EDGES_SQL}, {h.NODES_SQL}, {_POSITIVE}, {_HARD}, {_DISTANT}, k AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS i, count(*) OVER () AS size FROM known),
+    d AS (SELECT draw, ('0x' || substr(md5('42|' || draw), 1, 15))::BIGINT % (SELECT max(size * (size - 1) // 2) FROM k) AS r FROM range(20000) t(draw)),
+    u AS (SELECT min(draw) AS draw, r FROM d GROUP BY r), j AS (SELECT draw, r, x.n AS b, x.i * (x.i - 1) // 2 AS below FROM u JOIN k x ON r >= x.i * (x.i - 1) // 2 AND r < (x.i + 1) * x.i // 2),
+    p AS (SELECT draw, x.n AS a, j.b FROM j JOIN k x ON x.i = r - below)
     SELECT a, b, 'hard' AS kind FROM (SELECT * FROM hard ORDER BY md5('42|' || a || '|' || b), a, b LIMIT 140)
-    UNION ALL SELECT a, b, 'distant' FROM (SELECT * FROM far ORDER BY md5('42|' || a || '|' || b), a, b LIMIT 60)
+    UNION ALL SELECT a, b, 'distant' FROM (SELECT p.* FROM p SEMI JOIN far USING (a, b) ORDER BY draw LIMIT 60)
 """)
 def negative_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    args = h.edges(spark, sf_dir), h.nodes(spark, sf_dir), _positives(spark, sf_dir)
-    return learning.sample(learning.hard_negatives(*args), learning.distant_negatives(*args), 200)
+    return learning.negatives(h.edges(spark, sf_dir), h.nodes(spark, sf_dir), _positives(spark, sf_dir), 200)
 
 
 @query(f"WITH {_POSITIVE}, r AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || a || '|' || b), a, b) AS r, count(*) OVER () AS n FROM positives) SELECT a, b, CASE WHEN r <= greatest(10, floor(0.15::DOUBLE * n)) THEN 'validation' ELSE 'train' END AS part FROM r")
@@ -206,3 +225,35 @@ def example_layer() -> relational.Layer:
     wave = lambda *shape: np.sin(1.0 + np.arange(int(np.prod(shape)))).reshape(shape)
     n = len(h.TYPES)
     return relational.Layer(tuple(h.TYPES), wave(2, 4, 4), wave(n, 2), wave(n), wave(4, 4), wave(4), np.ones(4), np.zeros(4))
+
+
+def _labelled_graph(spark: SparkSession, sf_dir: str) -> tuple[network.Graph, DataFrame, DataFrame, DataFrame, network.Shape, list[str]]:
+    """(packed graph, message edges, nodes, positive pairs, shape, relations) of the harness graph: its target edges between genes are the labels and pass no messages; features are types, scaled degree, scaled counts and scaled PageRank."""
+    every, nodes = h.edges(spark, sf_dir).select("src", "dst", "key", "type", "source"), saved(h.nodes(spark, sf_dir), "labelled-nodes")
+    edges = saved(every.filter("type <> 'targets'"), "labelled-edges")
+    genes = nodes.filter("type = 'gene'").select("node_id")
+    labels = every.filter("type = 'targets'").join(genes.withColumnRenamed("node_id", "src"), "src", "left_semi").join(genes.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+    features = learning.node_features(nodes, edges, _KINDS, h.TYPES, pagerank.uniform_pagerank(edges, nodes))
+    vocab = learning.relation_vocab(edges)
+    relations = [r["relation"] for r in vocab.orderBy("index").collect()]  # types times sources
+    graph = network.pack(features, edges.select("src", "dst", F.concat_ws(learning.SEPARATOR, "type", "source").alias("relation")), vocab)
+    return graph, edges, nodes, saved(learning.unordered(labels, "src", "dst"), "labelled-pairs"), network.Shape(len(_KINDS) + len(h.TYPES) + 2, 16, 8, len(relations), layers=2, bases=4, dropout=0.1), relations
+
+
+@query()
+def trained_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history of a few epochs over the harness graph, with fresh negatives in every epoch, and AUC and average precision on held-out pairs."""
+    graph, edges, nodes, pairs, shape, _ = _labelled_graph(spark, sf_dir)
+    split = saved(learning.train_validation(pairs), "labelled-split")
+    positives, held = split.filter("part = 'train'").select("a", "b"), split.filter("part = 'validation'").select("a", "b")
+    far = learning.negatives(edges, nodes, pairs, held.count() * learning.VALIDATION_NEGATIVES, seed="validation")
+    validation = held.withColumn("label", F.lit(1)).unionByName(far.select("a", "b", F.lit(0).alias("label")))
+    _, history = network.train(graph, edges, nodes, positives, validation, shape, epochs=4, rate=0.02)
+    return spark.createDataFrame([tuple(x.values()) for x in history], "epoch int, loss double, auc double, average_precision double, rate double")
+
+
+@query()
+def relation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the probability of the labelled pairs falls without each type and each source, with the weights that training starts from."""
+    graph, _, _, pairs, shape, relations = _labelled_graph(spark, sf_dir)
+    return network.importance(graph, pairs, relations, network.initial(shape), shape)

@@ -291,10 +291,23 @@ def hash_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.read(spark, sf_dir, "pages").select("page_id", scalars.hash_text(F.col("html")).alias("h"))
 
 
-@query()
+def _mmr_sql(k: int) -> str:
+    parts = ["""
+    WITH v AS (SELECT label AS grp, vec_id AS item, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL),
+    q AS (SELECT grp, arg_min(v, item) AS q FROM v GROUP BY 1), l0 AS MATERIALIZED (SELECT grp, item, v, round(list_dot_product(v, q), 9) AS rel, 0::DOUBLE AS near FROM v JOIN q USING (grp)),
+    c1 AS MATERIALIZED (SELECT grp, item, v FROM l0 QUALIFY row_number() OVER (PARTITION BY grp ORDER BY rel DESC, item) = 1),
+    l1 AS MATERIALIZED (SELECT l.grp, l.item, l.v, rel, round(list_dot_product(l.v, c.v), 9) AS near FROM l0 l JOIN c1 c ON c.grp = l.grp AND c.item <> l.item)"""]
+    for i in range(2, k + 1):
+        parts.append(f"""
+    c{i} AS MATERIALIZED (SELECT grp, item, v FROM l{i - 1} QUALIFY row_number() OVER (PARTITION BY grp ORDER BY 0.7::DOUBLE * rel - (1 - 0.7::DOUBLE) * near DESC, item) = 1),
+    l{i} AS MATERIALIZED (SELECT l.grp, l.item, l.v, rel, greatest(near, round(list_dot_product(l.v, c.v), 9)) AS near FROM l{i - 1} l JOIN c{i} c ON c.grp = l.grp AND c.item <> l.item)""")
+    return ",".join(parts) + "\n    " + " UNION ALL ".join(f"SELECT grp, item, {i}::INT AS rank FROM c{i}" for i in range(1, k + 1))
+
+
+@query(_mmr_sql(10))
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most relevant and diverse vectors of each label for the label's first vector."""
-    e = h.read(spark, sf_dir, "embeddings")
+    e = h.read(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL")
     asked = e.groupBy(F.col("label").alias("grp")).agg(F.min_by("embedding", "vec_id").alias("query"))
     return selection.mmr(e.select(F.col("label").alias("grp"), F.col("vec_id").alias("item"), "embedding"), asked, 10)
 
@@ -322,9 +335,9 @@ def general_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL)
-    SELECT vec_id, round(CASE WHEN n > 1e-9 THEN v[1] / n ELSE 0 END, 9) AS first, round(1 / (1 + exp(-greatest(-60::DOUBLE, least(60::DOUBLE, (v[1] - 0.1) / 0.05)))), 9) AS squashed FROM (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM v)
+    SELECT vec_id, list_transform(v, lambda x: round(CASE WHEN n > 1e-9 THEN x / n ELSE 0 END, 9)) AS unit, round(1 / (1 + exp(-greatest(-60::DOUBLE, least(60::DOUBLE, (v[1] - 0.1) / 0.05)))), 9) AS squashed FROM (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM v)
 """)
 def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first component of each vector at unit length, and through a logistic function."""
+    """Each vector at unit length, and its first component through a logistic function."""
     v = h.read(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL")
-    return v.select("vec_id", F.round(F.get(scalars.l2_normalized(F.col("embedding")), F.lit(0)), 9).alias("first"), F.round(scalars.sigmoid(F.get("embedding", F.lit(0)).cast("double"), 0.1, 0.05), 9).alias("squashed"))
+    return v.select("vec_id", F.transform(scalars.l2_normalized(F.col("embedding")), lambda x: F.round(x, 9)).alias("unit"), F.round(scalars.sigmoid(F.get("embedding", F.lit(0)).cast("double"), 0.1, 0.05), 9).alias("squashed"))

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import csv
 import json
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
+#: A number as a matrix of effects writes it.
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Objects of a JSON array file, with seq, their place in it."""
@@ -31,14 +39,40 @@ def tsv(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     return df if limit is None else df.limit(limit)
 
 
+def _fields(line: str) -> list[str]:
+    """Fields of a CSV line: quoted ones may hold commas and doubled quotes."""
+    if '"' not in line:
+        return line.rstrip("\r").split(",")
+    return next(csv.reader([line]), [])
+
+
 def effect_matrix(spark: SparkSession, path: str, cell_prefix: str = "ACH-") -> DataFrame:
-    """(cell, gene, effect) of a CSV matrix whose first column is an index; it is turned if one of its first five columns is a cell. Gene names end at their first blank."""
-    df = spark.read.csv(path, header=True)
-    index, *columns = df.columns
-    turned = any(c.upper().startswith(cell_prefix) for c in columns[:5])
-    long = df.unpivot([index], columns, "column", "effect")
-    cell, gene = ("column", index) if turned else (index, "column")
-    return long.select(F.col(f"`{cell}`").alias("cell"), F.split(F.col(f"`{gene}`"), " ")[0].alias("gene"), F.col("effect").try_cast("double").alias("effect"))
+    """(cell, gene, effect) of a CSV matrix whose first column is an index; it is turned if one of its first five columns is a cell. Gene names end at their first blank.
+
+    The plan does not grow with the columns: lines are read as texts, a worker splits each once and emits the places of its numbers, and the header's names, one row for each column, are joined by place. What is no number is null. A quoted field may
+    hold commas and quotes, but no line ends. Lines equal to the header, as a folder of parts has, are no rows.
+    """
+    ship(spark)
+    lines = spark.read.text(path)
+    head = lines.limit(1).collect()
+    names = _fields(head[0]["value"].lstrip("\ufeff")) if head else []
+    turned = any(c.upper().startswith(cell_prefix) for c in names[1:6])
+    header = head[0]["value"] if head else ""
+
+    def run(batches):
+        for b in batches:
+            for line in b.column(0).to_pylist():
+                if line is None or line == header or not line.strip():
+                    continue
+                index, *values = _fields(line)
+                told = pa.array(values[: len(names) - 1], pa.string())
+                numbers = pc.cast(pc.if_else(pc.match_substring_regex(told, NUMBER), pc.utf8_trim_whitespace(told), None), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(index), len(numbers)), pa.array(range(1, len(numbers) + 1), pa.int32()), numbers], ["index", "place", "effect"])
+
+    columns = spark.createDataFrame([(i, n) for i, n in enumerate(names) if i], "place int, name string")
+    long = lines.mapInArrow(run, "index string, place int, effect double").join(columns, "place")
+    cell, gene = ("name", "index") if turned else ("index", "name")
+    return long.select(F.col(cell).alias("cell"), F.split(F.col(gene), " ")[0].alias("gene"), "effect")
 
 
 def payloads(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,7 +7,7 @@ import os
 import re
 import uuid
 from collections.abc import Callable
-from xml.sax.saxutils import escape, quoteattr
+from xml.sax.saxutils import quoteattr
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,28 +74,6 @@ def _swapped(spark: SparkSession, path: str, write: Callable[[str], None]) -> No
     fs.delete(at(old), True)
 
 
-def graphml_lines(nodes: DataFrame, edges: DataFrame):
-    """Lines of a GraphML document: attributes are texts, nested ones as JSON, nulls left out. Rows are streamed, partition by partition."""
-    n, e = encoded(nodes), encoded(edges)
-    node_attrs, edge_attrs = [c for c in n.columns if c != "node_id"], [c for c in e.columns if c not in ("src", "dst", "key")]
-    yield '<?xml version="1.0" encoding="utf-8"?>'
-    yield '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">'
-    for kind, names in (("node", node_attrs), ("edge", edge_attrs)):
-        for c in names:
-            yield f"<key id={quoteattr(f'{kind[0]}_{c}')} for={quoteattr(kind)} attr.name={quoteattr(c)} attr.type=\"string\"/>"
-    yield '<graph edgedefault="directed">'
-
-    def data(row, kind: str, names: list[str]) -> str:
-        told = ((c, row[c] if isinstance(row[c], str) else json.dumps(row[c], default=str)) for c in names if row[c] is not None)
-        return "".join(f"<data key={quoteattr(f'{kind}_{c}')}>{escape(v)}</data>" for c, v in told)
-
-    for row in n.toLocalIterator():
-        yield f"<node id={quoteattr(str(row['node_id']))}>{data(row, 'n', node_attrs)}</node>"
-    for row in e.toLocalIterator():
-        yield f"<edge id={quoteattr(str(row['key']))} source={quoteattr(str(row['src']))} target={quoteattr(str(row['dst']))}>{data(row, 'e', edge_attrs)}</edge>"
-    yield "</graph></graphml>"
-
-
 def _xml(c: Column) -> Column:
     """A text with the characters escaped that XML gives a meaning."""
     for plain, told in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
@@ -106,7 +84,7 @@ def _xml(c: Column) -> Column:
 def graphml_rows(nodes: DataFrame, edges: DataFrame, by: str | None = None) -> DataFrame:
     """(by, part, place, line): the lines of a GraphML document, or of one for each value of a column that both tables have; they belong in the order of part and place.
 
-    The same document as graphml_lines, made on the executors.
+    Attributes are texts, nested ones as JSON, nulls left out. The lines are made on the executors.
     """
     n, e = encoded(nodes), encoded(edges)
     own = [by] if by else []

@@ -11,6 +11,7 @@ from loomgraph.functions import scalars
 from loomgraph.operators import pagerank, subgraph
 from loomgraph.plans import catalog, explain
 from loomgraph.plans import harness as h
+from tests import dense
 
 
 class Plain:
@@ -143,7 +144,7 @@ def test_explanations_against_search(spark, small):
     m = np.zeros((len(names), len(names)))
     for s, d, *_ in rows:
         m[at[s], at[d]] += 1
-    rank = pagerank.green(m)
+    rank = dense.green(m)
     rank /= rank.sum(axis=1, keepdims=True)
     for p in h.pairs(spark, small).collect():
         i, a, b = p["pair_id"], p["a"], p["b"]

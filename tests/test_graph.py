@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import components, graph, neighborhood, pagerank, paths, subgraph
+from tests import dense
 
 TINY = [("A", "P", "in_pathway", "Reactome"), ("B", "P", "in_pathway", "Reactome"), ("A", "C", "STRING", "STRING"), ("A", "C", "STRING", "STRING"), ("C", "B", "STRING", "STRING"), ("D", "A", "targets", "OT"), ("A", "B", "SL_pair", "curated"), ("B", "A", "SL_pair", "curated"), ("C", "X", "driver_in", "IntOGen"), ("E", "F", "STRING", "STRING")]
 
@@ -135,4 +136,4 @@ def test_caps(spark):
 
 def test_dense_pagerank_sums_to_one():
     m = np.array([[0, 1, 1], [0, 0, 0], [1, 0, 0]], dtype=float)
-    assert pagerank.dense_pagerank(m, 0).sum() == pytest.approx(1)
+    assert dense.dense_pagerank(m, 0).sum() == pytest.approx(1)

@@ -13,7 +13,7 @@ from loomgraph.streaming import resume
 def test_graphml(spark, tmp_path):
     nodes = spark.createDataFrame([("gene:A", "Gene", None, ["x", "y"]), ("gene:B<", "gene", "b & c", None)], "node_id string, type string, name string, terms array<string>")
     edges = spark.createDataFrame([("gene:A", "gene:B<", 0, "SL_pair", "seed"), ("gene:A", "gene:B<", 1, "x", None)], "src string, dst string, key long, type string, source string")
-    (tmp_path / "g.graphml").write_text("\n".join(sinks.graphml_lines(nodes, edges)))
+    (tmp_path / "g.graphml").write_text("\n".join(r["line"] for r in sinks.graphml_rows(nodes, edges).orderBy("part", "place").collect()))
     n, e = readers.graphml(spark, str(tmp_path / "g.graphml"))
     got = {r["node_id"]: (r["type"], r["props"]) for r in n.collect()}
     assert got["gene:A"] == ("gene", {"type": "Gene", "terms": '["x","y"]'}) and got["gene:B<"][1]["name"] == "b & c"
@@ -95,3 +95,28 @@ def test_prompts(spark, tmp_path):
         (tmp_path / "p" / name / kind).write_text(content)
     got = {r["id"]: (r["system"], r["prompt"]) for r in evaluation.prompt_parts(readers.prompts(spark, str(tmp_path / "p")), "any").collect()}
     assert got["A_B"] == ("s", "u") and got["C_D"] == (None, "plain") and "E_F" not in got
+
+
+def test_wide_matrix(spark, tmp_path):
+    """Twenty thousand columns are planned at once, quoted names and odd values included, either way round."""
+    import time
+
+    names = [f"G{i} ({i})" for i in range(20_000)]
+    rows = [[f"ACH-{c}", *(f"{c + i / 8}" for i in range(20_000))] for c in range(3)]
+    rows[1][1:7] = ["", "NA", "-1.5e-3", "+.5", "7.", "x1"]
+    quoted = lambda x: '"' + x.replace('"', '""') + '"'
+    names[2] = 'odd, "name" here'
+    wide = tmp_path / "wide.csv"
+    wide.write_text("\n".join([",".join(["", *map(quoted, names)]), *(",".join(r) for r in rows)]) + "\n")
+    began = time.time()
+    df = readers.effect_matrix(spark, str(wide))
+    plan = df._jdf.queryExecution().toString()
+    assert time.time() - began < 10 and len(plan) < 50_000
+    got = {(r["cell"], r["gene"]): r["effect"] for r in df.collect()}
+    assert len(got) == 60_000 and got["ACH-0", "G8"] == 1.0 and got["ACH-2", "odd,"] == 2.25
+    assert [got["ACH-1", g] for g in ("G0", "G1", "odd,", "G3", "G4", "G5")] == [None, None, -0.0015, 0.5, 7.0, None]
+    turned = tmp_path / "turned.csv"
+    turned.write_text("gene,ACH-1,ACH-2\nKRAS (1),1,2\n\nTP53 (2),3\n")
+    assert sorted(tuple(r) for r in readers.effect_matrix(spark, str(turned)).collect()) == [("ACH-1", "KRAS", 1.0), ("ACH-1", "TP53", 3.0), ("ACH-2", "KRAS", 2.0)]
+    (tmp_path / "none.csv").write_text("")
+    assert readers.effect_matrix(spark, str(tmp_path / "none.csv")).count() == 0
