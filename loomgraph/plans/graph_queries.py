@@ -181,7 +181,13 @@ def ppr_fixed_iter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ppr(spark, sf_dir, h.edges(spark, sf_dir)).withColumn("rank", F.round("rank", 8))
 
 
-@query()
+@query("""
+    WITH k AS (SELECT n_nationkey AS n, any_value(n_regionkey) AS r, count(c_custkey) AS k FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 0 GROUP BY 1),
+    x AS (SELECT *, 1 / (1 - 0.85::DOUBLE * 0.85::DOUBLE * k / (k + 1)) AS own FROM k), y AS (SELECT *, 0.85::DOUBLE * own / (k + 1) AS each FROM x)
+    SELECT 'nation:' || n AS source_id, node, round(v / (own + (k + 1) * each), 9) AS rank FROM (
+        SELECT *, 'nation:' || n AS node, own AS v FROM y UNION ALL SELECT *, 'region:' || r, each FROM y UNION ALL SELECT y.*, 'customer:' || c_custkey, each FROM y JOIN customer ON c_nationkey = n AND c_acctbal > 0
+    )
+""")
 def ppr_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From every nation, over customers' membership, which solvent customers return."""
     c = h.read(spark, sf_dir, "customer")
@@ -189,7 +195,7 @@ def ppr_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = c.select(node.alias("src"), nation.alias("dst")).unionByName(c.filter("c_acctbal > 0").select(nation.alias("src"), node.alias("dst")))
     n = h.read(spark, sf_dir, "nation")
     r = n.select(F.concat(F.lit("nation:"), F.col("n_nationkey")).alias("src"), F.concat(F.lit("region:"), F.col("n_regionkey")).alias("dst"))
-    return pagerank.personalized_pagerank(edges.unionByName(r), r.select(F.col("src").alias("source_id"), F.col("src").alias("node")))
+    return pagerank.personalized_pagerank(edges.unionByName(r), r.select(F.col("src").alias("source_id"), F.col("src").alias("node"))).withColumn("rank", F.round("rank", 9))
 
 
 @query(f"WITH {h.EDGES_SQL}, {h.PAIRS_SQL}, {_ppr_sql(_SETTLED, True)} SELECT pair_id AS source_id, node, round(rank, 6) AS rank FROM settled")
@@ -268,7 +274,23 @@ def ranked_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("start", "node", "hops", "evidence", F.round("prob", 12).alias("prob"), F.round("score", 6).alias("score"), "rank")
 
 
-@query()
+def _adaptive_sql(hops: int) -> str:
+    parts = [f"""
+    WITH {h.EDGES_SQL}, {_SEEDS}, {_STEPS}, seen0 AS (SELECT start, start AS node, 0 AS hops FROM seeds), new0 AS (SELECT start, start AS node FROM seeds), types0 AS (SELECT start, '' AS type FROM seeds WHERE false), going1 AS (SELECT start FROM seeds)"""]
+    for i in range(1, hops + 1):
+        parts.append(f"""
+    cand{i} AS MATERIALIZED (SELECT f.start, p.b AS node, p.edge_type AS type FROM new{i - 1} f JOIN going{i} USING (start) JOIN picked p ON p.a = f.node),
+    types{i} AS MATERIALIZED (SELECT start, type FROM types{i - 1} UNION SELECT start, type FROM cand{i}),
+    new{i} AS MATERIALIZED (SELECT DISTINCT c.start, c.node FROM cand{i} c ANTI JOIN seen{i - 1} s ON s.start = c.start AND s.node = c.node),
+    seen{i} AS MATERIALIZED (SELECT * FROM seen{i - 1} UNION ALL SELECT start, node, {i} FROM new{i}),
+    going{i + 1} AS (
+        SELECT start FROM (SELECT start, count(*) - 1 AS n FROM seen{i} GROUP BY 1) LEFT JOIN (SELECT start, count(*) AS t FROM types{i} GROUP BY 1) USING (start)
+        WHERE n < 250 AND NOT (n >= 24 AND coalesce(t, 0) >= 6)
+    )""")
+    return ",".join(parts) + f" SELECT start, node, hops FROM seen{hops}"
+
+
+@query(_adaptive_sql(3))
 def adaptive_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighborhood.adaptive_neighborhood(_seeds(spark, sf_dir), h.edges(spark, sf_dir), max_hops=3, priority=h.PRIORITY)
 

@@ -210,7 +210,11 @@ def test_keyphrase_candidates(spark, small):
         assert got[i] == near + other
 
 
-def test_mmr(spark):
+@pytest.mark.parametrize("group", [1000, 5])
+def test_mmr(spark, monkeypatch, group):
+    """In one call and lazily, with a second look wherever the first items of stale bounds do not settle it."""
+    monkeypatch.setattr(selection, "GROUP", group)
+    monkeypatch.setattr(selection, "FRESH", 2)
     r = np.random.default_rng(4)
     rows, queries = [], {}
     for g in range(6):
