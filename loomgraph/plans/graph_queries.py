@@ -204,13 +204,16 @@ def ppr_converged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ppr(spark, sf_dir, h.edges(spark, sf_dir), None).withColumn("rank", F.round("rank", 6))
 
 
-def _ranked_paths(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
+def _all_ranked(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
     edges, pairs = h.edges(spark, sf_dir), h.pairs(spark, sf_dir)
     found = saved(paths.bounded_paths(pairs, edges, 3, 40), "ranked-paths")
     ends = pairs.select(F.col("pair_id").alias("source_id"), F.col("b").alias("node"))
     ppr = _ppr(spark, sf_dir, edges, None, ends).select(F.col("source_id").alias("pair_id"), F.col("rank").alias("ppr"))
-    best = paths.rank_paths(found, edges, ppr, h.PRIORITY, 3, most)
-    return best.select("pair_id", "nodes", "sources", "switches", F.round("probability", 9).alias("probability"), F.round("ppr", 6).alias("ppr"), F.round("rank_score", 6).alias("rank_score"), "rank")
+    return paths.rank_paths(found, edges, ppr, h.PRIORITY, 3, most)
+
+
+def _ranked_paths(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
+    return _all_ranked(spark, sf_dir, most).select("pair_id", "nodes", "sources", "switches", F.round("probability", 9).alias("probability"), F.round("ppr", 6).alias("ppr"), F.round("rank_score", 6).alias("rank_score"), "rank")
 
 
 def _ranked_sql(most: int) -> str:
