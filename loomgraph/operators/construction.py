@@ -100,6 +100,30 @@ def drivers(rows: DataFrame, cohorts: DataFrame, per_cohort: int = DRIVERS) -> D
     return graph.top_per(told, ("cohort",), per_cohort, "seq", "gene").drop("seq")
 
 
+#: Names of the columns of a driver table, the first that it has counts.
+DRIVER_COLUMNS = {
+    "gene": ("gene", "symbol", "hgnc_symbol", "gene_symbol", "gene_name"), "tumor": ("tumor_type", "cancer_type", "cohort"), "role": ("role", "mode_of_action", "moa"),
+    "score": ("qvalue", "q_value", "qvalue_combination", "q_value_combination", "fdr", "pvalue"),
+}
+
+
+def driver_rows(raw: DataFrame, genes: DataFrame, tumors: DataFrame, seq: str = "seq") -> DataFrame:
+    """(tumor, gene, role, score, seq) of a driver table whose columns go by one of several names, in any case; of wanted genes (symbol) and tumours (tumor) only.
+
+    A tumour is told with the prefix of its project or a suffix of its country, which go where the rest is wanted. Without a column for genes or tumours there are no rows.
+    """
+    have = {c.lower(): c for c in reversed(raw.columns)}
+    found = {k: next((have[n] for n in names if n in have), None) for k, names in DRIVER_COLUMNS.items()}
+    told = lambda k: F.coalesce(F.col(f"`{found[k]}`").cast("string"), F.lit("")) if found[k] else F.lit("")
+    wanted = lambda df, c: df.select(F.upper(F.trim(c)).alias("_w")).distinct()
+    gene, tumor = F.upper(F.trim(told("gene"))), F.regexp_replace(F.upper(F.trim(told("tumor"))), "^TCGA-", "")
+    rows = raw.select(gene.alias("gene"), tumor.alias("tumor"), told("role").alias("role"), told("score").alias("score") if found["score"] else F.lit(None).cast("string").alias("score"), F.col(seq).alias("seq")).filter("gene <> '' AND tumor <> ''")
+    rows = rows.join(wanted(genes, "symbol").withColumnRenamed("_w", "gene"), "gene", "left_semi")
+    known = wanted(tumors, "tumor")
+    rows = rows.join(known.select(F.col("_w").alias("tumor"), F.lit(True).alias("_known")), "tumor", "left").withColumn("tumor", F.when(F.col("_known"), F.col("tumor")).otherwise(F.substring_index("tumor", "-", 1)))
+    return rows.join(known.withColumnRenamed("_w", "tumor"), "tumor", "left_semi").select("tumor", "gene", "role", "score", "seq")
+
+
 def target_edges(rows: DataFrame, per_gene: int = DRUG_ROWS) -> DataFrame:
     """Edges from drugs to genes: the first rows (gene, pos, drug_id, phase, mechanism, disease) of each gene."""
     few = graph.top_per(rows, ("gene",), per_gene, "pos")

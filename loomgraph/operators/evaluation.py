@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import scalars, text
 
 #: Columns of the evaluation table and where a payload holds them.
 METRICS = {
@@ -76,6 +78,35 @@ def prompt_tables(nodes: DataFrame, edges: DataFrame, top_nodes: int = 30, top_e
     return n.withColumnRenamed("t", "nodes_table").join(e.withColumnRenamed("t", "edges_table"), "pair_id", "full")
 
 
+def evidence_lines(rows: DataFrame, columns: tuple[str, ...], order: tuple, most: int, name: str) -> DataFrame:
+    """(pair_id, <name>_cols, <name>_lines): the header of these columns and a line for each of a pair's first ``most`` rows in the order; numbers with six significant digits, nulls as empty texts, line ends and bars as blanks."""
+
+    def cell(c: str):
+        kind = rows.schema[c].dataType.simpleString()
+        told = scalars.general(F.col(c).cast("double")) if kind in ("double", "float") or kind.startswith("decimal") else F.col(c).cast("string")
+        return F.coalesce(F.regexp_replace(told, r"[\r\n|]", " "), F.lit(""))
+
+    best = rows.withColumn("_r", F.row_number().over(Window.partitionBy("pair_id").orderBy(*order))).filter(F.col("_r") <= most)
+    lines = best.select("pair_id", F.struct("_r", F.concat_ws(" | ", *(cell(c) for c in columns)).alias("l")).alias("l")).groupBy("pair_id").agg(F.array_sort(F.collect_list("l")).alias("l"))  # most rows of a pair
+    return lines.select("pair_id", F.lit(" | ".join(columns)).alias(f"{name}_cols"), F.array_join(F.transform("l", lambda x: x["l"]), "\n").alias(f"{name}_lines"))
+
+
+def filled(template: str, **values) -> Column:
+    """A template with the fields {name} replaced, each once for all and none inside what another has brought in."""
+    parts, out = re.split(r"\{(\w+)\}", template), []
+    for i, x in enumerate(parts):
+        out.append(F.coalesce(values[x].cast("string"), F.lit("")) if i % 2 and x in values else F.lit(f"{{{x}}}" if i % 2 else x))
+    return F.concat(*out)
+
+
+def prompt_messages(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, system: str, user: str) -> DataFrame:
+    """(id, messages) of pairs (pair_id, a, b): a system and a user template with gene_a, gene_b, and the header and lines (node_cols, node_lines, edge_cols, edge_lines) of the evidence of both tables, as evidence_lines gives them."""
+    told = pairs.join(nodes, "pair_id", "left").join(edges, "pair_id", "left")
+    values = {"gene_a": F.col("a"), "gene_b": F.col("b"), **{f"{x}_{y}": F.col(f"{x}_{y}") for x in ("node", "edge") for y in ("cols", "lines")}}
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), filled(text, **values).alias("content"))
+    return told.select(F.col("pair_id").alias("id"), F.array(message("system", system), message("user", user)).alias("messages"))
+
+
 def score_texts(rows: DataFrame) -> DataFrame:
     """rows (id, text, context, features, explanation) with the checks that need no model: citations, format, structure, features found."""
     found = F.filter("features", lambda f: text.contains_feature(F.col("text"), f))

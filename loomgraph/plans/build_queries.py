@@ -97,6 +97,18 @@ def driver_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return construction.drivers(rows, cohorts)
 
 
+@query("""
+    SELECT c_mktsegment AS tumor, 'S' || c_custkey AS gene, c_nationkey::VARCHAR AS role, c_acctbal::VARCHAR AS score, c_custkey AS seq FROM customer JOIN supplier ON s_suppkey = c_custkey WHERE c_mktsegment <> 'MACHINERY'
+""")
+def driver_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A driver table with other names for its columns and tumours told in three ways."""
+    kind = F.col("c_custkey") % 3
+    tumor = F.when(kind == 0, F.concat(F.lit("TCGA-"), "c_mktsegment")).when(kind == 1, F.concat("c_mktsegment", F.lit("-US"))).otherwise(F.lower("c_mktsegment"))
+    raw = h.read(spark, sf_dir, "customer").select(F.concat(F.lit(" s"), "c_custkey").alias("HGNC_Symbol"), tumor.alias("Cohort"), F.col("c_nationkey").alias("MoA"), F.col("c_acctbal").alias("QValue_combination"), F.lit("x").alias("pvalue"), F.col("c_custkey").alias("seq"))
+    genes = h.read(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("symbol"))
+    return construction.driver_rows(raw, genes, h.read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("tumor")).filter("tumor <> 'MACHINERY'"))
+
+
 @query("""
     WITH r AS (SELECT l_partkey AS gene, l_orderkey * 16 + l_linenumber AS pos, l_suppkey AS drug_id, l_quantity AS phase, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 16 + l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS rank FROM lineitem)
     SELECT 'drug:' || drug_id AS src, 'gene:' || gene AS dst, phase FROM r WHERE rank <= 50

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import components, graph, neighborhood, pagerank, paths
+from ..operators import annotation, components, graph, neighborhood, pagerank, paths
 from ..runtime import saved
 from . import harness as h
 from .registry import query
@@ -277,6 +277,16 @@ def ranked_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("start", "node", "hops", "evidence", F.round("prob", 12).alias("prob"), F.round("score", 6).alias("score"), "rank")
 
 
+@query()
+def ranked_khop_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best neighbours of every supplier by all five terms, PageRank and the likeness of texts (by the offline embedder) included."""
+    nodes = h.nodes(spark, sf_dir)
+    texts = nodes.select(F.col("node_id").alias("node"), annotation.node_text(F.col("node_id"), F.col("type"), F.create_map(F.lit("name"), F.col("symbol"))).alias("text"))
+    queries = nodes.select(F.col("node_id").alias("start"), F.concat(F.lit("neighbours of "), "symbol").alias("text")).join(_seeds(spark, sf_dir).select("start"), "start", "left_semi")
+    best = neighborhood.fully_ranked_khop(_seeds(spark, sf_dir), h.edges(spark, sf_dir), queries, texts, 2, 20)
+    return best.select("start", "node", "hops", "evidence", *(F.round(c, 6).alias(c) for c in ("prob", "ppr", "semantic", "score")), "rank")
+
+
 def _adaptive_sql(hops: int) -> str:
     parts = [f"""
     WITH {h.EDGES_SQL}, {_SEEDS}, {_STEPS}, seen0 AS (SELECT start, start AS node, 0 AS hops FROM seeds), new0 AS (SELECT start, start AS node FROM seeds), types0 AS (SELECT start, '' AS type FROM seeds WHERE false), going1 AS (SELECT start FROM seeds)"""]

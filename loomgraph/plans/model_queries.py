@@ -151,3 +151,26 @@ def rescored_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = F.struct("features", F.coalesce("explanation", F.lit("")).alias("explanation"))
     texts = F.create_map(F.lit("prompt"), F.col("context"), F.lit("baseline"), F.col("text"), F.lit("cove"), F.upper("text"), F.lit("blank"), F.lit(" "))
     return judging.rescored(a.select(path.alias("path"), F.to_json(F.struct(truth.alias("ground_truth"), texts.alias("texts"))).alias("content")))
+
+
+@query(f"""
+    WITH {h.EDGES_SQL}, {h.NODES_SQL}, {h.PAIRS_SQL}, c AS (SELECT pair_id, a AS node FROM pairs UNION SELECT pair_id, b FROM pairs),
+    e AS (SELECT pair_id, src, dst, type, source, key, evidence FROM edges JOIN c ON src = node UNION SELECT pair_id, src, dst, type, source, key, evidence FROM edges JOIN c ON dst = node),
+    el AS (
+        SELECT pair_id, string_agg(src || ' | ' || dst || ' | ' || type || ' | ' || source || ' | ' || key || ' | ' || format('{{:.6g}}', evidence), chr(10) ORDER BY r) AS l
+        FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY evidence DESC, src, dst, key) AS r FROM e) WHERE r <= 12 GROUP BY 1
+    ), nl AS (SELECT pair_id, string_agg(node || ' | ' || type || ' | ' || symbol, chr(10) ORDER BY node) AS l FROM c JOIN nodes ON node_id = node GROUP BY 1)
+    SELECT p.pair_id AS id, 'Explain ' || a || ' and ' || b || ' by {{edges}} only.' AS system,
+        a || ' / ' || b || chr(10) || 'node | type | symbol' || chr(10) || coalesce(nl.l, '') || chr(10) || 'src | dst | type | source | key | evidence' || chr(10) || coalesce(el.l, '') AS prompt
+    FROM pairs p LEFT JOIN nl USING (pair_id) LEFT JOIN el USING (pair_id)
+""")
+def prompt_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of all pairs: the ends as nodes, and the twelve links of the best evidence at either end."""
+    pairs, edges = h.pairs(spark, sf_dir), h.edges(spark, sf_dir).select("src", "dst", "type", "source", "key", "evidence")
+    cores = pairs.select("pair_id", F.explode(F.array("a", "b")).alias("node"))
+    near = edges.join(cores.withColumnRenamed("node", "src"), "src").unionByName(edges.join(cores.withColumnRenamed("node", "dst"), "dst")).distinct()
+    ends = cores.join(h.nodes(spark, sf_dir).withColumnRenamed("node_id", "node"), "node")
+    node_lines = evaluation.evidence_lines(ends, ("node", "type", "symbol"), ("node",), 30, "node")
+    edge_lines = evaluation.evidence_lines(near, ("src", "dst", "type", "source", "key", "evidence"), (F.desc("evidence"), "src", "dst", "key"), 12, "edge")
+    told = evaluation.prompt_messages(pairs, node_lines, edge_lines, "Explain {gene_a} and {gene_b} by {edges} only.", "{gene_a} / {gene_b}\n{node_cols}\n{node_lines}\n{edge_cols}\n{edge_lines}")
+    return evaluation.prompt_parts(told, "none")
