@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import saved
+from . import nearest
+
 #: Share of the soft metrics, and thresholds of a hit.
 SOFT = 0.5
 THRESHOLD, THRESHOLD_RAW = 0.4, 0.6
@@ -34,6 +37,32 @@ def soft_hard_prf(pairs: DataFrame, doc: str = "doc", feature: str = "feature",
     return both
 
 
+def prf_of_best(of_phrases: DataFrame, of_features: DataFrame, doc: str = "doc", threshold: float = THRESHOLD, soft: float = SOFT) -> DataFrame:
+    """soft_hard_prf from each phrase's and each feature's best similarity (doc, similarity) alone, as nearest.best_partners finds them."""
+
+    def side(best: DataFrame, name: str) -> DataFrame:
+        return best.groupBy(doc).agg(F.avg("similarity").alias(f"{name}_soft"), F.avg((F.col("similarity") >= threshold).cast("double")).alias(f"{name}_hard"))
+
+    both = side(of_phrases, "precision").join(side(of_features, "recall"), doc)
+    for kind in ("soft", "hard"):
+        both = both.withColumn(f"f1_{kind}", f1(F.col(f"precision_{kind}"), F.col(f"recall_{kind}")))
+    for m in ("precision", "recall", "f1"):
+        both = both.withColumn(m, soft * F.col(f"{m}_soft") + (1 - soft) * F.col(f"{m}_hard"))
+    return both
+
+
+def prf_of_vectors(features: DataFrame, phrases: DataFrame, share: float | None = None, doc: str = "doc", threshold: float = THRESHOLD, soft: float = SOFT) -> DataFrame:
+    """soft_hard_prf, or topk_prf with a share, of features (doc, item, v) and phrases (doc, item, v), without a row for each pair."""
+    renamed = lambda df: df.withColumnRenamed("item", "partner")
+    best = saved(nearest.best_partners(phrases, renamed(features), doc), "matching-best")
+    if share is not None:
+        own = Window.partitionBy(doc)
+        ranked = best.withColumn("r", F.row_number().over(own.orderBy(F.desc("similarity"), "item"))).withColumn("n", F.count("*").over(own))
+        best = saved(ranked.filter(F.col("r") <= F.greatest(F.lit(1), F.floor(share * F.col("n")))).select(doc, "item", "similarity"), "matching-best")
+        phrases = phrases.join(best.select(doc, "item"), [doc, "item"], "left_semi")
+    return prf_of_best(best, nearest.best_partners(features, renamed(phrases), doc), doc, threshold, soft)
+
+
 def topk_prf(pairs: DataFrame, share: float, doc: str = "doc", feature: str = "feature", phrase: str = "phrase", similarity: str = "similarity", threshold: float = THRESHOLD, soft: float = SOFT) -> DataFrame:
     """soft_hard_prf over each document's best candidates only: a share of them, one at least."""
     best = pairs.groupBy(doc, phrase).agg(F.max(similarity).alias("best"))

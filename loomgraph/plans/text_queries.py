@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
-from ..operators import matching, selection
+from ..operators import matching, nearest, selection
 from . import harness as h
 from .registry import query
 
@@ -202,12 +202,16 @@ _SIMS = """
 """
 
 
-def _sims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Within each label, vectors of even ids in the part of features and those of odd ids in that of phrases."""
-    e = h.read(spark, sf_dir, "embeddings")
-    f = e.filter("vec_id % 2 = 0").select(F.col("label").alias("doc"), F.col("vec_id").alias("feature"), F.col("embedding").alias("ef"))
-    p = e.filter("vec_id % 2 = 1").select(F.col("label").alias("doc"), F.col("vec_id").alias("phrase"), F.col("embedding").alias("ep"))
-    return f.join(p, "doc").select("doc", "feature", "phrase", scalars.dot(F.col("ef"), F.col("ep")).alias("similarity"))
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Within each label as document, vectors of even ids in the part of features and those of odd ids in that of phrases: (doc, item, v) of each."""
+    e = h.read(spark, sf_dir, "embeddings").select(F.col("label").alias("doc"), F.col("vec_id").alias("item"), F.col("embedding").alias("v"))
+    return e.filter("item % 2 = 0"), e.filter("item % 2 = 1")
+
+
+def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, item, partner, similarity): each feature's best phrase."""
+    features, phrases = _sides(spark, sf_dir)
+    return nearest.best_partners(features, phrases.withColumnRenamed("item", "partner"))
 
 
 _PRF_SQL = """
@@ -221,7 +225,7 @@ _PRF_SQL = """
 
 @query(f"WITH {_SIMS}, {_PRF_SQL.format(t='sims')}")
 def soft_hard_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = matching.soft_hard_prf(_sims(spark, sf_dir))
+    out = matching.prf_of_vectors(*_sides(spark, sf_dir))
     return out.select("doc", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
@@ -230,13 +234,13 @@ def soft_hard_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     few AS (SELECT s.* FROM sims s JOIN k USING (doc, phrase)), {_PRF_SQL.format(t='few')}
 """)
 def topk_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = matching.topk_prf(_sims(spark, sf_dir), matching.SHARES["p50"])
+    out = matching.prf_of_vectors(*_sides(spark, sf_dir), matching.SHARES["p50"])
     return out.select("doc", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
 @query(f"WITH {_SIMS} SELECT doc, feature, phrase AS best_phrase, round(similarity, 6) AS best_similarity, similarity >= 0.4::DOUBLE AS covered FROM (SELECT *, row_number() OVER (PARTITION BY doc, feature ORDER BY similarity DESC, phrase) AS r FROM sims) WHERE r = 1")
 def best_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.best_matches(_sims(spark, sf_dir)).withColumn("best_similarity", F.round("best_similarity", 6))
+    return _best(spark, sf_dir).select("doc", F.col("item").alias("feature"), F.col("partner").alias("best_phrase"), F.round("similarity", 6).alias("best_similarity"), (F.col("similarity") >= matching.THRESHOLD).alias("covered"))
 
 
 @query(f"""
@@ -244,7 +248,7 @@ def best_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc, round(avg(1 - acos(greatest(-1, least(1, best))) / pi()), 6) AS kg_faithfulness, avg((best >= 0.35::DOUBLE)::INT) AS grounding_ratio, round(avg(best), 6) AS mean_similarity, round(quantile_cont(best, 0.5), 6) AS median_similarity FROM b GROUP BY 1
 """)
 def kg_faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = matching.faithfulness(_sims(spark, sf_dir), sentence="feature")
+    out = matching.faithfulness(_best(spark, sf_dir), sentence="item")
     return out.select("doc", F.round("kg_faithfulness", 6).alias("kg_faithfulness"), "grounding_ratio", F.round("mean_similarity", 6).alias("mean_similarity"), F.round("median_similarity", 6).alias("median_similarity"))
 
 
@@ -317,8 +321,8 @@ def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc, feature, rank FROM (SELECT *, (row_number() OVER (PARTITION BY doc ORDER BY best, feature))::INT AS rank FROM worst) WHERE rank <= 6
 """)
 def worst_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = _sims(spark, sf_dir).groupBy("doc", "feature").agg(F.max("similarity").alias("best"))
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy("best", "feature"))).filter("rank <= 6").select("doc", "feature", "rank")
+    best = _best(spark, sf_dir).select("doc", F.col("item").alias("feature"), "similarity")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy("similarity", "feature"))).filter("rank <= 6").select("doc", "feature", "rank")
 
 
 @query("""
