@@ -43,6 +43,8 @@ BLOCK = 65_536
 STREAMS = 32
 #: Ids of a stream, at least: a stream costs 12 bytes.
 LEAST = 256
+#: Characters of a text that deal the rows of one id to tasks.
+PREFIX = 64
 #: Blocks coded side by side, at most; bounds memory at about 3 MB each.
 BESIDE = 64
 #: Ids in a file, about.
@@ -496,6 +498,8 @@ class LibraryWords:
         self._library = Tokenizer.from_file(path)
         self._library.no_padding()
         self._library.no_truncation()
+        if self._library.get_vocab_size() > 1 << 16:
+            raise FormatError(f"{path} has {self._library.get_vocab_size()} ids; the format holds ids of 16 bits")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         split = spec["pre_tokenizer"] or {}
@@ -613,7 +617,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
             yield close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange(common.partitions(spark), "id").sortWithinPartitions("id", "text")
+    # By ids and the beginnings of texts, whose order is that of the texts, so that an id with many rows fills several tasks.
+    rows = rows.repartitionByRange(common.partitions(spark), F.col("id"), F.substring("text", 1, PREFIX)).sortWithinPartitions("id", "text")
     manifest = common.saved(rows.mapInArrow(run, "file string, part int, number int, documents long, ids long"), "codec-manifest")
     # One row for each file of millions of ids: the only table that is summed in one task.
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
