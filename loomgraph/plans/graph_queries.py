@@ -363,11 +363,12 @@ def universal_hub_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH l AS (SELECT DISTINCT c_mktsegment AS cohort, c_nationkey AS gene FROM customer WHERE c_acctbal > 9000), t AS (SELECT count(DISTINCT cohort) AS total FROM l)
+    WITH l AS (SELECT DISTINCT o_orderpriority AS cohort, o_custkey AS gene FROM orders), t AS (SELECT count(DISTINCT cohort) AS total FROM l)
     SELECT gene, cohort FROM l WHERE gene IN (SELECT gene FROM l GROUP BY 1 HAVING count(DISTINCT cohort) < (SELECT total FROM t))
 """)
 def differential_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = h.read(spark, sf_dir, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("gene"), F.col("c_mktsegment").alias("cohort"))
+    """Customers by the priorities of their orders, without those who have every priority."""
+    links = h.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("gene"), F.col("o_orderpriority").alias("cohort"))
     return graph.differential_hubs(links, "gene", "cohort")
 
 
