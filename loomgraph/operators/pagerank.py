@@ -45,12 +45,9 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, *, alpha: float =
     """
     step = saved(transitions(edges), "ppr-steps")
     start = seeds.select("source_id", F.col("node").alias("seed")).distinct()
-    if rounds is not None:
-        whole = _rounds(step, start, alpha, rounds)
-    elif step.count() <= HELD:
-        return _in_tasks(step, start, alpha, at)
-    else:
-        whole = _joined(step, start, alpha)
+    if step.count() <= HELD:
+        return _in_tasks(step, start, alpha, rounds, at)
+    whole = _joined(step, start, alpha) if rounds is None else _rounds(step, start, alpha, rounds)
     return whole if at is None else whole.join(at.select("source_id", "node").distinct(), ["source_id", "node"], "left_semi")
 
 
@@ -138,7 +135,7 @@ def _graph(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, p
     return src[order], t["w"].to_numpy()[order], first, dst[order][first], ends.dictionary
 
 
-def _in_tasks(step: DataFrame, start: DataFrame, alpha: float, wanted: DataFrame | None) -> DataFrame:
+def _in_tasks(step: DataFrame, start: DataFrame, alpha: float, rounds: int | None, wanted: DataFrame | None) -> DataFrame:
     """The ranks over a graph that a task can hold; it comes from the shared folder, once for each worker, and not through the driver. Seeds are dealt to tasks."""
     spark = step.sparkSession
     ship(spark)
@@ -146,7 +143,8 @@ def _in_tasks(step: DataFrame, start: DataFrame, alpha: float, wanted: DataFrame
 
     def run(batches):
         src, w, first, targets, names = _graph(path)
-        n = len(names)
+        n, sink = len(names), np.ones(len(names), dtype=bool)
+        sink[src] = False
 
         def pushed(x: np.ndarray) -> np.ndarray:
             out = np.zeros_like(x)
@@ -163,8 +161,14 @@ def _in_tasks(step: DataFrame, start: DataFrame, alpha: float, wanted: DataFrame
                     continue
                 home = np.zeros((n, 1))
                 home[at] = 1
-                x = solve(pushed, home, alpha)[:, 0]
-                x /= x.sum()
+                if rounds is None:
+                    x = solve(pushed, home, alpha)[:, 0]
+                    x /= x.sum()
+                else:
+                    x = home
+                    for _ in range(rounds):
+                        x = pushed(x) + (alpha * x[sink].sum() + 1 - alpha) * home
+                    x = x[:, 0]
                 some = np.array([k for k in pc.index_in(asked, value_set=names).to_pylist() if k is not None and x[k]], dtype=np.int64) if few else np.flatnonzero(x)
                 yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(some)), names.take(pa.array(some)), pa.array(x[some])], ["source_id", "node", "rank"])
 
