@@ -101,7 +101,9 @@ def citation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT l_orderkey, list(v ORDER BY i) AS lines FROM f GROUP BY 1
 """)
 def kg_edge_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _order_text(spark, sf_dir).select("l_orderkey", text.kg_sentences(F.translate("t", ":", " ")).alias("lines")).filter("size(lines) > 0")
+    lines = text.kg_sentences(F.translate("t", ":", " "))
+    # Exploded, since a filter on the lines would work them out a second time.
+    return _order_text(spark, sf_dir).select("l_orderkey", F.explode(F.filter(F.array(lines), lambda x: F.size(x) > 0)).alias("lines"))
 
 
 _TOKENS = "list_transform(regexp_extract_all({c}, '[A-Za-z0-9]+'), lambda x: lower(x))"
