@@ -186,3 +186,11 @@ def test_negatives_grow_with_the_sample(spark):
 def test_negatives_query(spark, small):
     got = learning.negatives(h.edges(spark, small), h.nodes(spark, small), learning.unordered(h.pairs(spark, small)), 200)
     assert {r["kind"] for r in got.collect()} == {"hard", "distant"}
+
+
+def test_a_block_is_sent_to_few_tiles(spark):
+    """Each tile is sent the vectors of a whole block for every masking, so the work grows with nodes times blocks: 5,000 nodes are one block."""
+    nodes = spark.range(5000).selectExpr("concat('n', id) AS node_id", "array(1.0D) AS features")
+    edges = spark.range(5000).selectExpr("concat('n', id) AS src", "concat('n', (id * 7919 + 13) % 5000) AS dst", "'r' AS relation")
+    packed = network.pack(nodes, edges, spark.createDataFrame([("r", 0)], "relation string, index int"))
+    assert packed.tiles.count() == 1 and packed.inputs.count() == 1
