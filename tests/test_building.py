@@ -141,6 +141,32 @@ def test_build(spark, small, tables):
     assert {"SL_pair", "STRING_association", "encodes", "TF_regulates", "DepMap_codependency", "in_pathway", "targets", "driver_in", "OmniPath_interaction"} == {e[3] for e in edges}
 
 
+def test_contributions_are_one_for_each_node(spark, tables, monkeypatch):
+    """What the steps have told is held as a row for each node, however many rows name it, and genes are numbered anew only after steps that add some."""
+    s, _ = tables
+    kept = []
+    real = building.saved
+    monkeypatch.setattr(building, "saved", lambda df, name: kept.append((name, real(df, name))) or kept[-1][1])
+    building.build(s)
+    held = [df for name, df in kept if name == "build-nodes"]
+    assert held and all(df.count() == df.select("node_id").distinct().count() for df in held)
+    assert sum(name == "build-genes" for name, _ in kept) == 3
+
+
+def test_drugs_of_one_place(spark, tables):
+    """Of drugs that share their place the first by name are taken, however the rows lie."""
+    from dataclasses import replace
+
+    s, _ = tables
+    gene = s.seed_pairs.orderBy("seq").first()["a"]
+    ids = [f"D{i:02d}" for i in range(40)]
+    for order in (ids, ids[::-1]):
+        drugs = spark.createDataFrame([(gene, 1, i, 1, "m", "d") for i in order], "gene string, pos long, drug_id string, phase int, mechanism string, disease string").coalesce(1)
+        only = replace(s, associations=None, accessions=None, regulations=None, effects=None, pathways=None, cohorts=None, drivers=None, drugs=drugs)
+        got = building.build(only).edges.filter("type = 'targets'").select("src").collect()
+        assert sorted(r["src"] for r in got) == [f"drug:{i}" for i in ids[:4]]
+
+
 def test_ablation(tables):
     s, _ = tables
     whole, less = building.build(s), building.build(s, {"depmap", "omnipath"})
