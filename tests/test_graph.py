@@ -137,3 +137,17 @@ def test_caps(spark):
 def test_dense_pagerank_sums_to_one():
     m = np.array([[0, 1, 1], [0, 0, 0], [1, 0, 0]], dtype=float)
     assert dense.dense_pagerank(m, 0).sum() == pytest.approx(1)
+
+
+def test_pick_steps_of_all_pairs(spark):
+    """Without pairs every two joined nodes are told of, loops left out; with pairs loops and pairs without an edge too, and both ways give the same."""
+    rows = [("a", "b", 0, "x", "s"), ("a", "b", 1, "w", "s"), ("b", "a", 0, "w", None), ("c", "a", 0, None, "t"), ("d", "d", 0, "x", "s"), ("b", "c", 0, "w", "u")]
+    edges = spark.createDataFrame(rows, "src string, dst string, key long, type string, source string")
+    told = lambda df: {(r["a"], r["b"]): (r["edge_type"], r["edge_source"], r["direction"], r["edge_key"]) for r in df.collect()}
+    every = told(graph.pick_steps(None, edges, {"w": 0}))
+    assert every == {
+        ("a", "b"): ("w", "s", "both", 1), ("b", "a"): ("w", "unknown", "both", 0), ("a", "c"): ("related_to", "t", "reverse", 0), ("c", "a"): ("related_to", "t", "forward", 0),
+        ("b", "c"): ("w", "u", "forward", 0), ("c", "b"): ("w", "u", "reverse", 0),
+    }
+    pairs = spark.createDataFrame([*every, ("d", "d"), ("a", "d")], "a string, b string")
+    assert told(graph.pick_steps(pairs, edges, {"w": 0})) == every | {("d", "d"): ("x", "s", "both", 0), ("a", "d"): ("related_to", "unknown", "unknown", None)}
