@@ -151,3 +151,15 @@ def test_pick_steps_of_all_pairs(spark):
     }
     pairs = spark.createDataFrame([*every, ("d", "d"), ("a", "d")], "a string, b string")
     assert told(graph.pick_steps(pairs, edges, {"w": 0})) == every | {("d", "d"): ("x", "s", "both", 0), ("a", "d"): ("related_to", "unknown", "unknown", None)}
+
+
+def test_first_incident(spark):
+    """The first edges of a group are among the first of its nodes, a loop and an edge inside the group count once, and a hub gives its groups no more than the first."""
+    rows = [("h", f"n{i:03d}", i, 1.0 - i / 1000) for i in range(100)] + [("h", "h", 0, 2.0), ("g", "h", 0, 1.5)]
+    edges = spark.createDataFrame(rows, "src string, dst string, key long, evidence double")
+    groups = spark.createDataFrame([(1, "h"), (1, "g"), (2, "h"), (3, "n050")], "pair_id long, node string")
+    got = {}
+    for r in graph.first_incident(edges, groups, 3, F.desc("evidence"), "src", "dst", "key").collect():
+        got.setdefault(r["pair_id"], []).append((r["src"], r["dst"]))
+    first = [("g", "h"), ("h", "h"), ("h", "n000")]
+    assert {k: sorted(v) for k, v in got.items()} == {1: first, 2: first, 3: [("h", "n050")]}
