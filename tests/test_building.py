@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import building, learning, ordering, relational
+from loomgraph.operators import building, construction, learning, ordering, relational
 from loomgraph.plans import build_queries, catalog, learning_queries
 from loomgraph.plans import harness as h
 from loomgraph.sources import readers, sinks
@@ -153,6 +153,13 @@ def test_contributions_are_one_for_each_node(spark, tables, monkeypatch):
     assert sum(name == "build-genes" for name, _ in kept) == 3
 
 
+def test_repeated_regulations_count_once(spark):
+    """A regulation told twice takes one place among its target's."""
+    rows = [("T1", "P1", "A", "x")] * 3 + [("T2", "P1", "A", "x"), ("T3", "P1", "B", "x"), ("T1", "P2", "", "y")]
+    got = construction.regulators_per_target(spark.createDataFrame(rows, "tf string, target string, level string, source string"), 2)
+    assert [tuple(r) for r in got.select("target", "tf", "rank").collect()] == [("P1", "T1", 1), ("P1", "T2", 2), ("P2", "T1", 1)]
+
+
 def test_drugs_of_one_place(spark, tables):
     """Of drugs that share their place the first by name are taken, however the rows lie."""
     from dataclasses import replace
