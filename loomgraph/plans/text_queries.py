@@ -57,8 +57,8 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, len(c)::INT AS n, list_transform(c, lambda x: length(x)::INT) AS lengths, md5(array_to_string(c, '|')) AS digest FROM c
 """)
 def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = text.chunks(F.col("text"))
-    return h.read(spark, sf_dir, "documents").select("doc_id", F.size(c).alias("n"), F.transform(c, F.length).alias("lengths"), F.md5(F.array_join(c, "|")).alias("digest"))
+    cut = h.read(spark, sf_dir, "documents").select("doc_id", text.chunks(F.col("text")).alias("c"))  # a column of its own, so that it is worked out once
+    return cut.select("doc_id", F.size("c").alias("n"), F.transform("c", F.length).alias("lengths"), F.md5(F.array_join("c", "|")).alias("digest"))
 
 
 @query(f"""
@@ -115,8 +115,9 @@ def _content_sql(c: str) -> str:
 
 @query(f"SELECT doc_id, len({_TOKENS.format(c='text')})::INT AS n_tokens, len({_content_sql('text')})::INT AS n_content, len(list_distinct({_content_sql('text')}))::INT AS n_distinct FROM documents")
 def content_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, c = text.tokens(F.col("text")), text.content_tokens(F.col("text"))
-    return h.read(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(c).alias("n_content"), F.size(F.array_distinct(c)).alias("n_distinct"))
+    told = h.read(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))  # columns of their own, so that they are worked out once
+    own = told.select("doc_id", "t", text.content(F.col("t")).alias("c"))
+    return own.select("doc_id", F.size("t").alias("n_tokens"), F.size("c").alias("n_content"), F.size(F.array_distinct("c")).alias("n_distinct"))
 
 
 @query("SELECT p_partkey, list_filter(list_transform(regexp_split_to_array(p_name || '; ' || p_type || ',' || p_brand || chr(10) || ' ;', '[;,\\r\\n]'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS parts FROM part")

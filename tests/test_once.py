@@ -1,9 +1,33 @@
 """Expressions that must be worked out once a row."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from loomgraph.functions import text
 
 
 def test_edges_of_a_context_are_matched_once(spark, small):
     """A lambda works out what it names from outside for every element, and a filter on a result works it out again."""
     plan = entry.queries()["kg_edge_sentences"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") <= 3
+
+
+def test_texts_are_cut_and_split_once(spark, small):
+    """chunk_text works the trimmed text out once for all of its chunks, content_tokens the tokens once for its three counts."""
+    plan = lambda name: entry.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    chunks = plan("chunk_text")
+    assert chunks.count("coalesce(text") <= 1 and "regexp_replace" not in chunks
+    assert plan("content_tokens").count("regexp_extract_all(") <= 1
+
+
+def test_trimmed_is_what_the_pattern_trims(spark):
+    """Every white space of Unicode at either end, and none within."""
+    texts = [f"{chr(i)}a{chr(i)}b \n{chr(i)}" for i in range(0x3100) if not 0xD800 <= i < 0xE000] + ["", " ", "\r\n", "x\r\n", "  x\u0085\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert rows.filter(text.trimmed(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+$", "")).count() == 0
+
+
+def test_content_is_neither_stop_word_nor_number(spark):
+    """As the list and the pattern for numbers tell it, token by token."""
+    got = spark.createDataFrame([("The GENE 12 a1 1a x 007 of Word's é9",), (None,)], "t string").select(text.content_tokens(F.col("t")).alias("c")).collect()
+    assert [r["c"] for r in got] == [["a1", "1a", "x", "word", "s"], []]
