@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import higher_is_better
+from ..runtime import saved
 
 
 def paired(rows: DataFrame, base: str, other: str) -> DataFrame:
@@ -88,9 +89,14 @@ def ablation_winrate(rows: DataFrame, base: str) -> DataFrame:
 
 def effect_bars(pairs: DataFrame, metric: str, top: int) -> DataFrame:
     """(item, delta, place): the deltas of a metric from lowest to highest, of more than top the lowest and highest half each."""
-    d = pairs.filter(F.col("metric") == metric)
-    low, high, n = F.row_number().over(Window.partitionBy("metric").orderBy("delta", "item")), F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("delta"), F.desc("item"))), F.count("*").over(Window.partitionBy("metric"))
-    return d.withColumn("place", low).withColumn("_h", high).withColumn("_n", n).filter((F.col("_n") <= top) | (F.col("place") <= top // 2) | (F.col("_h") <= top // 2)).select("item", "delta", "place")
+    d = saved(pairs.filter(F.col("metric") == metric).select("item", "delta"), "effects")
+    n, half = d.count(), top // 2
+    up, down = [F.col("delta").asc(), F.col("item").asc()], [F.col("delta").desc(), F.col("item").desc()]
+    # Windows of at most top rows.
+    first = lambda order, k: d.orderBy(*order).limit(k).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    if n <= top:
+        return first(up, top)
+    return first(up, half).unionByName(first(down, half).withColumn("place", (F.lit(n + 1) - F.col("place")).cast("int")))
 
 
 def ranking_bars(pairs: DataFrame, top: int) -> DataFrame:
