@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from ..runtime import ship
+from ..runtime import saved, ship
 
 EPSILON = 1e-5
 
@@ -64,8 +64,10 @@ def apply_layer(features: DataFrame, edges: DataFrame, layer: Layer, residual: b
     a normalisation over the vector. Edges of relations that the layer lacks pass nothing."""
     ship(features.sparkSession)
     known, weights, width = list(layer.relations), layer.matrices(), layer.root.shape[1]
-    sent = edges.filter(F.col("relation").isin(known)).join(features.select(F.col("node_id").alias("src"), "features"), "src").select(F.col("dst").alias("node_id"), "relation", F.posexplode("features").alias("at", "x"))
-    mean = sent.groupBy("node_id", "relation", "at").agg(F.avg("x").alias("x")).groupBy("node_id", "relation").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("features"))
+    features = saved(features, "layer-features")  # read for messages and for the node's own part
+    whole = lambda f, n: F.array(*(f(F.col("features")[i]) for i in range(n)))  # noqa: E731  a vector's places are aggregated side by side
+    sent = edges.filter(F.col("relation").isin(known)).join(features.select(F.col("node_id").alias("src"), "features"), "src").select(F.col("dst").alias("node_id"), "relation", "features")
+    mean = sent.groupBy("node_id", "relation").agg(whole(F.avg, weights.shape[1]).alias("features"))
     vector = ArrayType(DoubleType())
     kept = StructType([StructField("node_id", features.schema["node_id"].dataType), StructField("features", vector)])
     number = {r: i for i, r in enumerate(known)}
@@ -74,8 +76,7 @@ def apply_layer(features: DataFrame, edges: DataFrame, layer: Layer, residual: b
         own = np.array([number[r] for r in b.column(1).to_pylist()])
         return [b.column(0), _lists(np.einsum("ni,nio->no", _matrix(b.column(2)), weights[own]))]
 
-    parts = _mapped(mean.select("node_id", "relation", "features"), kept, through).select("node_id", F.posexplode("features").alias("at", "x"))
-    got = parts.groupBy("node_id", "at").agg(F.sum("x").alias("x")).groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("messages"))
+    got = _mapped(mean.select("node_id", "relation", "features"), kept, through).groupBy("node_id").agg(whole(F.sum, width).alias("messages"))
     both = features.select("node_id", F.transform("features", lambda x: x.cast("double")).alias("features")).join(got, "node_id", "left").select("node_id", "features", F.coalesce("messages", F.lit([0.0] * width)).alias("messages"))
 
     def finish(b: pa.RecordBatch) -> list:
