@@ -340,9 +340,15 @@ def general_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", (F.col("n") + 1).alias("n"), scalars.general(F.col("x")).alias("told"))
 
 
-@query("""
-    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL)
-    SELECT vec_id, list_transform(v, lambda x: round(CASE WHEN n > 1e-9 THEN x / n ELSE 0 END, 9)) AS unit, round(1 / (1 + exp(-greatest(-60::DOUBLE, least(60::DOUBLE, (v[1] - 0.1) / 0.05)))), 9) AS squashed FROM (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM v)
+def _nine(x: str) -> str:
+    """SQL for a double of a few digits before its point, rounded half away from zero to nine decimals as it is written; DuckDB's round takes it times 1e9 first, so that what lies just below a half can become one."""
+    return f"CASE WHEN isfinite({x}) THEN round({x}::VARCHAR::DECIMAL(38, 28), 9)::DOUBLE ELSE {x} END"
+
+
+@query(f"""
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL),
+    u AS (SELECT vec_id, list_transform(v, lambda x: CASE WHEN n > 1e-9 THEN x / n ELSE 0 END) AS u, 1 / (1 + exp(-greatest(-60::DOUBLE, least(60::DOUBLE, (v[1] - 0.1) / 0.05)))) AS s FROM (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM v))
+    SELECT vec_id, list_transform(u, lambda x: {_nine("x")}) AS unit, {_nine("s")} AS squashed FROM u
 """)
 def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector at unit length, and its first component through a logistic function."""
